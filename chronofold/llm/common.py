@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Rows of whole texts that travel to a Python worker at once; the largest text bounds the batch.
 TEXT_BATCH_ROWS = 500
 #: A table of ids is broadcast up to this many rows (8 bytes each); beyond it the join shuffles.
@@ -43,6 +45,7 @@ def materialize(df: DataFrame) -> DataFrame:
     compressed. A lost executor loses nothing: the files belong to no executor.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{scratch_dir(spark)}/chronofold/{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
@@ -77,6 +80,7 @@ def _clean() -> None:
 
 def text_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that carry whole texts."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
 
 

@@ -63,6 +63,10 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
+def _checked(kind: str):
+    return lambda x: _valid(kind, x)
+
+
 def with_base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with __text (null: empty) and, per kind, __<kind>: array of (start, end, hit)."""
     out = docs.withColumn("__text", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
@@ -77,7 +81,7 @@ def with_base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     for kind in KINDS:
         done[f"__{kind}"] = _spans(f"__{kind}_hits", f"__{kind}_gaps")
     out = out.withColumns(done).drop(*raw, *found)
-    return out.withColumns({f"__{kind}": F.filter(f"__{kind}", lambda x, kind=kind: _valid(kind, x)) for kind in KINDS})
+    return out.withColumns({f"__{kind}": F.filter(f"__{kind}", _checked(kind)) for kind in KINDS})
 
 
 def _key() -> list[Column]:
@@ -177,7 +181,8 @@ class ContextualPII:
         """
         got = self.find(docs, id_col, text_col)
         more = F.coalesce("more", F.array().cast("array<struct<kind:string,start:int,end:int>>"))
-        spans = F.concat(*[F.transform(f"__{k}", lambda x, k=k: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), F.lit(k).alias("kind"))) for k in KINDS], F.transform(more, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["kind"].alias("kind"))))
+        named = lambda kind: lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), (x["kind"] if kind is None else kind).alias("kind"))
+        spans = F.concat(*[F.transform(f"__{k}", named(F.lit(k))) for k in KINDS], F.transform(more, named(None)))
         got = got.withColumn("__spans", F.array_sort(spans))
         masked = F.expr(
             """aggregate(__spans, named_struct('at', 0, 'out', CAST('' AS string)),

@@ -19,7 +19,7 @@ FEATURES = {
     "upper": "CAST(floor(10 * (n - length(regexp_replace(t, '[A-ZÀ-Þ]', ''{g}))) / greatest(n, 1)) AS INT)",
     "symbols": "CAST(least(10, floor(50 * (n - length(regexp_replace(t, '[^A-Za-z0-9À-ÿ .,\\n]', ''{g}))) / greatest(n, 1))) AS INT)",
     "digits": "CAST(least(10, floor(50 * (n - length(regexp_replace(t, '[0-9]', ''{g}))) / greatest(n, 1))) AS INT)",
-    "distinct": "CAST(floor(10 * {distinct} / greatest({words}, 1)) AS INT) * 100 + CAST(least(9, floor(log2(greatest({words}, 1)))) AS INT)",
+    "variety": "CAST(floor(10 * {distinct} / greatest({words}, 1)) AS INT) * 100 + CAST(least(9, floor(log2(greatest({words}, 1)))) AS INT)",
 }
 
 
