@@ -139,14 +139,15 @@ class NearDuplicates:
     """Components of documents whose shingle sets have a Jaccard similarity of num/den or more.
 
     width: words of a shingle; trees and depth: sorted orders and hash values of each;
-    bucket: rows up to which a region is not looked at deeper.
+    bucket: rows up to which a region is not looked at deeper; compared: hash values, 8 bits of
+    each, by which a pair's similarity is estimated before texts are fetched.
     """
 
-    def __init__(self, width: int = 5, num: int = 80, den: int = 100, trees: int = 10, depth: int = 8, bucket: int = 32, seed: int = 1):
-        self.width, self.num, self.den, self.trees, self.depth, self.bucket, self.seed = width, num, den, trees, depth, bucket, seed
+    def __init__(self, width: int = 5, num: int = 80, den: int = 100, trees: int = 16, depth: int = 14, bucket: int = 32, compared: int = 96, seed: int = 1):
+        self.width, self.num, self.den, self.trees, self.depth, self.bucket, self.compared, self.seed = width, num, den, trees, depth, bucket, min(compared, trees * depth), seed
 
     def sketch(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        width, hashes, seed = self.width, self.trees * self.depth, self.seed
+        width, hashes, compared, seed = self.width, self.trees * self.depth, self.compared, self.seed
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -158,7 +159,7 @@ class NearDuplicates:
                         low = signature(found, hashes, seed)
                         digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                         sigs.append(low.astype(">u4").tobytes())
-                        bits.append(low.astype(np.uint8).tobytes())
+                        bits.append(low[:compared].astype(np.uint8).tobytes())
                     else:
                         digests.append(None)
                         sigs.append(None)
@@ -176,7 +177,7 @@ class NearDuplicates:
 
     def candidates(self, classes: DataFrame, count: int, trees: int, adaptive: bool) -> DataFrame:
         """Pairs (a, b) of class ids. Rows near the border of two ranges are compared in a second step."""
-        window, num, den, hashes = (self.bucket if adaptive else 1), self.num, self.den, self.trees * self.depth
+        window, num, den, hashes = (self.bucket if adaptive else 1), self.num, self.den, self.compared
         rows = self._rows(classes, trees)
         parts = range_parts(rows.sparkSession, count * trees)
         dealt = rows.repartitionByRange(parts, "tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id")
