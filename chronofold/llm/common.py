@@ -1,82 +1,18 @@
-"""Helpers shared by the training-data operators: scratch tables, session settings, checks."""
+"""Helpers shared by the training-data operators: session settings, partition counts, checked joins."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import materialize, release, scratch_dir, ship
 
 #: Rows of whole texts that travel to a Python worker at once; the largest text bounds the batch.
 TEXT_BATCH_ROWS = 500
 #: A table of ids is broadcast up to this many rows (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Unset, a temporary folder is used in local mode only; on a cluster that is an error, as
-    executors would not see each other's files.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    context = spark.sparkContext
-    known = context._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get().rstrip("/")
-    if not context.master.startswith(("local[", "local")) or "cluster" in context.master:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="chronofold-"))
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back.
-
-    This cuts the lineage as a reliable checkpoint does, but the file is columnar and
-    compressed. A lost executor loses nothing: the files belong to no executor.
-    """
-    spark = df.sparkSession
-    ship(spark)
-    path = f"{scratch_dir(spark)}/chronofold/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _written:
-        atexit.register(_clean)
-    _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def release(df: DataFrame | None) -> None:
-    """Delete a table of materialize() that no later step reads."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        _remove(df.sparkSession, path)
-        _written[:] = [x for x in _written if x[1] != path]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(conf).delete(where, True)
-
-
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            _remove(spark, path)
-        except Exception:  # the session may have ended before the interpreter
-            return
-
+__all__ = ["BROADCAST_IDS", "materialize", "only_ids", "range_parts", "read", "release", "scratch_dir", "shuffle_parts", "text_batches"]
 
 def text_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that carry whole texts."""

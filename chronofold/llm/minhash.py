@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, only_ids, range_parts, release, text_batches
-from .components import connected_components
+from ..operators.components import connected_components
 
 _M64 = (1 << 64) - 1
 
