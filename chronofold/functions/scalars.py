@@ -39,7 +39,7 @@ def bigrams(text: Column) -> Column:
 
     The squeezed text is bound once, split into characters, and paired with its own tail.
     """
-    pair = lambda c: F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), F.concat)
+    pair = lambda c: F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda x, y: F.concat(x, y))
     own = lambda s: F.when(F.length(s) < 2, F.array(s)).otherwise(F.array_distinct(F.element_at(F.transform(F.array(F.split(s, "")), pair), 1)))
     return F.element_at(F.transform(F.array(squeeze(F.coalesce(text, F.lit("")))), own), 1)
 

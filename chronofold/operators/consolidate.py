@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import scalars as X
+from ..session import materialize
 from .components import connected_components
 
 
@@ -37,6 +38,7 @@ def greedy(pairs: DataFrame) -> DataFrame:
                 gone.add(r.loser)
         return pdf.loc[keep, ["a", "b", "score", "kept", "loser"]]
 
+    pairs = materialize(pairs)
     numbered = pairs.select(F.col("a_ord").alias("a"), F.col("b_ord").alias("b"))
     named = pairs.join(connected_components(numbered).withColumnRenamed("node", "a_ord"), "a_ord")
     return named.groupBy("component").applyInPandas(walk, "a string, b string, score double, kept string, loser string")
