@@ -52,7 +52,7 @@ class Lake:
     def read_text(self, path: str) -> str | None:
         if not self.exists(path):
             return None
-        return "".join(r[0] for r in self.spark.read.option("wholetext", True).text(path).collect())
+        return "".join(r[0] for r in self.spark.read.text(path, wholetext=True).collect())
 
     def table(self, name: str, schema: str) -> DataFrame:
         """A JSON table; without files it is empty. Blank lines are skipped, U+2028 and the like stay in texts."""
@@ -130,7 +130,7 @@ def import_jsonl(spark: SparkSession, path: str, strict: bool = False) -> DataFr
     Blank lines and records of no operation are skipped; a malformed line is skipped, or with
     strict is an error. Unknown fields of a record are kept as JSON in extra.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("seq", "line")).where("trim(line) <> ''")
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("seq", "line")).where("trim(line) <> ''")
     names = [f.name for f in spark.createDataFrame([], schemas.OPLOG).schema if f.name not in ("seq", "lineage_id", "extra")]
     fields = ", ".join(x.strip() for x in schemas.OPLOG.split(",") if x.split()[0] in names)
     parsed = lines.withColumn("r", F.from_json("line", f"{fields}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
