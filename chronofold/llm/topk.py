@@ -121,7 +121,7 @@ class ExactTopK:
         q_side = ask.select("d", "qb", *[F.col(c).alias(f"q_{c}") for c in names])
 
         def best(q_ids: np.ndarray, c_ids: np.ndarray, at: np.ndarray, row: np.ndarray, score: np.ndarray) -> pd.DataFrame:
-            order = np.lexsort((c_ids[row], -score, at))
+            order = np.lexsort((c_ids[row], ~score, at))
             at, row, score = at[order], row[order], score[order]
             start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, dtype=int)
             rank = np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))
