@@ -3,9 +3,11 @@
 A byte pair that occurs inside no vocabulary token marks a certain cut: no merge can span it, so
 the text may be cut there and the fragments encoded independently, provided that the split of the
 text into words, which comes before the merges, does not look across the cut either. That holds
-where a blank follows a visible character: the patterns in use let a blank start a piece but never
-end one, and no look-ahead reaches over a visible character. Fragments repeat, so their ids are
-kept, packed, in a bounded table, and a text becomes a concatenation of table entries.
+where a blank follows a visible character, as the patterns in use let a blank start a piece but
+never end one, and where a letter or digit meets ASCII punctuation, which they never join. Texts
+where other symbols touch punctuation, or blanks follow blanks, are cut at fewer places. Fragments
+repeat, so their ids are kept, packed, in a bounded table, and a text becomes a concatenation of
+table entries.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import text_batches
 
 #: Fragments kept per Python worker, and the longest that is worth keeping (in characters).
-KEPT_FRAGMENTS, KEPT_LENGTH = 400_000, 64
+KEPT_FRAGMENTS, KEPT_LENGTH = 600_000, 64
 
 
 def tokenizer_path(name: str) -> str:
@@ -77,8 +79,18 @@ class ForcedBoundaryBPE:
         wide = "" if self.cut_after[0x80:0xC0].all() else "\x7f-\U0010ffff"
         #: Where this matches before a blank, that blank is no cut.
         self.uncut = re.compile(rf"[\s\x1c-\x1f{never}{wide}] ")
+        plain = np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", dtype=np.uint8)
+        signs = [b for b in range(0x21, 0x7F) if not chr(b).isalnum() and not inside[plain, b].any() and not inside[b, plain].any()]
+        sign = "".join(re.escape(chr(b)) for b in signs)
+        #: Runs between cuts, with the blank before them, and without blanks.
+        self.spaced, self.bare = re.compile(rf" ?[^\s{sign}]+| ?[{sign}]+|\s"), re.compile(rf"[^\s{sign}]+|[{sign}]+")
+        #: Texts where this matches may not be cut at signs.
+        self.touching = re.compile(rf"[^\w\s{sign}][{sign}]|[{sign}][^\w\s{sign}]|[\x1c-\x1f]")
+        self.doubled = re.compile(r"\s\s")
         self.marks = re.compile("|".join(map(re.escape, self.special))) if self.special else None
+        #: Ids of fragments, in two generations: a full one replaces the older.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def fragments(self, text: str) -> list[str]:
         """Pieces of text between certain cuts; joined by one blank each they give the text."""
@@ -100,17 +112,27 @@ class ForcedBoundaryBPE:
         known = self.known
         found = list(map(known.get, keys))
         if None in found:
-            new = list(dict.fromkeys(k for k, x in zip(keys, found, strict=True) if x is None))
-            made = {k: np.array(e.ids, dtype="<u4").tobytes() for k, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True)}
+            made: dict[str, bytes] = {}
+            new = []
+            for k in dict.fromkeys(k for k, x in zip(keys, found, strict=True) if x is None):
+                x = self.older.get(k)
+                if x is None:
+                    new.append(k)
+                else:
+                    made[k] = x
+            for k, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                made[k] = np.array(e.ids, dtype="<u4").tobytes()
             found = [made[k] if x is None else x for k, x in zip(keys, found, strict=True)]
             if len(known) + len(made) > KEPT_FRAGMENTS:
-                known.clear()
-            known.update((k, x) for k, x in made.items() if len(k) <= KEPT_LENGTH)
+                self.older, self.known = known, {}
+            self.known.update((k, x) for k, x in made.items() if len(k) <= KEPT_LENGTH)
         return found
 
     def _plain(self, text: str) -> bytes:
         if not text:
             return b""
+        if not self.touching.search(text) and not self.doubled.search(text):
+            return b"".join(self._look_up(self.spaced.findall(text)))
         first, *rest = self.fragments(text)
         return b"".join(self._look_up([first, *map(" ".__add__, rest)]))
 

@@ -31,7 +31,8 @@ def word_ids(bpe: ForcedBoundaryBPE, text: str | None) -> bytes:
         return b""
     if (bpe.marks and bpe.marks.search(text)) or _SEPARATORS.search(text):
         return np.array(bpe.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-    return b"".join(bpe._look_up(text.split()))
+    words = text.split() if bpe.touching.search(text) else bpe.bare.findall(text)
+    return b"".join(bpe._look_up(words))
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", stripe_bytes: int = 64 << 20) -> None:
