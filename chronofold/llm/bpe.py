@@ -47,6 +47,21 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
+#: Characters whose fragments are looked up together.
+LOOKED_UP = 1 << 20
+
+
+class _Fragments(dict):
+    """Packed ids by fragment; what is asked for and not there is noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.missed: list[str] = []
+
+    def __missing__(self, fragment: str) -> None:
+        self.missed.append(fragment)
+
+
 class ForcedBoundaryBPE:
     """A tokenizers file, encoded by fragments. Its results equal the library's on every text."""
 
@@ -85,12 +100,12 @@ class ForcedBoundaryBPE:
         #: Runs between cuts, with the blank before them, and without blanks.
         self.spaced, self.bare = re.compile(rf" ?[^\s{sign}]+| ?[{sign}]+|\s"), re.compile(rf"[^\s{sign}]+|[{sign}]+")
         #: Texts where this matches may not be cut at signs.
-        self.touching = re.compile(rf"[^\w\s{sign}][{sign}]|[{sign}][^\w\s{sign}]|[\x1c-\x1f]")
+        self.touching = re.compile(rf"[^\w\s{sign}][{sign}]|[{sign}][^\w\s{sign}]")
+        self.other, self.separators = re.compile(rf"[^\w\s{sign}]"), re.compile("[\x1c-\x1f]")
         self.doubled = re.compile(r"\s\s")
         self.marks = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         #: Ids of fragments, in two generations: a full one replaces the older.
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known, self.older = _Fragments(), {}
 
     def fragments(self, text: str) -> list[str]:
         """Pieces of text between certain cuts; joined by one blank each they give the text."""
@@ -107,49 +122,71 @@ class ForcedBoundaryBPE:
                 held = part
         return [*out, held]
 
-    def _look_up(self, keys: list[str]) -> list[bytes]:
-        """Packed ids of each fragment; keys of all but the first begin with a blank."""
-        known = self.known
-        found = list(map(known.get, keys))
-        if None in found:
-            made: dict[str, bytes] = {}
-            new = []
-            for k in dict.fromkeys(k for k, x in zip(keys, found, strict=True) if x is None):
-                x = self.older.get(k)
-                if x is None:
-                    new.append(k)
-                else:
-                    made[k] = x
-            for k, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                made[k] = np.array(e.ids, dtype="<u4").tobytes()
-            found = [made[k] if x is None else x for k, x in zip(keys, found, strict=True)]
-            if len(known) + len(made) > KEPT_FRAGMENTS:
-                self.older, self.known = known, {}
-            self.known.update((k, x) for k, x in made.items() if len(k) <= KEPT_LENGTH)
-        return found
-
-    def _plain(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.touching.search(text) and not self.doubled.search(text):
-            return b"".join(self._look_up(self.spaced.findall(text)))
+    def _learn(self) -> list[str]:
+        """Add the fragments that were missed; those too long to keep are returned."""
+        known, new = self.known, []
+        for k in dict.fromkeys(known.missed):
+            x = self.older.get(k)
+            if x is None:
+                new.append(k)
+            else:
+                known[k] = x
+        known.missed.clear()
+        for k, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[k] = np.array(e.ids, dtype="<u4").tobytes()
+        return [k for k in new if len(k) > KEPT_LENGTH]
+
+    def uncuttable(self, text: str) -> bool:
+        """Whether signs are no cuts in this text."""
+        return bool(self.separators.search(text) or (self.other.search(text) and self.touching.search(text)))
+
+    def _pieces(self, text: str) -> list[str]:
+        if not self.uncuttable(text) and not self.doubled.search(text):
+            return self.spaced.findall(text)
         first, *rest = self.fragments(text)
-        return b"".join(self._look_up([first, *map(" ".__add__, rest)]))
+        return [first, *map(" ".__add__, rest)]
 
-    def packed(self, text: str | None) -> bytes:
-        """Ids of the whole text as little-endian unsigned 32-bit integers (null: none)."""
+    def _split(self, text: str | None) -> list[str]:
+        """Fragments of a whole text, special tokens among them."""
         if not text:
-            return b""
+            return []
         if self.marks is None or not self.marks.search(text):
-            return self._plain(text)
+            return self._pieces(text)
         out, at = [], 0
         for m in self.marks.finditer(text):
-            out += [self._plain(text[at : m.start()]), np.array([self.special[m[0]]], dtype="<u4").tobytes()]
+            out += [*(self._pieces(text[at : m.start()]) if m.start() > at else []), m[0]]
             at = m.end()
-        return b"".join([*out, self._plain(text[at:])])
+        return out + (self._pieces(text[at:]) if at < len(text) else [])
+
+    def packed(self, texts: list[str | None], split=None) -> Iterator[bytes]:
+        """Ids of each whole text as little-endian unsigned 32-bit integers (null: none).
+
+        Texts are taken together until they are LOOKED_UP characters, so that unknown fragments go
+        to the library in few calls.
+        """
+        split, at = split or self._split, 0
+        while at < len(texts):
+            size, keys = 0, []
+            while at < len(texts) and (not keys or size < LOOKED_UP):
+                keys.append(split(texts[at]))
+                size += len(texts[at] or "")
+                at += 1
+            known = self.known
+            found = [list(map(known.__getitem__, k)) for k in keys]
+            if known.missed:
+                long = self._learn()
+                found = [list(map(known.__getitem__, k)) if None in f else f for k, f in zip(keys, found, strict=True)]
+                for k in long:
+                    del known[k]
+                if len(known) > KEPT_FRAGMENTS:
+                    self.older, self.known = known, _Fragments()
+            yield from map(b"".join, found)
+
+    def encode_many(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        return (np.frombuffer(x, dtype="<u4") for x in self.packed(texts))
 
     def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(self.packed(text), dtype="<u4")
+        return next(self.encode_many([text]))
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of the ids; bytes that are no UTF-8 become U+FFFD. Only byte-level files."""
@@ -171,7 +208,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = load(path)
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [bpe.encode(t).view("<i4") for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [x.view("<i4") for x in bpe.encode_many(list(pdf["text"]))]})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "doc_id long, ids array<int>")
 
@@ -201,8 +238,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         names = {k: str(k) for k in bpe.pieces}
         for pdf in batches:
             out = []
-            for text in pdf["text"]:
-                ids = bpe.encode(text)
+            for text, ids in zip(pdf["text"], bpe.encode_many(list(pdf["text"])), strict=True):
                 decoded = bpe.decode(ids)
                 digits = ",".join(map(names.__getitem__, ids.tolist()))
                 out.append((len(ids), hashlib.sha256(digits.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), decoded == (text or "")))
@@ -220,7 +256,7 @@ def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = load(path)
         for pdf in batches:
-            ids = [bpe.encode(t) for t in pdf["text"]]
+            ids = list(bpe.encode_many(list(pdf["text"])))
             same = [bpe.decode(x) == (t or "") for x, t in zip(ids, pdf["text"], strict=True)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(x) for x in ids], "ids": [x.view("<i4") for x in ids], "lossless": same})
 

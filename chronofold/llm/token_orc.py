@@ -9,7 +9,6 @@ document's place in the whole sequence, so nothing is rewritten once counts are
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,18 +20,23 @@ from pyspark.sql import functions as F
 from .bpe import ForcedBoundaryBPE, load
 from .common import text_batches
 
-#: Characters that Python takes for blanks and the vocabulary's pattern doesn't.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
 
+def split_words(bpe: ForcedBoundaryBPE, text: str | None) -> list[str]:
+    """Fragments under a vocabulary that drops white space: its runs are cuts too.
 
-def word_ids(bpe: ForcedBoundaryBPE, text: str | None) -> bytes:
-    """Packed ids of a text under a vocabulary that drops white space: runs of it are the cuts."""
+    A text that holds a special token, or a separator that Python takes for a blank and the
+    vocabulary doesn't, is one fragment.
+    """
     if not text:
-        return b""
-    if (bpe.marks and bpe.marks.search(text)) or _SEPARATORS.search(text):
-        return np.array(bpe.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-    words = text.split() if bpe.touching.search(text) else bpe.bare.findall(text)
-    return b"".join(bpe._look_up(words))
+        return []
+    if (bpe.marks and bpe.marks.search(text)) or bpe.separators.search(text):
+        return [text]
+    return text.split() if bpe.uncuttable(text) else bpe.bare.findall(text)
+
+
+def word_ids(bpe: ForcedBoundaryBPE, texts: list[str | None]) -> Iterator[bytes]:
+    """Packed ids of whole texts."""
+    return bpe.packed(texts, lambda text: split_words(bpe, text))
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", stripe_bytes: int = 64 << 20) -> None:
@@ -48,7 +52,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
         for batch in batches:
-            packed = [word_ids(bpe, t) + tail for t in batch.column("text").to_pylist()]
+            packed = [x + tail for x in word_ids(bpe, batch.column("text").to_pylist())]
             sizes = np.fromiter((len(x) // 4 for x in packed), dtype=np.int64, count=len(packed))
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
