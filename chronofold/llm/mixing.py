@@ -40,7 +40,7 @@ class Raking:
 
     def cells(self, docs: DataFrame) -> DataFrame:
         """(source, lang, topic, tokens, factor) of every cell that holds tokens."""
-        start = docs.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")).where("tokens > 0").withColumn("w", F.col("tokens").cast("double"))
+        start = materialize(docs.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")).where("tokens > 0").withColumn("w", F.col("tokens").cast("double")))
         for dim in DIMS:
             if dim in self.targets:
                 given = self.targets[dim].select(F.col("value").alias(dim), F.col("share").cast("double").alias(f"t_{dim}"))
