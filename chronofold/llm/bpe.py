@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -97,11 +98,15 @@ class ForcedBoundaryBPE:
         plain = np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", dtype=np.uint8)
         signs = [b for b in range(0x21, 0x7F) if not chr(b).isalnum() and not inside[plain, b].any() and not inside[b, plain].any()]
         sign = "".join(re.escape(chr(b)) for b in signs)
+        self.sign = re.compile(f"[{sign}]") if sign else re.compile("(?!)")
         #: Runs between cuts, with the blank before them, and without blanks.
         self.spaced, self.bare = re.compile(rf" ?[^\s{sign}]+| ?[{sign}]+|\s"), re.compile(rf"[^\s{sign}]+|[{sign}]+")
+        # Letters that a normaliser may turn into a letter and a mark count as other symbols, as does the low line.
+        turned = [c for c in map(chr, [0x130, *range(0x900, 0x1000), *range(0xFB00, 0xFB50)]) if c.isalnum() and not all(map(str.isalnum, unicodedata.normalize("NFC", c).lower()))]
+        other = rf"(?:[^\w\s{sign}]|[{''.join(turned)}{'' if ord('_') in signs else '_'}])"
         #: Texts where this matches may not be cut at signs.
-        self.touching = re.compile(rf"[^\w\s{sign}][{sign}]|[{sign}][^\w\s{sign}]")
-        self.other, self.separators = re.compile(rf"[^\w\s{sign}]"), re.compile("[\x1c-\x1f]")
+        self.touching = re.compile(rf"{other}[{sign}]|[{sign}]{other}")
+        self.other, self.separators = re.compile(other), re.compile("[\x1c-\x1f]")
         self.doubled = re.compile(r"\s\s")
         self.marks = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         #: Ids of fragments, in two generations: a full one replaces the older.
