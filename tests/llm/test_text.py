@@ -229,3 +229,24 @@ def test_pipeline(spark):
     lib = library(BYTE)
     assert 0 < len(last) <= len(masked) and all(r["lossless"] for r in last)
     assert all(list(r["ids"]) == lib.encode(masked[r["doc_id"]]["text"], add_special_tokens=False).ids for r in last)
+
+
+def test_word_table_equals_the_library():
+    import random
+
+    import pyarrow as pa
+
+    path = bpe.tokenizer_path("word_bpe_49k.json")
+    library, table, rnd = bpe.load(path).library, token_orc.word_table(path, 2), random.Random(5)
+    letters = "abcXYZ019 _ \t\n'\"-.,;:!?()<>|/\\@#$%^&*+=~`[]{}éñßàçüÉİıſ×÷ªº“”’…  　\x1c\x00\x7f\x85日本зд😀éǅʰ½क़"
+    words = ["don't", "I'll", "<|endoftext|>", "a" * 30, "é" * 14, "'s", "  ", "\r\n", "_~_", "ç İ!"]
+    for _ in range(40):
+        texts = [None, "", " ", "x" * 5000]
+        for _ in range(100):
+            some = rnd.sample(letters, rnd.choice([4, 10, 40]))
+            texts.append("".join(rnd.choice(some) if rnd.random() < 0.93 else rnd.choice(words) for _ in range(rnd.choice([3, 8, 30]))))
+        sizes, ids = table.encode(pa.array(texts, pa.string()))
+        expected = [[*e.ids, 2] for e in library.encode_batch_fast([x or "" for x in texts], add_special_tokens=False)]
+        assert sizes.tolist() == [len(x) for x in expected]
+        assert ids.tolist() == [x for e in expected for x in e]
+    assert table.encode(pa.array([], pa.string()))[1].tolist() == []
