@@ -36,6 +36,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Standard deviations by which an estimate from signatures may fall short of the threshold: a pair
+#: right at it is left out with a chance of 3 in 100,000.
+DEVIATIONS = 4.0
+
 _BYTES = _splitmix(256, 17)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BLANK = np.zeros(256, dtype=bool)
@@ -85,14 +89,14 @@ def signature(found: np.ndarray, hashes: int, seed: int) -> np.ndarray:
     return low
 
 
-def forest_pairs(tree: np.ndarray, key: np.ndarray, bits: np.ndarray, size: np.ndarray, comp: np.ndarray, window: int, num: int, den: int, adaptive: bool) -> tuple[np.ndarray, np.ndarray]:
+def forest_pairs(tree: np.ndarray, key: np.ndarray, bits: np.ndarray, size: np.ndarray, comp: np.ndarray, window: int, num: int, den: int, adaptive: bool, deviations: float = DEVIATIONS) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs (positions i < j) among rows sorted by tree and key.
 
     adaptive False: neighbours at distance up to window with a common prefix. True: a row's depth
     is the smallest at which its run of equal prefixes has at most window rows (else the full
     depth), and its partners are those of its run within window. Pairs of one component, pairs
     whose set sizes exclude the threshold, and pairs whose signatures agree so rarely that the
-    threshold is over six standard deviations away are left out.
+    threshold is over `deviations` standard deviations away are left out.
     """
     n, depth = key.shape
     same = (key[1:] == key[:-1]) & (tree[1:] == tree[:-1])[:, None]
@@ -110,7 +114,7 @@ def forest_pairs(tree: np.ndarray, key: np.ndarray, bits: np.ndarray, size: np.n
             ids = np.cumsum(common < d)
             run[level == d] = ids[level == d] * (depth + 1) + d
     share = num / den
-    least = share - 6 * np.sqrt(share * (1 - share) / bits.shape[1])
+    least = share - deviations * np.sqrt(share * (1 - share) / bits.shape[1])
     left, right = [], []
     for gap in range(1, min(window, n - 1) + 1):
         i = np.flatnonzero((run[gap:] == run[:-gap]) & (comp[gap:] != comp[:-gap]))
@@ -140,11 +144,12 @@ class NearDuplicates:
 
     width: words of a shingle; trees and depth: sorted orders and hash values of each;
     bucket: rows up to which a region is not looked at deeper; compared: hash values, 8 bits of
-    each, by which a pair's similarity is estimated before texts are fetched.
+    each, by which a pair's similarity is estimated before texts are fetched; salted: rows of a
+    large run that are compared in one place.
     """
 
-    def __init__(self, width: int = 5, num: int = 80, den: int = 100, trees: int = 16, depth: int = 14, bucket: int = 32, compared: int = 96, seed: int = 1):
-        self.width, self.num, self.den, self.trees, self.depth, self.bucket, self.compared, self.seed = width, num, den, trees, depth, bucket, min(compared, trees * depth), seed
+    def __init__(self, width: int = 5, num: int = 80, den: int = 100, trees: int = 16, depth: int = 14, bucket: int = 32, compared: int = 96, seed: int = 1, salted: int = 1024):
+        self.width, self.num, self.den, self.trees, self.depth, self.bucket, self.compared, self.seed, self.salted = width, num, den, trees, depth, bucket, min(compared, trees * depth), seed, salted
 
     def sketch(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         width, hashes, compared, seed = self.width, self.trees * self.depth, self.compared, self.seed
@@ -242,16 +247,24 @@ class NearDuplicates:
 
         There a row has met its neighbours only. Rows outside the run's largest component are
         compared with all rows of other components; a run that is one component costs nothing.
+        Pairs whose signatures, all values of them, agree so rarely that the threshold is over
+        DEVIATIONS standard deviations away are left out.
         """
-        rows = self._rows(classes, self.trees)
-        large = rows.groupBy("tree", "key").agg(F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(f"rows > {self.bucket} AND lo <> hi").select("tree", "key")
-        mixed = rows.join(large, ["tree", "key"])
+        rows = self._rows(classes, self.trees).drop("bits")
+        large = rows.groupBy("tree", "key").agg(F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(f"rows > {self.bucket} AND lo <> hi")
+        mixed = rows.join(large.select("tree", "key", F.ceil(F.col("rows") / self.salted).cast("int").alias("salts")), ["tree", "key"])
         main = mixed.groupBy("tree", "key", "comp").count().groupBy("tree", "key").agg(F.max(F.struct("count", F.col("comp").alias("id")))["id"].alias("main"))
-        salts = 16
-        few = mixed.join(main, ["tree", "key"]).where("comp <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        many = mixed.select("tree", "key", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"), F.col("doc_id").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"))
-        near = few.join(many, ["tree", "key", "salt"]).where(f"comp <> comp_b AND {self.den} * least(n, n_b) >= {self.num} * greatest(n, n_b)")
-        return materialize(near.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct())
+        hashes, share = self.trees * self.depth, self.num / self.den
+        least = hashes * (share - DEVIATIONS * (share * (1 - share) / hashes) ** 0.5)
+        values = classes.select("doc_id", F.expr(f"transform(sequence(0, {hashes - 1}), i -> substring(sig, 4 * i + 1, 4))").alias("values"))
+        mixed = materialize(mixed.join(values, "doc_id").join(main, ["tree", "key"]))
+        few = mixed.where("comp <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        many = mixed.select("tree", "key", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), F.col("doc_id").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("values").alias("values_b"))
+        alike = f"size(filter(zip_with(values, values_b, (x, y) -> x = y), x -> x)) >= {least}"
+        near = few.join(many, ["tree", "key", "salt"]).where(f"comp <> comp_b AND {self.den} * least(n, n_b) >= {self.num} * greatest(n, n_b) AND {alike}")
+        out = materialize(near.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct())
+        release(mixed)
+        return out
 
     def transform(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(doc_id, n_shingles, component_id, kept), one row per input row; other columns don't matter.
@@ -269,7 +282,7 @@ class NearDuplicates:
         texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
         alone = classes.withColumn("comp", F.col("doc_id"))
-        first = self.candidates(alone, count, min(2, self.trees), adaptive=False)
+        first = self.candidates(alone, count, min(4, self.trees), adaptive=False)
         links = self.confirmed(first, texts)
         release(first)
         labels = connected_components(links)
