@@ -220,7 +220,7 @@ class NearDuplicates:
 
     def confirmed(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """Those pairs whose full sets reach the threshold."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        ids = pairs.select(F.col("a").alias("doc_id")).distinct().unionByName(pairs.select(F.col("b").alias("doc_id")).distinct()).distinct()
         needed = materialize(only_ids(texts, ids, "doc_id"))
         width, num, den = self.width, self.num, self.den
 
