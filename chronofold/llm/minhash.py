@@ -5,6 +5,7 @@ an aggregate on a 128-bit digest. Class representatives go into several sorted s
 (trees). In each order, a region is a run of rows that share a prefix; its depth is the smallest
 at which the run has at most `bucket` rows, so crowded regions are looked at deeper. Pairs of a
 region that may reach the threshold are confirmed on the full sets, and links give components.
+What is left of larger runs of equal keys is compared on the full sets without an estimate.
 """
 
 from __future__ import annotations
@@ -36,9 +37,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Standard deviations by which an estimate from signatures may fall short of the threshold: a pair
-#: right at it is left out with a chance of 3 in 100,000.
-DEVIATIONS = 4.0
+#: Standard deviations by which an estimate from signatures may fall short of the threshold: by exact
+#: binomial tails, a pair right at it is left out with a chance of 2e-8 to 5e-8.
+DEVIATIONS = 6.0
 
 _BYTES = _splitmix(256, 17)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -145,11 +146,11 @@ class NearDuplicates:
     width: words of a shingle; trees and depth: sorted orders and hash values of each;
     bucket: rows up to which a region is not looked at deeper; compared: hash values, 8 bits of
     each, by which a pair's similarity is estimated before texts are fetched; salted: rows of a
-    large run that are compared in one place.
+    large run that are compared in one place; shingles: of these rows, beyond which they are dealt out.
     """
 
-    def __init__(self, width: int = 5, num: int = 80, den: int = 100, trees: int = 16, depth: int = 14, bucket: int = 32, compared: int = 96, seed: int = 1, salted: int = 1024):
-        self.width, self.num, self.den, self.trees, self.depth, self.bucket, self.compared, self.seed, self.salted = width, num, den, trees, depth, bucket, min(compared, trees * depth), seed, salted
+    def __init__(self, width: int = 5, num: int = 80, den: int = 100, trees: int = 16, depth: int = 14, bucket: int = 32, compared: int = 96, seed: int = 1, salted: int = 1024, shingles: int = 4 << 20):
+        self.width, self.num, self.den, self.trees, self.depth, self.bucket, self.compared, self.seed, self.salted, self.shingles = width, num, den, trees, depth, bucket, min(compared, trees * depth), seed, salted, shingles
 
     def sketch(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         width, hashes, compared, seed = self.width, self.trees * self.depth, self.compared, self.seed
@@ -242,28 +243,54 @@ class NearDuplicates:
         release(needed)
         return out
 
-    def stragglers(self, classes: DataFrame) -> DataFrame:
-        """Pairs left over in runs of equal full keys that are larger than a bucket.
+    def stragglers(self, classes: DataFrame, texts: DataFrame) -> DataFrame:
+        """Links left over in runs of equal full keys that are larger than a bucket.
 
         There a row has met its neighbours only. Rows outside the run's largest component are
-        compared with all rows of other components; a run that is one component costs nothing.
-        Pairs whose signatures, all values of them, agree so rarely that the threshold is over
-        DEVIATIONS standard deviations away are left out.
+        compared on their full sets with all rows of other components, in groups of so many rows
+        of both sides that a task can hold; a run that is one component costs nothing.
         """
+        run, width, num, den = ["tree", "key"], self.width, self.num, self.den
         rows = self._rows(classes, self.trees).drop("bits")
-        large = rows.groupBy("tree", "key").agg(F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(f"rows > {self.bucket} AND lo <> hi")
-        mixed = rows.join(large.select("tree", "key", F.ceil(F.col("rows") / self.salted).cast("int").alias("salts")), ["tree", "key"])
-        main = mixed.groupBy("tree", "key", "comp").count().groupBy("tree", "key").agg(F.max(F.struct("count", F.col("comp").alias("id")))["id"].alias("main"))
-        hashes, share = self.trees * self.depth, self.num / self.den
-        least = hashes * (share - DEVIATIONS * (share * (1 - share) / hashes) ** 0.5)
-        values = classes.select("doc_id", F.expr(f"transform(sequence(0, {hashes - 1}), i -> substring(sig, 4 * i + 1, 4))").alias("values"))
-        mixed = materialize(mixed.join(values, "doc_id").join(main, ["tree", "key"]))
-        few = mixed.where("comp <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        many = mixed.select("tree", "key", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), F.col("doc_id").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("values").alias("values_b"))
-        alike = f"size(filter(zip_with(values, values_b, (x, y) -> x = y), x -> x)) >= {least}"
-        near = few.join(many, ["tree", "key", "salt"]).where(f"comp <> comp_b AND {self.den} * least(n, n_b) >= {self.num} * greatest(n, n_b) AND {alike}")
-        out = materialize(near.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct())
+        large = rows.groupBy(*run).agg(F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(f"rows > {self.bucket} AND lo <> hi")
+        mixed = rows.join(large.select(*run), run)
+        main = mixed.groupBy(*run, "comp").count().groupBy(*run).agg(F.max(F.struct("count", F.col("comp").alias("id")))["id"].alias("main"))
+        mixed = mixed.join(main, run).withColumn("rare", F.col("comp") != F.col("main"))
+        groups = lambda on: F.ceil(F.greatest(F.count(F.when(on, 1)) / self.salted, F.sum(F.when(on, F.col("n"))) / self.shingles)).cast("int")
+        mixed = materialize(mixed.join(mixed.groupBy(*run).agg(groups(F.lit(True)).alias("salts"), groups(F.col("rare")).alias("rare_salts")), run).drop("main"))
+        needed = materialize(only_ids(texts, mixed.select("doc_id").distinct(), "doc_id"))
+        own = lambda salts: F.pmod(F.xxhash64("doc_id"), F.col(salts)).cast("int")
+        every = lambda salts: F.explode(F.sequence(F.lit(0), F.col(salts) - 1))
+        few = mixed.where("rare").withColumn("x", own("rare_salts")).withColumn("y", every("salts"))
+        many = mixed.withColumn("y", own("salts")).withColumn("x", every("rare_salts"))
+        place, shown = [*run, "x", "y"], ["rare", "doc_id", "comp"]
+        both_sides = few.select(*place, *shown).unionByName(many.select(*place, F.lit(False).alias("rare"), *shown[1:])).join(needed, "doc_id")
+
+        def check(pdf: pd.DataFrame) -> pd.DataFrame:
+            few, many = pdf[pdf["rare"]], pdf[~pdf["rare"]]
+            a, b = [], []
+            if len(few) and len(many):
+                sets = [shingle_set(text, width) for text in many["text"]]
+                sizes, values = np.array([len(x) for x in sets]), np.concatenate(sets)
+                starts, ids, comps = np.cumsum(sizes) - sizes, many["doc_id"].to_numpy(), many["comp"].to_numpy()
+                for one, comp, text in zip(few["doc_id"], few["comp"], few["text"], strict=True):
+                    found = shingle_set(text, width)
+                    near = (comps != comp) & (den * np.minimum(sizes, len(found)) >= num * np.maximum(sizes, len(found))) & (sizes > 0)
+                    if not near.any():
+                        continue
+                    hits = np.zeros(len(values) + 1, dtype=np.int64)
+                    np.cumsum(found[np.minimum(np.searchsorted(found, values), len(found) - 1)] == values, out=hits[1:])
+                    both = hits[starts + sizes] - hits[starts]
+                    near &= (both > 0) & (den * both >= num * (sizes + len(found) - both))
+                    b.append(ids[near])
+                    a.append(np.full(len(b[-1]), one, dtype=np.int64))
+            none = [np.zeros(0, dtype=np.int64)]
+            return pd.DataFrame({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
+
+        links = both_sides.groupBy(*place).applyInPandas(check, "a long, b long")
+        out = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         release(mixed)
+        release(needed)
         return out
 
     def transform(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,9 +321,9 @@ class NearDuplicates:
         links = links.unionByName(more)
         if not more.isEmpty():
             labels = connected_components(links)
-        rest = self.stragglers(self._labelled(classes, labels))
+        rest = self.stragglers(self._labelled(classes, labels), texts)
         if not rest.isEmpty():
-            labels = connected_components(links.unionByName(self.confirmed(rest, texts)))
+            labels = connected_components(links.unionByName(rest))
         named = self._labelled(classes, labels).select("digest", "comp")
         out = sketches.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(named, "digest", "left")
         out = out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from chronofold.llm.minhash import NearDuplicates, shingle_set
+from chronofold.llm.minhash import NearDuplicates, forest_pairs, shingle_set
 from chronofold.llm.pstable import EmbeddingDuplicates, settings
 from chronofold.llm.topk import ExactTopK
 from chronofold.operators.components import connected_components
@@ -100,6 +100,34 @@ def test_minhash_edges(spark):
     assert NearDuplicates().transform(docs.limit(0)).count() == 0
 
 
+class OneRun(NearDuplicates):
+    """Signatures that agree in the first tree only, whatever the sets are."""
+
+    def sketch(self, docs, id_col, text_col):
+        other = "unhex(repeat(sha2(cast(doc_id AS string), 256), 27))"
+        return super().sketch(docs, id_col, text_col).selectExpr("doc_id", "n", "digest", f"concat(unhex(repeat('07', 56)), substring({other}, 1, 840)) AS sig", f"substring({other}, 1, 96) AS bits")
+
+
+@pytest.mark.parametrize("salted, shingles", [(1024, 4 << 20), (5, 4 << 20), (1024, 300)])
+def test_large_runs_are_compared_on_full_sets(spark, salted, shingles):
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(50)]
+    texts[49], texts[41] = texts[0] + " end", "begin " + texts[3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in OneRun(width=3, num=85, den=100, salted=salted, shingles=shingles).transform(docs).collect()}
+    assert got == {i: {49: 0, 41: 3}.get(i, i) for i in range(50)}
+
+
+@pytest.mark.parametrize("num", [80, 85])
+def test_estimates_within_six_deviations_stay(num):
+    share = num / 100
+    bits = np.zeros((2, 96), dtype=np.uint8)
+    bits[1, : 96 - int(np.ceil(96 * (share - 5.8 * (share * (1 - share) / 96) ** 0.5)))] = 1
+    rows = np.zeros(2, dtype=np.int64), np.zeros((2, 14), dtype=np.uint32), bits, np.array([100, 100]), np.array([0, 1])
+    for adaptive in (False, True):
+        assert [x.tolist() for x in forest_pairs(*rows, 32, num, 100, adaptive)] == [[0], [1]]
+
+
 def vectors_of(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, n int").select("vec_id", "embedding", "n")
 
