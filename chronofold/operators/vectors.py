@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as X
 from ..session import ship
 
-#: Rows of a block of the self-join.
-BLOCK = 1024
+#: Rows of a block of the self-join, and queries of a block of the batch search.
+BLOCK, QUERY_BLOCK = 1024, 64
 
 
 def topk(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", order: str = "ord") -> DataFrame:
@@ -28,14 +28,21 @@ def topk(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", ord
     return scored.orderBy(F.desc("score"), F.asc(order)).limit(k)
 
 
+def query_blocks(queries: DataFrame) -> tuple[DataFrame, int]:
+    """(qb, qs) with about QUERY_BLOCK queries each, dealt by hash, and the number of blocks (4 at least)."""
+    count = max(4, -(-queries.count() // QUERY_BLOCK))
+    dealt = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(count)).cast("int"))
+    return dealt.groupBy("qb").agg(F.collect_list(F.struct("query_id", "q")).alias("qs")), count
+
+
 def topk_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id") -> DataFrame:
     """(query_id, id, score, rank): the k best rows for each row of queries (query_id, q).
 
-    Queries are packed in blocks of rows and joined by block, so that neither side has to fit in
-    a task; ranks are cut within each task before they meet.
+    Queries are packed in blocks of rows, as many as their count asks for, and joined by block, so
+    that neither side has to fit in a task; ranks are cut within each task before they meet.
     """
-    blocks = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(4)).cast("int")).groupBy("qb").agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    rows = vectors.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    blocks, count = query_blocks(queries)
+    rows = vectors.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     pairs = rows.join(blocks, "qb").select(F.explode("qs").alias("x"), F.col(id_col).alias("id"), "embedding")
     scored = pairs.select(F.col("x.query_id").alias("query_id"), "id", X.cosine(F.col("embedding"), F.col("x.q")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id")))

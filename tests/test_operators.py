@@ -88,6 +88,22 @@ def test_pairs_equal_brute_force(spark):
         vectors.BLOCK = old
 
 
+def test_batch_search_deals_queries_in_blocks(spark):
+    rng = np.random.default_rng(9)
+    m = rng.standard_normal((700, 6)).astype(np.float32)
+    rows = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(m)], "id long, embedding array<float>")
+    asked = rows.selectExpr("id AS query_id", "embedding AS q")
+    blocks, count = vectors.query_blocks(asked)
+    sizes = [r["n"] for r in blocks.select(F.size("qs").alias("n")).collect()]
+    assert count == 11 and sum(sizes) == 700 and max(sizes) <= 2 * vectors.QUERY_BLOCK
+    assert vectors.query_blocks(asked.limit(0))[1] == 4
+    d = m.astype(float)
+    d /= np.linalg.norm(d, axis=1)[:, None]
+    best = np.argsort(-(d @ d.T), axis=1, kind="stable")[:, :3]
+    got = {(r["query_id"], r["rank"]): r["id"] for r in vectors.topk_batch(rows, asked, 3).collect()}
+    assert got == {(q, k + 1): int(best[q, k]) for q in range(700) for k in range(3)}
+
+
 def test_greedy_merge_and_keeper(spark):
     claims = spark.createDataFrame([("a", 1, "2024-01-01"), ("b", 1, "2024-01-02"), ("c", 5, "2024-01-01"), ("d", 0, "x")], "id string, hits long, created string")
     pairs = spark.createDataFrame([("a", "b", 0, 1, 0.99), ("b", "c", 1, 2, 0.97), ("a", "c", 0, 2, 0.98), ("c", "d", 2, 3, 0.96)], "a string, b string, a_ord long, b_ord long, score double")
