@@ -4,7 +4,8 @@ Pages of one host are merged into a tree of element paths. A path's content impo
 minus the mean entropy of its block texts over the pages that have the path (a text on every page
 says nothing), its presentation importance the entropy of its inline markup; sparse hosts are
 shrunk toward the same path over all hosts. Branches of low importance go, and so do elements that
-HTML itself names as navigation, forms, scripts and the like.
+HTML itself names as navigation, forms, scripts and the like. Words of class and id are evidence
+only: an element that they mark goes if it holds a small part of the page's text.
 """
 
 from __future__ import annotations
@@ -40,38 +41,50 @@ CLOSED_BY = {
 }
 BOILERPLATE = frozenset("nav header footer aside form button dialog menu head fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-#: Words of class and id attributes by which sites mark what is no article.
+#: Words of class and id attributes by which sites mark what is no article, and layouts that have it.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer "
     "sidebar aside rail widget related recommended share sharing social cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe "
     "subscription signup login comment comments commentlist disqus respond replies discussion pagination pager toolbar skip copyright legal disclaimer search".split()
 )
 MAIN = frozenset(["article", "main"])
+#: Share of a page's text under which an element that MARKS names is taken for what they say.
+SMALL = 0.3
+
+
+class Mark:
+    """An element that MARKS names: the one around it, and the characters it holds, in all and of articles."""
+
+    __slots__ = ("above", "chars", "main_chars", "gone")
+
+    def __init__(self, above: Mark | None):
+        self.above, self.chars, self.main_chars, self.gone = above, 0, 0, False
 
 
 class Block:
-    """Text of one block: path of its element, whether markup rules it out, whether it is in an article."""
+    """Text of one block: path of its element, whether markup rules it out, the innermost marked element
+    around it, whether it is in an article."""
 
-    __slots__ = ("path", "ruled_out", "main", "style", "text")
+    __slots__ = ("path", "ruled_out", "mark", "main", "style", "text")
 
-    def __init__(self, path: str, ruled_out: bool, main: bool, style: str, text: str):
-        self.path, self.ruled_out, self.main, self.style, self.text = path, ruled_out, main, style, text
+    def __init__(self, path: str, ruled_out: bool, mark: Mark | None, main: bool, style: str, text: str):
+        self.path, self.ruled_out, self.mark, self.main, self.style, self.text = path, ruled_out, mark, main, style, text
 
 
-def _element(name: str, attributes: str) -> tuple[str, bool]:
-    """Path step of an element, and whether its tag or attributes rule it out."""
-    step, out = name, name in BOILERPLATE
+def _element(name: str, attributes: str) -> tuple[str, bool, bool]:
+    """Path step of an element, whether its tag or attributes rule it out, and whether MARKS names it."""
+    step, out, marked = name, name in BOILERPLATE, False
     if attributes and not attributes.isspace():
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
         names = sorted({w for a in ("class", "id") for w in _WORD.findall(found.get(a, "").lower())})
         if name not in ("html", "body", "article", "main"):
-            out = out or not MARKS.isdisjoint(names)
+            marked = not MARKS.isdisjoint(names)
         out = out or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
         if names:
             step += "." + ".".join(names)
         if found.get("role", "").lower() == "main":
             step = "main"
-    return step, out
+    return step, out, marked
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -79,7 +92,7 @@ def blocks(page: str | None) -> list[Block]:
     if not page:
         return []
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # name, path, ruled out, in an article
+    stack: list[tuple[str, str, bool, Mark | None, bool]] = [("", "", False, None, False)]  # name, path, ruled out, mark, in an article
     buffer: list[str] = []
     style: list[str] = []
 
@@ -90,8 +103,8 @@ def blocks(page: str | None) -> list[Block]:
                 at = len(stack) - 1
                 while at and stack[at][0] in INLINE:
                     at -= 1
-                _, path, ruled, main = stack[at]
-                out.append(Block(path, ruled or any(x[2] for x in stack[at:]), main, " ".join(style), text))
+                _, path, ruled, _, main = stack[at]
+                out.append(Block(path, ruled or any(x[2] for x in stack[at:]), stack[-1][3], main, " ".join(style), text))
             buffer.clear()
         style.clear()
 
@@ -146,22 +159,52 @@ def blocks(page: str | None) -> list[Block]:
                     break
         if name in VOID:
             continue
-        step, ruled = _element(name, m[3] or "")
-        _, path, above, main = stack[-1]
+        step, ruled, marked = _element(name, m[3] or "")
+        _, path, above, mark, main = stack[-1]
         step_path = path if name in INLINE else f"{path}/{step}"
-        stack.append((name, step_path, above or ruled, main or step.split(".")[0] in MAIN))
+        stack.append((name, step_path, above or ruled, Mark(mark) if marked else mark, main or step.split(".")[0] in MAIN))
     flush()
     return out
 
 
+def _without_marked(left: list[Block]) -> list[Block]:
+    """Blocks without those of marked elements that hold a small part of the text.
+
+    Such an element stays if most of the page's text of articles is in it. If nothing else has
+    text, all blocks stay.
+    """
+    marks: dict[int, Mark] = {}
+    order: list[Mark] = []  # every mark after those around it
+    for b in left:
+        chain, mark = [], b.mark
+        while mark is not None and id(mark) not in marks:
+            marks[id(mark)] = mark
+            chain.append(mark)
+            mark = mark.above
+        order.extend(reversed(chain))
+        if b.mark is not None:
+            b.mark.chars += len(b.text)
+            b.mark.main_chars += len(b.text) if b.main else 0
+    for mark in reversed(order):
+        if mark.above is not None:
+            mark.above.chars += mark.chars
+            mark.above.main_chars += mark.main_chars
+    every, articles = sum(len(b.text) for b in left), sum(len(b.text) for b in left if b.main)
+    for mark in order:
+        own = mark.chars < SMALL * every and 2 * mark.main_chars <= articles
+        mark.gone = own or (mark.above is not None and mark.above.gone)
+    return [b for b in left if b.mark is None or not b.mark.gone] or left
+
+
 def main_text(page: str | None, noise: frozenset[str] | set[str] = frozenset()) -> str:
-    """Text of the page without ruled-out blocks and without the paths in noise.
+    """Text of the page without ruled-out blocks, without the paths in noise and without small marked elements.
 
-    If the page has an article or main element with text left, only that counts.
+    If article and main elements hold most of the text that is left, only that counts.
     """
-    left = [b for b in blocks(page) if not b.ruled_out and b.path not in noise]
+    left = _without_marked([b for b in blocks(page) if not b.ruled_out and b.path not in noise])
     inner = [b for b in left if b.main]
-    return "\n".join(b.text for b in (inner or left))
+    most = 2 * sum(len(b.text) for b in inner) > sum(len(b.text) for b in left)
+    return "\n".join(b.text for b in (inner if most else left))
 
 
 def host_of(url: str | None) -> str:

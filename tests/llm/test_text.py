@@ -204,6 +204,30 @@ def test_pages(spark):
     assert SiteStyleTree().transform(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("wrapper", ["class='page has-sidebar'", "class='layout no-sidebar'", "id='wrap' class='header-fixed'", "class='post widget'"])
+def test_marked_wrappers_keep_the_page(wrapper):
+    body = "A long body of the page with many words. " * 5
+    side = "<div class='sidebar'>Side links</div><div class='comments'><div class='comment'>me too</div></div>"
+    assert main_text(f"<body><div {wrapper}>{side}<p>{body}</p></div></body>") == body.strip()
+    assert main_text(f"<body><div {wrapper}>{side}<article><p>{body}</p></article></div></body>") == body.strip()
+    assert main_text(f"<body><p>{body * 4}</p><div {wrapper}><article>{body}</article></div></body>") == f"{body.strip()}\n{body.strip()}".replace(body.strip(), (body * 4).strip(), 1)
+
+
+def test_articles_that_are_teasers():
+    body = "A long body of the page with many words. " * 5
+    teasers = "<div class='related'><article>Read this</article><article>And that</article></div>"
+    assert main_text(f"<div class='content'><p>{body}</p></div><article>Read this</article>") == f"{body.strip()}\nRead this"
+    assert main_text(f"<article><p>{body}</p></article>{teasers}") == body.strip()
+    assert main_text("<div class='widget'>a</div><div class='promo'>b</div><div class='ads'>c</div><div class='share'>d</div>") == "a\nb\nc\nd"
+    assert len(main_text("<div class=ad>" * 3000 + "deep")) == 4
+
+
+def test_marked_elements_are_judged_by_importance(spark):
+    page = "<body><div class='page has-sidebar'><div class='box'>The same line on every page of the site, and a long one at that</div><p>Text number {0} of page {0}</p></div></body>"
+    pages = spark.createDataFrame([(k, f"http://h.example/{k}", page.format(k)) for k in range(30)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in SiteStyleTree().transform(pages).collect()} == {k: f"Text number {k} of page {k}" for k in range(30)}
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 def test_pipeline(spark):
     """Stages against plain versions on the smallest tables."""
