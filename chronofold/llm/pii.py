@@ -1,9 +1,10 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Base patterns find emails, addresses, cards and phone numbers, the seeds. Words around seeds
-are lexical patterns (left word, right word, kind). In rounds, a pattern is scored by the share and
-number of trusted instances among what it extracts, an instance by the patterns that extract it;
-patterns of high confidence then mark identifier-like words that no base pattern matched.
+are lexical patterns (left word, right word or both, and kind). In rounds, a pattern is scored by the
+share and number of trusted instances among what it extracts, an instance by the patterns that
+extract it; patterns of high confidence then mark what looks like an identifier and no base pattern
+matched: words with a digit or an @, and runs of digit groups that blanks join.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ BASE = {
 KINDS = list(BASE)
 #: A document without this character has no match.
 _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Words that hold a digit or an @, with what follows up to the next blank.
-_IDENTIFIER = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: Runs of digit groups joined by single blanks, and other words that hold a digit or an @, with what
+#: follows up to the next blank.
+_IDENTIFIER = r"(?<!\S)(?:[+(]*+[0-9][0-9().+/-]*+(?:\x20[(]?+[0-9][0-9().+/-]*+(?![^\s,;:!?]))++|[^\s0-9@]*+[0-9@]\S*+)"
 #: What an instance of a kind must look like to be taken on its context.
 _SHAPE = {"email": r"^[^\s@]+@[^\s@]+$", "ip": r"^[^0-9]?[0-9]{1,3}([.,:_-][0-9]{1,3}){3}[^0-9]?$", "card": r"^([^0-9]*[0-9]){13,19}[^0-9]*$", "phone": r"^[^A-Za-z]*([0-9][^A-Za-z0-9]*){8,15}$"}
 _WINDOW = 64
@@ -97,21 +99,37 @@ class ContextualPII:
         self.least, self.trust, self.rounds = least, trust, rounds
 
     def identifiers(self, based: DataFrame) -> DataFrame:
-        """Identifier-like words with their context and the kind of the base span they lie in (or null)."""
+        """Base spans with their kind, and other identifiers, each with the words around it."""
         hit = F.col("__text").rlike("[0-9@]")
         rows = based.where(hit).withColumn("hits", F.regexp_extract_all("__text", F.lit(_IDENTIFIER), F.lit(0)))
         rows = rows.withColumn("gaps", F.split("__text", _IDENTIFIER, -1)).withColumn("words", _spans("hits", "gaps"))
-        rows = rows.select("doc_id", *_key(), *[f"__{k}" for k in KINDS], "gaps", F.posexplode("words").alias("i", "w"))
-        before, after = F.rtrim(F.right(F.col("gaps")[F.col("i")], F.lit(_WINDOW))), F.ltrim(F.left(F.col("gaps")[F.col("i") + 1], F.lit(_WINDOW)))
-        inside = F.coalesce(*[F.when(F.exists(f"__{k}", lambda s: (s["start"] < F.col("w.end")) & (s["end"] > F.col("w.start"))), F.lit(k)) for k in KINDS])
+        part = lambda seed: lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["hit"].alias("hit"), F.lit(seed).cast("string").alias("seed"))
+        spans = F.concat(*[F.transform(f"__{k}", part(k)) for k in KINDS])
+        apart = lambda w: ~F.exists("seeds", lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"]))
+        free = F.transform(F.filter("words", apart), part(None))
+        lead = lambda w: F.least(w["start"], F.lit(_WINDOW))
+        before = lambda w: F.rtrim(F.substring("__text", w["start"] - lead(w) + 1, lead(w)))
+        after = lambda w: F.ltrim(F.substring("__text", w["end"] + 1, F.lit(_WINDOW)))
+        placed = lambda w: F.struct(w.alias("w"), F.lower(F.substring_index(before(w), " ", -1)).alias("l"), F.lower(F.substring_index(after(w), " ", 1)).alias("r"))
+        rows = rows.withColumn("seeds", spans).withColumn("all", F.transform(F.concat("seeds", free), placed))
+        rows = rows.select("doc_id", *_key(), F.explode("all").alias("x"))
         return rows.select(
-            "doc_id", "k1", "k2", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col("w.hit").alias("word"),
-            F.lower(F.substring_index(before, " ", -1)).alias("left_word"), F.lower(F.substring_index(after, " ", 1)).alias("right_word"), inside.alias("seed"),
+            "doc_id", "k1", "k2", F.col("x.w.start").alias("start"), F.col("x.w.end").alias("end"), F.col("x.w.hit").alias("word"),
+            F.col("x.l").alias("left_word"), F.col("x.r").alias("right_word"), F.col("x.w.seed").alias("seed"),
         )
 
+    @staticmethod
+    def contexts(words: DataFrame) -> DataFrame:
+        """words once per pattern that may extract them: both words, the left one, the right one (a blank is any word)."""
+        both = F.struct(F.col("left_word").alias("l"), F.col("right_word").alias("r"))
+        left, right = F.struct(F.col("left_word").alias("l"), F.lit(None).cast("string").alias("r")), F.struct(F.lit(None).cast("string").alias("l"), F.col("right_word").alias("r"))
+        some = F.filter(F.array(both, left, right), lambda x: (F.coalesce(x["l"], F.lit("")) != "") | (F.coalesce(x["r"], F.lit("")) != ""))
+        keyed = words.withColumn("x", F.explode(some))
+        return keyed.withColumns({"left_word": F.coalesce("x.l", F.lit(" ")), "right_word": F.coalesce("x.r", F.lit(" "))}).drop("x")
+
     def patterns(self, words: DataFrame) -> DataFrame:
-        """(left_word, right_word, kind, confidence) of the believed patterns."""
-        edges = materialize(words.where("left_word <> '' OR right_word <> ''").groupBy("left_word", "right_word", "word", "seed").agg(F.count("*").alias("n")))
+        """(left_word, right_word, kind, confidence) of the believed patterns; a blank stands for any word."""
+        edges = materialize(self.contexts(words).groupBy("left_word", "right_word", "word", "seed").agg(F.count("*").alias("n")))
         context = ["left_word", "right_word"]
         trusted = edges.where("seed IS NOT NULL").select("word", F.col("seed").alias("kind"), F.lit(1.0).alias("belief")).distinct()
         found = None
@@ -135,7 +153,7 @@ class ContextualPII:
         words = materialize(self.identifiers(with_base_spans(rows)))
         believed = self.patterns(words)
         shape = F.coalesce(*[F.when(F.col("kind") == k, F.col("word").rlike(p)) for k, p in _SHAPE.items()])
-        new = words.where("seed IS NULL").join(believed, ["left_word", "right_word"]).where(shape)
+        new = self.contexts(words.where("seed IS NULL")).join(believed, ["left_word", "right_word"]).where(shape)
         new = new.groupBy("k1", "k2", "start", "end").agg(F.max(F.struct("confidence", "kind"))["kind"].alias("kind"))
         return materialize(new.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("more")))
 

@@ -145,6 +145,24 @@ def test_contexts_discover_and_mask(spark):
     assert masked[0]["ids"] == "x"
 
 
+def test_contexts_of_spans_with_blanks(spark):
+    rng = random.Random(12)
+
+    def card():
+        digits = [4, *(rng.randrange(10) for _ in range(14))]
+        total = sum(d if k % 2 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(digits))
+        text = "".join(map(str, [*digits, -total % 10]))
+        return " ".join(text[k : k + 4] for k in range(0, 16, 4))
+
+    rows = [f"please call +1 ({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)} now" for _ in range(60)] + [f"charge {card()} today" for _ in range(60)]
+    rows += [f"{rng.choice(['ring', 'try', 'use', 'see'])} +1 ({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)} anytime" for _ in range(60)]
+    seeds, found = len(rows), {"call 555-123-4567 now": "phone:5:17", "call (988) 555-2485 now": "phone:5:19", "charge 4111 1111 1111 1112 today": "card:7:26", "call 555 123 4567 or not": "phone:5:17", "fax 555 123 4568 anytime": "phone:4:16"}
+    rows += [*found, "in 1999 2000 2001 we met", "page 12 of 30"]
+    got = {r["doc_id"]: r for r in ContextualPII().transform(frame(spark, list(enumerate(rows)))).collect()}
+    assert all(got[i]["n_found"] == 0 and got[i]["spans"] for i in range(seeds))
+    assert {rows[i]: got[i]["spans"] for i in range(seeds, len(rows))} == found | {rows[-2]: "", rows[-1]: ""}
+
+
 def test_raking_meets_targets(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(["w"] * rng.randrange(1, 30)), rng.choice(["s0"] * 6 + ["s1", "s2", None]), rng.choice(["l0", "l0", "l1"]), "mine") for i in range(600)] + [(900, None, "s0", "l0", "mine"), (901, "", "s1", "l1", "mine")]
