@@ -55,6 +55,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str = "") -> str:
+    """A new path in the shared folder, deleted when the interpreter ends."""
+    path = f"{scratch_dir(spark)}/chronofold/{name}{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_clean)
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
@@ -63,11 +72,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     ship(spark)
-    path = f"{scratch_dir(spark)}/chronofold/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
-    if not _written:
-        atexit.register(_clean)
-    _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
