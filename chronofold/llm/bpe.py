@@ -5,9 +5,10 @@ the text may be cut there and the fragments encoded independently, provided that
 text into words, which comes before the merges, does not look across the cut either. That holds
 where a blank follows a visible character, as the patterns in use let a blank start a piece but
 never end one, and where a letter or digit meets ASCII punctuation, which they never join. Texts
-where other symbols touch punctuation, or blanks follow blanks, are cut at fewer places. Fragments
-repeat, so their ids are kept, packed, in a bounded table, and a text becomes a concatenation of
-table entries.
+where other symbols touch punctuation, or blanks follow blanks, are cut at fewer places. In long
+fragments, as of scripts without blanks, a cut falls between any two letters beyond ASCII whose
+meeting bytes are in no token. Fragments repeat, so their ids are kept, packed, in a bounded table
+that is dropped when a task ends, and a text becomes a concatenation of table entries.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import text_batches, tidy
 
-#: Fragments kept per Python worker, and the longest that is worth keeping (in characters).
-KEPT_FRAGMENTS, KEPT_LENGTH = 600_000, 64
+#: Fragments of a generation of a worker's table (some 25 MB), and the longest that is worth keeping (in characters).
+KEPT_FRAGMENTS, KEPT_LENGTH = 100_000, 64
+#: Characters beyond which a fragment with letters beyond ASCII is looked at for cuts between letters.
+LONG = 16
 
 
 def tokenizer_path(name: str) -> str:
@@ -48,6 +51,17 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
+@lru_cache(maxsize=1)
+def _wide_letters() -> np.ndarray:
+    """Which code points beyond ASCII are letters; those that compose with letters are left out."""
+    out = np.zeros(0x110000, dtype=bool)
+    out[0x80:0xD800] = [unicodedata.category(chr(c))[0] == "L" for c in range(0x80, 0xD800)]
+    out[0xE000:] = [unicodedata.category(chr(c))[0] == "L" for c in range(0xE000, 0x110000)]
+    for low, high in ((0x1100, 0x1200), (0xA960, 0xA980), (0xD7B0, 0xD800)):
+        out[low:high] = False
+    return out
+
+
 #: Characters whose fragments are looked up together.
 LOOKED_UP = 1 << 20
 
@@ -109,9 +123,27 @@ class ForcedBoundaryBPE:
         self.other, self.separators = re.compile(other), re.compile("[\x1c-\x1f]")
         self.doubled = re.compile(r"\s\s")
         self.marks = re.compile("|".join(map(re.escape, self.special))) if self.special else None
-        #: Ids of fragments, in two generations: a full one replaces the older.
+        #: Whether a cut may fall inside words: no end-of-word marks, no normaliser.
+        self.inner = not self.suffix and not spec.get("normalizer")
+        self.never = ~inside
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the table of fragments: ids in two generations, a full one replaces the older."""
         self.known, self.older = _Fragments(), {}
 
+    def between_letters(self, fragment: str) -> list[str]:
+        """A fragment cut between letters beyond ASCII whose meeting bytes are inside no token."""
+        code = np.frombuffer(fragment.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        letter = _wide_letters()[code]
+        both = np.flatnonzero(letter[1:] & letter[:-1])
+        if not len(both):
+            return [fragment]
+        last, after = 0x80 | (code[both] & 0x3F), code[both + 1]
+        first = np.where(after < 0x800, 0xC0 | after >> 6, np.where(after < 0x10000, 0xE0 | after >> 12, 0xF0 | after >> 18))
+        cuts = (both[self.never[last, first]] + 1).tolist()
+        return [fragment[i:j] for i, j in zip([0, *cuts], [*cuts, len(fragment)], strict=True)]
+
     def fragments(self, text: str) -> list[str]:
         """Pieces of text between certain cuts; joined by one blank each they give the text."""
         parts = text.split(" ")
@@ -147,9 +179,13 @@ class ForcedBoundaryBPE:
 
     def _pieces(self, text: str) -> list[str]:
         if not self.uncuttable(text) and not self.doubled.search(text):
-            return self.spaced.findall(text)
-        first, *rest = self.fragments(text)
-        return [first, *map(" ".__add__, rest)]
+            out = self.spaced.findall(text)
+        else:
+            first, *rest = self.fragments(text)
+            out = [first, *map(" ".__add__, rest)]
+        if not self.inner or text.isascii():
+            return out
+        return [y for x in out for y in (self.between_letters(x) if len(x) > LONG and not x.isascii() else (x,))]
 
     def _split(self, text: str | None) -> list[str]:
         """Fragments of a whole text, special tokens among them."""
@@ -195,14 +231,27 @@ class ForcedBoundaryBPE:
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of the ids; bytes that are no UTF-8 become U+FFFD. Only byte-level files."""
-        return b"".join(map(self.pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        return b"".join([self.pieces.get(k, b"\xef\xbf\xbd") for k in ids.tolist()]).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def load(path: str) -> ForcedBoundaryBPE:
     return ForcedBoundaryBPE(path)
 
 
+def per_task(path: str, run):
+    """run(bpe, batches) as a function over batches whose fragments are dropped at its end."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bpe = load(path)
+        try:
+            yield from run(bpe, batches)
+        finally:
+            bpe.forget()
+
+    return tidy(task)
+
+
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) of the whole texts; a null or empty text has no ids.
 
@@ -210,23 +259,21 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """
     text_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = load(path)
+    def run(bpe: ForcedBoundaryBPE, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [x.view("<i4") for x in bpe.encode_many(list(pdf["text"]))]})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(per_task(path, run), "doc_id long, ids array<int>")
 
 
 def decode_documents(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, text) of token ids; no ids or null give the empty text."""
+    """(doc_id, text) of token ids; no ids or null give the empty text. An id outside the vocabulary becomes U+FFFD."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = load(path)
+    def run(bpe: ForcedBoundaryBPE, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [bpe.decode(np.asarray(x, dtype=np.int64)) if x is not None else "" for x in pdf["ids"]]})
 
-    return tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInPandas(run, "doc_id long, text string")
+    return tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInPandas(per_task(path, run), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,8 +285,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """
     text_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = load(path)
+    def run(bpe: ForcedBoundaryBPE, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = {k: str(k) for k in bpe.pieces}
         for pdf in batches:
             out = []
@@ -251,18 +297,17 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             made.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield made
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(per_task(path, run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean")
 
 
 def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids, lossless): ids of the whole texts, and whether decoding gave the text back."""
     text_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = load(path)
+    def run(bpe: ForcedBoundaryBPE, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids = list(bpe.encode_many(list(pdf["text"])))
             same = [bpe.decode(x) == (t or "") for x, t in zip(ids, pdf["text"], strict=True)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(x) for x in ids], "ids": [x.view("<i4") for x in ids], "lossless": same})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids array<int>, lossless boolean")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(per_task(path, run), "doc_id long, n_tokens long, ids array<int>, lossless boolean")

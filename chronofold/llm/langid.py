@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import text_batches, tidy
 
 UNKNOWN = "und"
 _MUL = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)]
@@ -103,7 +103,7 @@ def fit(docs: DataFrame, where: Column, text_col: str = "text", lang_col: str =
             yield pd.DataFrame({"lang": lang, "bucket": np.append(seen, -1).astype(np.int32), "count": np.append(total[seen], rows[lang])})
 
     rows = docs.where(where & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = rows.mapInPandas(count, "lang string, bucket int, count long").groupBy("lang", "bucket").agg(F.sum("count").alias("count")).toPandas()
+    counts = rows.mapInPandas(tidy(count), "lang string, bucket int, count long").groupBy("lang", "bucket").agg(F.sum("count").alias("count")).toPandas()
     langs = sorted(counts["lang"].unique())
     if len(langs) > most_langs:
         raise ValueError(f"more than {most_langs} languages")

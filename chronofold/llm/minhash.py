@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, only_ids, range_parts, release, text_batches
+from .common import materialize, only_ids, range_parts, release, text_batches, tidy
 from ..operators.components import connected_components
 
 _M64 = (1 << 64) - 1
@@ -47,9 +47,12 @@ _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
-@lru_cache(maxsize=4)
-def _powers(log: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << log
+@lru_cache(maxsize=1)
+def _short_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(1 << 16)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _BASE, dtype=np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
@@ -68,7 +71,7 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     start, end = turn[::2], turn[1::2]
     if not len(start):
         return np.zeros(0, dtype=np.uint64)
-    up, down = _powers(max(14, int(len(raw)).bit_length()))
+    up, down = _short_powers() if len(raw) < 1 << 16 else _powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum(_BYTES[raw] * up[: len(raw)], out=total[1:])
     words = _mix((total[end] - total[start]) * down[start])
@@ -173,7 +176,7 @@ class NearDuplicates:
                 yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": pd.array(sizes, dtype="int64"), "digest": digests, "sig": sigs, "bits": bits})
 
         source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        return source.mapInPandas(run, "doc_id long, n long, digest binary, sig binary, bits binary")
+        return source.mapInPandas(tidy(run), "doc_id long, n long, digest binary, sig binary, bits binary")
 
     def _rows(self, classes: DataFrame, trees: int) -> DataFrame:
         step = 4 * self.depth
@@ -204,7 +207,7 @@ class NearDuplicates:
             for rows, border, side in ((pdf.head(window), part, 1), (pdf.tail(window), part + 1, 0)):
                 yield pd.DataFrame({"a": rows["doc_id"], "b": None, "border": border, "side": side, "tree": rows["tree"], "key": rows["key"], "bits": rows["bits"], "n": rows["n"], "comp": rows["comp"]})
 
-        found = materialize(dealt.mapInPandas(within, fields))
+        found = materialize(dealt.mapInPandas(tidy(within), fields))
 
         def across(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["tree", "key", "side", "a"], ignore_index=True)
@@ -239,7 +242,7 @@ class NearDuplicates:
 
         first = pairs.join(needed.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
         both = first.join(needed.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        out = materialize(both.select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long"))
+        out = materialize(both.select("a", "b", "ta", "tb").mapInPandas(tidy(check), "a long, b long"))
         release(needed)
         return out
 
