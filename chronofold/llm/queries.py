@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, langid, mixing, quality, token_orc
-from .common import read, scratch_dir
+from .common import read, scratch_path
 from .htmltree import SiteStyleTree
 from .minhash import NearDuplicates
 from .pii import ContextualPII
@@ -38,7 +37,7 @@ def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{scratch_dir(spark)}/chronofold/tokens-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "tokens-")
     token_orc.write(read(spark, sf_dir, "documents"), path, bpe.tokenizer_path(WORD_BPE), end_id=2)
     return token_orc.digests(spark, path)
 

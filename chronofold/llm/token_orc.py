@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import ForcedBoundaryBPE, load
-from .common import text_batches
+from .common import text_batches, tidy
 
 
 def split_words(bpe: ForcedBoundaryBPE, text: str | None) -> list[str]:
@@ -66,9 +66,9 @@ class WordTable:
         kind[0xC3:0xCA] = _WORD  # U+00C0 to U+027F, letters but for U+00D7, U+00F7 and, when in lower case, U+0130
         self.kind = kind
         self.masks = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
-        self._empty()
+        self.empty()
 
-    def _empty(self) -> None:
+    def empty(self) -> None:
         self.keys = np.zeros((3, SLOTS), dtype=np.uint64)
         self.start, self.size = np.zeros(SLOTS, dtype=np.int32), np.zeros(SLOTS, dtype=np.int32)
         self.pool, self.filled = np.full(1 << 16, self.end_id, dtype=np.uint32), 1
@@ -147,7 +147,7 @@ class WordTable:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Counts of ids of the texts, the end id included, and all their ids."""
         if self.filled > POOL:
-            self._empty()
+            self.empty()
         texts = texts.cast(pa.large_string()).fill_null("")
         count = len(texts)
         off = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + count + 1]
@@ -193,7 +193,7 @@ class WordTable:
         return np.bincount(doc, weights=n, minlength=count).astype(np.int64) + 1, ids
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def word_table(path: str, end_id: int) -> WordTable:
     return WordTable(load(path), end_id)
 
@@ -209,15 +209,19 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_table(vocabulary, end_id)
-        for batch in batches:
-            sizes, flat = table.encode(batch.column("text"))
-            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view("<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), ids], names=["doc_id", "n_tokens", "ids"])
+        try:
+            for batch in batches:
+                sizes, flat = table.encode(batch.column("text"))
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view("<i4")))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), ids], names=["doc_id", "n_tokens", "ids"])
+        finally:
+            table.bpe.forget()
+            table.empty()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    encoded = ordered.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
+    encoded = ordered.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids array<int>")
     options = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.stripe.size": str(stripe_bytes)}
     encoded.write.options(**options).orc(path)
 
@@ -263,4 +267,4 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(starts, pa.int64()), batch.column("n_tokens"), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     full = rows.select("doc_id", "n_tokens", "ids", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    return full.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return full.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
