@@ -1,10 +1,12 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
-Base patterns find emails, addresses, cards and phone numbers, the seeds. Words around seeds
-are lexical patterns (left word, right word or both, and kind). In rounds, a pattern is scored by the
-share and number of trusted instances among what it extracts, an instance by the patterns that
-extract it; patterns of high confidence then mark what looks like an identifier and no base pattern
-matched: words with a digit or an @, and runs of digit groups that blanks join.
+Base patterns find emails, addresses, cards and phone numbers, the seeds. Candidates are words that
+hold a digit or an @, and runs of up to RUN such words with single blanks between, where no base span
+lies. Seeds and candidates are instances; what surrounds an instance are its lexical patterns: the
+word to its left, the two to its left, the one to its right, both neighbours, and its own form
+(digits as 9, letters as a). In rounds, a pattern is scored by the share and number of trusted
+instances among the distinct ones that it extracts, an instance by the patterns that extract it.
+Patterns of high confidence then mark candidates that no base pattern matched.
 """
 
 from __future__ import annotations
@@ -26,23 +28,31 @@ BASE = {
 KINDS = list(BASE)
 #: A document without this character has no match.
 _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Runs of digit groups joined by single blanks, and other words that hold a digit or an @, with what
-#: follows up to the next blank.
-_IDENTIFIER = r"(?<!\S)(?:[+(]*+[0-9][0-9().+/-]*+(?:\x20[(]?+[0-9][0-9().+/-]*+(?![^\s,;:!?]))++|[^\s0-9@]*+[0-9@]\S*+)"
-#: What an instance of a kind must look like to be taken on its context.
-_SHAPE = {"email": r"^[^\s@]+@[^\s@]+$", "ip": r"^[^0-9]?[0-9]{1,3}([.,:_-][0-9]{1,3}){3}[^0-9]?$", "card": r"^([^0-9]*[0-9]){13,19}[^0-9]*$", "phone": r"^[^A-Za-z]*([0-9][^A-Za-z0-9]*){8,15}$"}
-_WINDOW = 64
+#: Words that hold a digit or an @, between blanks and signs that set values apart.
+_APART = r"\s:=\"',;<>|\[\]{}"
+_ATOM = rf"(?<![^{_APART}])[^{_APART}0-9@]*+[0-9@][^{_APART}]*+"
+#: Words of an instance at most, and matches that one step of a running sum copies.
+RUN, STEP = 4, 256
+_NO_SPANS = "array<struct<kind:string,start:int,end:int>>"
+
+
+_SPAN = "array<struct<start:int,end:int,hit:string,gap:string,next:string>>"
 
 
 def _spans(hits: str, gaps: str) -> Column:
-    """(start, end, hit) of each match, from the matches and the texts between them (code points)."""
+    """(start, end, hit, gap, next) of each match, from the matches and the texts between them (code points).
+
+    The running sum goes by steps of STEP matches, so that a text full of matches is not copied per match.
+    """
+    step = f"""aggregate(slice(items, j * {STEP} + 1, {STEP}), named_struct('at', 0, 'out', CAST(array() AS {_SPAN})),
+        (s, x) -> named_struct('at', s.at + length(x.gap) + length(x.hit), 'out', array_append(s.out,
+            named_struct('start', s.at + length(x.gap), 'end', s.at + length(x.gap) + length(x.hit), 'hit', x.hit, 'gap', x.gap, 'next', x.next))))"""
+    places = "aggregate(parts, named_struct('at', 0, 'out', CAST(array() AS array<int>)), (s, b) -> named_struct('at', s.at + b.at, 'out', array_append(s.out, s.at)), s -> s.out)"
+    moved = "flatten(zip_with(parts, PLACES, (b, p) -> transform(b.out, x -> named_struct('start', x.start + p, 'end', x.end + p, 'hit', x.hit, 'gap', x.gap, 'next', x.next))))".replace("PLACES", places)
+    items = f"zip_with(zip_with({hits}, slice({gaps}, 1, size({hits})), (h, g) -> named_struct('hit', h, 'gap', g)), slice({gaps}, 2, size({hits})), (x, n) -> named_struct('hit', x.hit, 'gap', x.gap, 'next', n))"
     return F.expr(
-        f"""CASE WHEN size({hits}) = 0 THEN array() ELSE aggregate(
-            zip_with({hits}, slice({gaps}, 1, size({hits})), (h, g) -> named_struct('hit', h, 'skip', length(g), 'len', length(h))),
-            named_struct('at', 0, 'out', CAST(array() AS array<struct<start:int,end:int,hit:string>>)),
-            (s, x) -> named_struct('at', s.at + x.skip + x.len, 'out',
-                array_append(s.out, named_struct('start', s.at + x.skip, 'end', s.at + x.skip + x.len, 'hit', x.hit))),
-            s -> s.out) END"""
+        f"""CASE WHEN size({hits}) = 0 THEN CAST(array() AS {_SPAN}) ELSE element_at(transform(
+            transform(array({items}), items -> transform(sequence(0, CAST((size(items) - 1) DIV {STEP} AS int)), j -> {step})), parts -> {moved}), 1) END"""
     )
 
 
@@ -70,7 +80,7 @@ def _checked(kind: str):
 
 
 def with_base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with __text (null: empty) and, per kind, __<kind>: array of (start, end, hit)."""
+    """docs with __text (null: empty) and, per kind, __<kind>: array of (start, end, hit). Names of docs must not begin so."""
     out = docs.withColumn("__text", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
     raw, found, done = {}, {}, {}
     for kind, pattern in BASE.items():
@@ -83,131 +93,161 @@ def with_base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     for kind in KINDS:
         done[f"__{kind}"] = _spans(f"__{kind}_hits", f"__{kind}_gaps")
     out = out.withColumns(done).drop(*raw, *found)
-    return out.withColumns({f"__{kind}": F.filter(f"__{kind}", _checked(kind)) for kind in KINDS})
+    short = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"))
+    return out.withColumns({f"__{kind}": F.transform(F.filter(f"__{kind}", _checked(kind)), short) for kind in KINDS})
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """rows with two hashes of id and text: rows that repeat both share their findings."""
+    return rows.withColumns({"k1": F.xxhash64("doc_id", "__text"), "k2": F.hash("__text", "doc_id")})
 
 
-def _key() -> list[Column]:
-    """Two hashes of id and text: rows that repeat both share their findings."""
-    return [F.xxhash64("doc_id", "__text").alias("k1"), F.hash("__text", "doc_id").alias("k2")]
+def form(word: Column) -> Column:
+    """Digits as 9, runs of letters as a, all else as it is."""
+    return F.regexp_replace(F.regexp_replace(word, "[0-9]", "9"), r"\p{L}++", "a")
 
 
 class ContextualPII:
     """least: distinct trusted instances that a pattern needs; trust: confidence from which patterns
-    and instances are believed; rounds: of scoring both."""
+    and instances are believed; rounds: of scoring both; slack: digits that a found instance may
+    have more than the longest seed of its kind, or fewer than the shortest."""
 
-    def __init__(self, least: int = 3, trust: float = 0.9, rounds: int = 2):
-        self.least, self.trust, self.rounds = least, trust, rounds
+    def __init__(self, least: int = 3, trust: float = 0.9, rounds: int = 2, slack: int = 3):
+        self.least, self.trust, self.rounds, self.slack = least, trust, rounds, slack
 
     def identifiers(self, based: DataFrame) -> DataFrame:
-        """Base spans with their kind, and other identifiers, each with the words around it."""
-        hit = F.col("__text").rlike("[0-9@]")
-        rows = based.where(hit).withColumn("hits", F.regexp_extract_all("__text", F.lit(_IDENTIFIER), F.lit(0)))
-        rows = rows.withColumn("gaps", F.split("__text", _IDENTIFIER, -1)).withColumn("words", _spans("hits", "gaps"))
-        part = lambda seed: lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["hit"].alias("hit"), F.lit(seed).cast("string").alias("seed"))
-        spans = F.concat(*[F.transform(f"__{k}", part(k)) for k in KINDS])
-        apart = lambda w: ~F.exists("seeds", lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"]))
-        free = F.transform(F.filter("words", apart), part(None))
-        lead = lambda w: F.least(w["start"], F.lit(_WINDOW))
-        before = lambda w: F.rtrim(F.substring("__text", w["start"] - lead(w) + 1, lead(w)))
-        after = lambda w: F.ltrim(F.substring("__text", w["end"] + 1, F.lit(_WINDOW)))
-        placed = lambda w: F.struct(w.alias("w"), F.lower(F.substring_index(before(w), " ", -1)).alias("l"), F.lower(F.substring_index(after(w), " ", 1)).alias("r"))
-        rows = rows.withColumn("seeds", spans).withColumn("all", F.transform(F.concat("seeds", free), placed))
-        rows = rows.select("doc_id", *_key(), F.explode("all").alias("x"))
-        return rows.select(
-            "doc_id", "k1", "k2", F.col("x.w.start").alias("start"), F.col("x.w.end").alias("end"), F.col("x.w.hit").alias("word"),
-            F.col("x.l").alias("left_word"), F.col("x.r").alias("right_word"), F.col("x.w.seed").alias("seed"),
-        )
+        """(k1, k2, start, end, word, seed, patterns): seeds with their kind, and candidates (no seed).
+
+        based: doc_id and the columns of with_base_spans.
+        """
+        rows = _named(based.where(F.col("__text").rlike("[0-9@]")))
+        rows = rows.withColumn("hits", F.regexp_extract_all("__text", F.lit(_ATOM), F.lit(0))).withColumn("gaps", F.split("__text", _ATOM, -1)).withColumn("atoms", _spans("hits", "gaps"))
+        of_kind = lambda k: lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), b["hit"].alias("hit"), F.lit(k).alias("kind"))
+        rows = rows.withColumn("base", F.concat(*[F.transform(f"__{k}", of_kind(k)) for k in KINDS]))
+        rows = rows.select("k1", "k2", "atoms", "base")
+        # An atom without the signs at its ends; bare: nothing was cut there; free: no base span lies in it.
+        rows = rows.withColumn("atoms", F.expr(
+            r"""transform(transform(atoms, a -> named_struct('a', a, 'lead', length(regexp_extract(a.hit, '^[^\\p{L}0-9+(]*+', 0)), 'tail', length(regexp_extract(a.hit, '(?<![^\\p{L}0-9)])[^\\p{L}0-9)]++$', 0)))),
+                x -> named_struct('start', x.a.start + x.lead, 'end', greatest(x.a.start + x.lead, x.a.end - x.tail), 'hit', substring(x.a.hit, x.lead + 1, greatest(0, length(x.a.hit) - x.lead - x.tail)),
+                    'from', x.a.start, 'to', x.a.end, 'whole', x.a.hit, 'gap', x.a.gap, 'next', x.a.next, 'bare_left', x.lead = 0, 'bare_right', x.tail = 0,
+                    'free', NOT exists(base, b -> b.start < x.a.end AND b.end > x.a.start)))"""
+        ))
+        joined = """transform(atoms, (a, i) -> named_struct('a', a, 'on', coalesce(i > 0 AND a.free AND a.gap = ' ' AND a.bare_left AND get(atoms, i - 1).free AND get(atoms, i - 1).bare_right, false)))"""
+        runs = f"""flatten(transform(linked, (x, i) -> transform(filter(sequence(0, {RUN - 1}), w -> x.a.free AND x.a.hit <> '' AND i + w < size(linked) AND forall(slice(linked, i + 2, w), y -> y.on)),
+            w -> named_struct('start', x.a.start, 'end', get(linked, i + w).a.end, 'word', array_join(transform(slice(linked, i + 1, w + 1), y -> y.a.hit), ' '), 'seed', CAST(NULL AS string),
+                'left', x.a.gap, 'right', get(linked, i + w).a.next))))"""
+        seeds = """transform(transform(base, b -> named_struct('b', b, 'over', filter(atoms, a -> a.from < b.end AND a.to > b.start))), x -> named_struct('start', x.b.start, 'end', x.b.end, 'word', x.b.hit, 'seed', x.b.kind,
+            'left', concat(get(x.over, 0).gap, substring(get(x.over, 0).whole, 1, greatest(0, x.b.start - get(x.over, 0).from))),
+            'right', concat(substring(get(x.over, size(x.over) - 1).whole, greatest(0, x.b.end - get(x.over, size(x.over) - 1).from) + 1), get(x.over, size(x.over) - 1).next)))"""
+        rows = rows.withColumn("linked", F.expr(joined)).select("k1", "k2", F.explode(F.concat(F.expr(seeds), F.expr(runs))).alias("x"))
+        rows = rows.select("k1", "k2", "x.start", "x.end", F.lower("x.word").alias("word"), "x.seed", F.lower("x.left").alias("left"), F.lower("x.right").alias("right"))
+        word, before = r"(\p{L}++)[^\p{L}]*+$", r"(\p{L}++)[^\p{L}]++\p{L}++[^\p{L}]*+$"
+        start = r"(?<!\p{L})"
+        rows = rows.withColumns({"l": F.regexp_extract("left", start + word, 1), "ll": F.regexp_extract("left", start + before, 1), "r": F.regexp_extract("right", r"^[^\p{L}]*+(\p{L}++)", 1), "f": form(F.col("word"))})
+        l, ll, r, name = F.col("l"), F.col("ll"), F.col("r"), lambda kind, *parts: F.concat(F.lit(f"{kind}: "), F.concat_ws(" ", *parts))
+        patterns = F.array(F.when(l != "", name("left", l)), F.when(ll != "", name("two left", ll, l)), F.when(r != "", name("right", r)), F.when((l != "") & (r != ""), name("around", l, r)), name("form", F.col("f")))
+        return rows.select("k1", "k2", "start", "end", "word", "seed", F.filter(patterns, lambda p: p.isNotNull()).alias("patterns"))
 
     @staticmethod
-    def contexts(words: DataFrame) -> DataFrame:
-        """words once per pattern that may extract them: both words, the left one, the right one (a blank is any word)."""
-        both = F.struct(F.col("left_word").alias("l"), F.col("right_word").alias("r"))
-        left, right = F.struct(F.col("left_word").alias("l"), F.lit(None).cast("string").alias("r")), F.struct(F.lit(None).cast("string").alias("l"), F.col("right_word").alias("r"))
-        some = F.filter(F.array(both, left, right), lambda x: (F.coalesce(x["l"], F.lit("")) != "") | (F.coalesce(x["r"], F.lit("")) != ""))
-        keyed = words.withColumn("x", F.explode(some))
-        return keyed.withColumns({"left_word": F.coalesce("x.l", F.lit(" ")), "right_word": F.coalesce("x.r", F.lit(" "))}).drop("x")
+    def _beside(table: DataFrame, width: int) -> DataFrame:
+        """table, broadcast if its rows of about `width` bytes are few; else it is joined by shuffle."""
+        return F.broadcast(table) if table.count() <= BROADCAST_IDS * 8 // width else table
+
+    @staticmethod
+    def profiles(words: DataFrame) -> DataFrame:
+        """Per kind what its seeds are made of: the fewest and most digits, whether with letters, with an @."""
+        digits, letters, at = (F.length(F.regexp_replace("word", p, "")) for p in ("[^0-9]", r"[^\p{L}]", "[^@]"))
+        made = words.select("seed", "word", digits.alias("digits"), (letters > 0).cast("int").alias("letters"), (at > 0).cast("int").alias("at"))
+        return made.where("seed IS NOT NULL").groupBy(F.col("seed").alias("kind")).agg(F.min("digits").alias("least_digits"), F.max("digits").alias("most_digits"), F.min("letters").alias("least_letters"), F.max("letters").alias("most_letters"), F.min("at").alias("least_at"), F.max("at").alias("most_at"))
 
     def patterns(self, words: DataFrame) -> DataFrame:
-        """(left_word, right_word, kind, confidence) of the believed patterns; a blank stands for any word."""
-        edges = materialize(self.contexts(words).groupBy("left_word", "right_word", "word", "seed").agg(F.count("*").alias("n")))
-        context = ["left_word", "right_word"]
-        trusted = edges.where("seed IS NOT NULL").select("word", F.col("seed").alias("kind"), F.lit(1.0).alias("belief")).distinct()
-        found = None
-        for _ in range(self.rounds):
-            # What a pattern extracts, by distinct word; the share that is trusted as this kind.
-            total = edges.groupBy(*context).agg(F.countDistinct("word").alias("all_words"))
-            good = edges.select(*context, "word").distinct().join(trusted, "word").groupBy(*context, "kind").agg(F.sum("belief").alias("good"))
-            scored = good.where(F.col("good") >= self.least).join(total, context)
-            found = scored.select(*context, "kind", (F.col("good") / F.col("all_words")).alias("share"), (F.col("good") / F.col("all_words") * (1 - F.pow(F.lit(0.5), F.col("good")))).alias("confidence"))
-            believed = found.where(F.col("confidence") >= self.trust)
-            shape = F.coalesce(*[F.when(F.col("kind") == k, F.col("word").rlike(p)) for k, p in _SHAPE.items()])
-            new = edges.where("seed IS NULL").join(believed, context).where(shape)
-            new = new.groupBy("word", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))))).alias("belief"))
-            trusted = trusted.unionByName(new.where(F.col("belief") >= self.trust)).groupBy("word", "kind").agg(F.max("belief").alias("belief"))
-            trusted = materialize(trusted)
-        return found.where(F.col("confidence") >= self.trust).select(*context, "kind", "confidence")
-
-    def discovered(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(k1, k2, more): per document the spans (kind, start, end) that contexts add."""
-        rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+        """(pattern, kind, confidence, least_..., most_...) of the believed patterns.
+
+        Confidence is the share of trusted ones among the distinct instances, times 1 - 2^-number.
+        """
+        profiles = materialize(self.profiles(words))
+        every = words.select("word", "seed", F.explode("patterns").alias("pattern"))
+        edges = materialize(every.groupBy("pattern", F.md5(F.col("word").cast("binary")).alias("name"), "seed").agg(F.first("word").alias("word")))
+        trusted = materialize(edges.where("seed IS NOT NULL").select("name", F.col("seed").alias("kind"), F.lit(1.0).alias("belief")).distinct())
+        total = materialize(edges.select("pattern", "name").distinct().groupBy("pattern").agg(F.count("*").alias("instances")).where(f"instances >= {self.least}"))
+        believed = None
+        for turn in range(self.rounds):
+            good = edges.select("pattern", "name").distinct().join(self._beside(trusted, 64), "name").groupBy("pattern", "kind").agg(F.sum("belief").alias("good")).where(F.col("good") >= self.least)
+            scored = good.join(total, "pattern").withColumn("confidence", F.col("good") / F.col("instances") * (1 - F.pow(F.lit(0.5), F.col("good"))))
+            believed = materialize(scored.where(F.col("confidence") >= self.trust).select("pattern", "kind", "confidence").join(F.broadcast(profiles), "kind"))  # profiles: a row per kind
+            if turn < self.rounds - 1:
+                new = self.extracted(edges.where("seed IS NULL"), believed).groupBy("name", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))))).alias("belief"))
+                trusted = materialize(trusted.unionByName(new.where(F.col("belief") >= self.trust)).groupBy("name", "kind").agg(F.max("belief").alias("belief")))
+        return believed
+
+    def extracted(self, rows: DataFrame, believed: DataFrame) -> DataFrame:
+        """rows (pattern, word) that a believed pattern extracts, if they are made as its kind's seeds are."""
+        digits, letters, at = (F.length(F.regexp_replace("word", p, "")) for p in ("[^0-9]", r"[^\p{L}]", "[^@]"))
+        counted = digits.between(F.col("least_digits") - self.slack, F.col("most_digits") + self.slack) | (F.col("most_letters") > 0)  # digits don't define what is written with letters
+        fits = counted & (letters > 0).cast("int").between(F.col("least_letters"), F.col("most_letters")) & (at > 0).cast("int").between(F.col("least_at"), F.col("most_at"))
+        return rows.join(self._beside(believed, 128), "pattern").where(fits)
+
+    def discovered(self, rows: DataFrame) -> DataFrame:
+        """(k1, k2, more): per document (doc_id, text) the spans (kind, start, end) that patterns add.
+
+        Spans of a document don't overlap: the longer of those that begin together stays, and
+        what begins inside a span that stays goes.
+        """
         words = materialize(self.identifiers(with_base_spans(rows)))
         believed = self.patterns(words)
-        shape = F.coalesce(*[F.when(F.col("kind") == k, F.col("word").rlike(p)) for k, p in _SHAPE.items()])
-        new = self.contexts(words.where("seed IS NULL")).join(believed, ["left_word", "right_word"]).where(shape)
-        new = new.groupBy("k1", "k2", "start", "end").agg(F.max(F.struct("confidence", "kind"))["kind"].alias("kind"))
-        return materialize(new.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("more")))
+        free = words.where("seed IS NULL").select("k1", "k2", "start", "end", "word", F.explode("patterns").alias("pattern"))
+        new = self.extracted(free, believed).groupBy("k1", "k2", "start", "end").agg(F.max(F.struct("confidence", "kind"))["kind"].alias("kind"))
+        found = new.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", (-F.col("end")).alias("back"), "kind"))).alias("x"))  # of one document
+        kept = F.expr(f"""aggregate(x, named_struct('at', 0, 'out', CAST(array() AS {_NO_SPANS})), (s, y) -> IF(y.start >= s.at,
+            named_struct('at', -y.back, 'out', array_append(s.out, named_struct('kind', y.kind, 'start', y.start, 'end', -y.back))), s), s -> s.out)""")
+        return materialize(found.select("k1", "k2", kept.alias("more")))
 
-    def find(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """docs with __text, the base spans per kind, and more: the spans that contexts add.
+    def find(self, rows: DataFrame) -> DataFrame:
+        """rows (doc_id, text and others) with __text, the base spans per kind, and more: the spans that patterns add.
 
         A null text counts as empty. Rows that repeat id and text get the same spans, rows that
         repeat an id with another text their own. The added spans are counted: few are
         broadcast, so that texts stay in place; many are joined by shuffle.
         """
-        more = self.discovered(docs, id_col, text_col)
-        side = F.broadcast(more) if more.count() <= BROADCAST_IDS // 8 else more
-        based = with_base_spans(docs, text_col)
-        plain = based if id_col == "doc_id" else based.withColumn("doc_id", F.col(id_col))
-        keyed = plain.withColumns({"k1": F.xxhash64(F.col("doc_id").cast("long"), "__text"), "k2": F.hash("__text", F.col("doc_id").cast("long"))})
-        return keyed.join(side, ["k1", "k2"], "left").drop("k1", "k2")
+        more = self.discovered(rows.select("doc_id", "text"))
+        spans = more.agg(F.count("*") + F.sum(F.size("more"))).first()[0] or 0
+        keyed = _named(with_base_spans(rows)).join(F.broadcast(more) if spans <= BROADCAST_IDS // 8 else more, ["k1", "k2"], "left").drop("k1", "k2")
+        return keyed.withColumn("more", F.coalesce("more", F.array().cast(_NO_SPANS)))
 
     def transform(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(doc_id, n_<kind>..., base_sha256, spans, n_found) per row; counts are of base spans.
 
         Spans are kind:start:end in code points, end exclusive, by kind as listed, then start,
-        joined by commas; n_found counts those that contexts added. An empty table gives an empty
+        joined by commas; n_found counts those that patterns added. An empty table gives an empty
         result; columns of docs other than id and text don't matter.
         """
-        rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-        got = self.find(rows)
+        got = self.find(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")))
         name = lambda k: lambda x: F.concat(F.lit(f"{k}:"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string"))
-        more = F.coalesce("more", F.array().cast("array<struct<kind:string,start:int,end:int>>"))
-        every = lambda k: F.array_sort(F.concat(F.transform(f"__{k}", lambda x: F.struct(x["start"], x["end"])), F.transform(F.filter(more, lambda x: x["kind"] == k), lambda x: F.struct(x["start"], x["end"]))))
+        every = lambda k: F.array_sort(F.concat(F.transform(f"__{k}", lambda x: F.struct(x["start"], x["end"])), F.transform(F.filter("more", lambda x: x["kind"] == k), lambda x: F.struct(x["start"], x["end"]))))
         return got.select(
             "doc_id",
             *[F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in KINDS],
             F.sha2(F.array_join(F.concat(*[F.transform(f"__{k}", name(k)) for k in KINDS]), ","), 256).alias("base_sha256"),
             F.array_join(F.concat(*[F.transform(every(k), name(k)) for k in KINDS]), ",").alias("spans"),
-            F.size(more).cast("long").alias("n_found"),
+            F.size("more").cast("long").alias("n_found"),
         )
 
     def mask(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """docs with every span of text_col replaced by its kind in angle brackets.
 
         Where spans of two kinds overlap, the one that begins first, or is longer, names the
-        whole. Texts without personal data, and null texts, stay as they are; so do all columns.
+        whole. Texts without personal data, and null texts, stay as they are; so do all columns,
+        whatever their names. Repeated rows give repeated results, an empty table an empty one.
         """
-        got = self.find(docs, id_col, text_col)
-        more = F.coalesce("more", F.array().cast("array<struct<kind:string,start:int,end:int>>"))
-        named = lambda kind: lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), (x["kind"] if kind is None else kind).alias("kind"))
-        spans = F.concat(*[F.transform(f"__{k}", named(F.lit(k))) for k in KINDS], F.transform(more, named(None)))
-        got = got.withColumn("__spans", F.array_sort(spans))
-        masked = F.expr(
-            """aggregate(__spans, named_struct('at', 0, 'out', CAST('' AS string)),
-                (s, x) -> CASE WHEN x.start >= s.at THEN named_struct('at', -x.back, 'out',
-                        concat(s.out, substring(__text, s.at + 1, x.start - s.at), '<', upper(x.kind), '>'))
-                    ELSE named_struct('at', greatest(s.at, -x.back), 'out', s.out) END,
-                s -> concat(s.out, substring(__text, s.at + 1)))"""
-        )
-        text = F.when(F.size("__spans") > 0, masked).otherwise(F.col(f"`{text_col}`")).alias(text_col)
-        return got.select(*[text if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+        got = self.find(docs.select(row, F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")))
+        part = lambda kind: lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), (x["kind"] if kind is None else kind).alias("kind"))
+        got = got.withColumn("spans", F.array_sort(F.concat(*[F.transform(f"__{k}", part(F.lit(k))) for k in KINDS], F.transform("more", part(None)))))
+        # Overlapping spans become one; each piece is the text before a span and the span's kind.
+        got = got.withColumn("whole", F.expr("""aggregate(spans, CAST(array() AS array<struct<start:int,end:int,kind:string>>), (s, x) -> IF(size(s) > 0 AND x.start < element_at(s, -1).end,
+            concat(slice(s, 1, size(s) - 1), array(named_struct('start', element_at(s, -1).start, 'end', greatest(element_at(s, -1).end, -x.back), 'kind', element_at(s, -1).kind))),
+            array_append(s, named_struct('start', x.start, 'end', -x.back, 'kind', x.kind))))"""))
+        masked = F.expr("""concat(array_join(transform(whole, (x, i) -> concat(substring(__text, IF(i = 0, 0, get(whole, i - 1).end) + 1, x.start - IF(i = 0, 0, get(whole, i - 1).end)), '<', upper(x.kind), '>')), ''),
+            substring(__text, element_at(whole, -1).end + 1))""")
+        text = F.when(F.size("whole") > 0, masked).otherwise(F.col(f"row.`{text_col}`").cast("string")).alias(text_col)
+        return got.select(*[text if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
