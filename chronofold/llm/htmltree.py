@@ -1,11 +1,13 @@
 """Main text of web pages by a site style tree.
 
-Pages of one host are merged into a tree of element paths. A path's content importance is one
-minus the mean entropy of its block texts over the pages that have the path (a text on every page
-says nothing), its presentation importance the entropy of its inline markup; sparse hosts are
-shrunk toward the same path over all hosts. Branches of low importance go, and so do elements that
-HTML itself names as navigation, forms, scripts and the like. Words of class and id are evidence
-only: an element that they mark goes if it holds a small part of the page's text.
+Pages of one host are merged into a tree of element paths, all of their blocks included. A path's
+presentation importance grows with the entropy of its layouts (the sequences of what its elements
+hold, repetitions taken together): what every page has in the same shape is a template. Its content importance is one minus
+the mean entropy of its texts over the pages that have the path: a text on every page says nothing.
+Sparse hosts are shrunk toward the same path over all hosts, and those toward a neutral value. A
+block counts for as much as the most important branch that holds it, by presentation or by its
+share of the page's text, times its content importance. What HTML itself calls navigation, forms and
+so on, and words of class and id, are priors that multiply this. Blocks of low importance go.
 """
 
 from __future__ import annotations
@@ -16,10 +18,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_batches
+from .common import materialize, text_batches, tidy
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -39,52 +41,84 @@ CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option", "optgroup"]),
     "tr": frozenset(["tr", "tbody", "thead", "tfoot"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]),
 }
-BOILERPLATE = frozenset("nav header footer aside form button dialog menu head fieldset".split())
+#: Factors of elements by tag or role, of class words, of those that mean readers' comments, and of articles.
+TAGS = {**dict.fromkeys("nav header footer aside form button dialog menu head fieldset".split(), 0.1)}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+MARKED, COMMENTED, ARTICLE = 0.2, 0.05, 2.0
 #: Words of class and id attributes by which sites mark what is no article, and layouts that have it.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer "
     "sidebar aside rail widget related recommended share sharing social cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe "
     "subscription signup login comment comments commentlist disqus respond replies discussion pagination pager toolbar skip copyright legal disclaimer search".split()
 )
+COMMENTS = frozenset("comment comments commentlist disqus respond replies discussion".split())
+#: First parts of a hyphenated name that say what a layout has or lacks, and elements whose own names are no evidence.
+ABOUT = frozenset("no not has have with without is hide show page site layout wrap wrapper container content main post entry".split())
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figure figcaption html body article main".split())
 MAIN = frozenset(["article", "main"])
-#: Share of a page's text under which an element that MARKS names is taken for what they say.
-SMALL = 0.3
+#: Share of the page's text beyond which a tag or class word says nothing on a page without articles, for comments the second; importance of what is unknown.
+MOST, NEARLY_ALL, NEUTRAL = 0.5, 0.9, 0.5
 
 
-class Mark:
-    """An element that MARKS names: the one around it, and the characters it holds, in all and of articles."""
+class Element:
+    """One element of a page: its path, the element around it, its prior and whether that is of comments,
+    the layout of what it holds, and the characters of its subtree, in all and of articles."""
 
-    __slots__ = ("above", "chars", "main_chars", "gone")
+    __slots__ = ("path", "above", "prior", "comments", "main", "layout", "chars", "main_chars")
 
-    def __init__(self, above: Mark | None):
-        self.above, self.chars, self.main_chars, self.gone = above, 0, 0, False
+    def __init__(self, path: str, above: Element | None, prior: float, comments: bool, main: bool):
+        self.path, self.above, self.prior, self.comments, self.main, self.layout, self.chars, self.main_chars = path, above, prior, comments, main, [], 0, 0
+
+    def hold(self, what: str) -> None:
+        if self.layout[-1:] != [what]:
+            self.layout.append(what)
 
 
 class Block:
-    """Text of one block: path of its element, whether markup rules it out, the innermost marked element
-    around it, whether it is in an article."""
+    """Text of one block and its element."""
+
+    __slots__ = ("element", "text")
+
+    def __init__(self, element: Element, text: str):
+        self.element, self.text = element, text
 
-    __slots__ = ("path", "ruled_out", "mark", "main", "style", "text")
 
-    def __init__(self, path: str, ruled_out: bool, mark: Mark | None, main: bool, style: str, text: str):
-        self.path, self.ruled_out, self.mark, self.main, self.style, self.text = path, ruled_out, mark, main, style, text
+def _words(value: str) -> tuple[list[str], list[str]]:
+    """All words of a class or id value, and those that may mark an element: the first or last part of a name."""
+    every, marking = [], []
+    for name in value.lower().split():
+        parts = _WORD.findall(name)
+        every += parts
+        if parts and parts[0] not in ABOUT:
+            marking += [parts[0], parts[-1]]
+    return every, marking
 
 
-def _element(name: str, attributes: str) -> tuple[str, bool, bool]:
-    """Path step of an element, whether its tag or attributes rule it out, and whether MARKS names it."""
-    step, out, marked = name, name in BOILERPLATE, False
+def _element(name: str, attributes: str, above: Element | None) -> Element:
+    step, prior, comments = name, 1.0, False
+    inside = above is not None and above.main
+    prior *= 1.0 if inside and name == "header" else TAGS.get(name, 1.0)
+    role = ""
     if attributes and not attributes.isspace():
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-        names = sorted({w for a in ("class", "id") for w in _WORD.findall(found.get(a, "").lower())})
-        if name not in ("html", "body", "article", "main"):
-            marked = not MARKS.isdisjoint(names)
-        out = out or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
+        named = [_words(found.get(a, "")) for a in ("class", "id")]
+        role = found.get("role", "").lower()
+        marking = {w for _, m in named for w in m}
+        if name not in LEAVES and not COMMENTS.isdisjoint(marking):
+            prior, comments = prior * COMMENTED, True
+        elif name not in LEAVES and not MARKS.isdisjoint(marking):
+            prior *= MARKED
+        if role in ROLES:
+            prior = min(prior, TAGS["nav"])
+        if "hidden" in found or found.get("aria-hidden") == "true":
+            prior = 0.0
+        names = sorted({w for every, _ in named for w in every})
         if names:
             step += "." + ".".join(names)
-        if found.get("role", "").lower() == "main":
-            step = "main"
-    return step, out, marked
+    main = name in MAIN or role == "main"
+    if main and not inside:
+        prior *= ARTICLE
+    return Element(f"{above.path if above else ''}/{step}", above, prior, comments, main or inside)
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -92,7 +126,8 @@ def blocks(page: str | None) -> list[Block]:
     if not page:
         return []
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, Mark | None, bool]] = [("", "", False, None, False)]  # name, path, ruled out, mark, in an article
+    root = Element("", None, 1.0, False, False)
+    stack: list[tuple[str, Element]] = [("", root)]  # inline elements stand for the element around them
     buffer: list[str] = []
     style: list[str] = []
 
@@ -100,11 +135,14 @@ def blocks(page: str | None) -> list[Block]:
         if buffer:
             text = _SPACE.sub(" ", html_entities.unescape("".join(buffer))).strip()
             if text:
-                at = len(stack) - 1
-                while at and stack[at][0] in INLINE:
-                    at -= 1
-                _, path, ruled, _, main = stack[at]
-                out.append(Block(path, ruled or any(x[2] for x in stack[at:]), stack[-1][3], main, " ".join(style), text))
+                element = stack[-1][1]
+                element.hold("+".join(["text", *style]))
+                out.append(Block(element, text))
+                main = len(text) if element.main else 0
+                while element is not None:
+                    element.chars += len(text)
+                    element.main_chars += main
+                    element = element.above
             buffer.clear()
         style.clear()
 
@@ -148,63 +186,87 @@ def blocks(page: str | None) -> list[Block]:
             style.append(name)
             if name in ("br", "wbr"):
                 buffer.append(" " if name == "br" else "")
-                continue
-        else:
-            flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p" or name in CLOSED_BY.get(stack[k][0], ()):
-                    del stack[k:]
-                    break
-                if stack[k][0] not in INLINE:
-                    break
+            else:
+                stack.append((name, stack[-1][1]))
+            continue
+        flush()
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k][0] == "p" or name in CLOSED_BY.get(stack[k][0], ()):
+                del stack[k:]
+                break
+            if stack[k][0] not in INLINE:
+                break
         if name in VOID:
             continue
-        step, ruled, marked = _element(name, m[3] or "")
-        _, path, above, mark, main = stack[-1]
-        step_path = path if name in INLINE else f"{path}/{step}"
-        stack.append((name, step_path, above or ruled, Mark(mark) if marked else mark, main or step.split(".")[0] in MAIN))
+        above = stack[-1][1]
+        above.hold(name)
+        stack.append((name, _element(name, m[3] or "", above)))
     flush()
     return out
 
 
-def _without_marked(left: list[Block]) -> list[Block]:
-    """Blocks without those of marked elements that hold a small part of the text.
+def mark(kind: str, *parts: str) -> int:
+    """64-bit name of a path, layout or text."""
+    return int.from_bytes(hashlib.blake2b("\0".join([kind, *parts]).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
-    Such an element stays if most of the page's text of articles is in it. If nothing else has
-    text, all blocks stay.
-    """
-    marks: dict[int, Mark] = {}
-    order: list[Mark] = []  # every mark after those around it
-    for b in left:
-        chain, mark = [], b.mark
-        while mark is not None and id(mark) not in marks:
-            marks[id(mark)] = mark
-            chain.append(mark)
-            mark = mark.above
-        order.extend(reversed(chain))
-        if b.mark is not None:
-            b.mark.chars += len(b.text)
-            b.mark.main_chars += len(b.text) if b.main else 0
-    for mark in reversed(order):
-        if mark.above is not None:
-            mark.above.chars += mark.chars
-            mark.above.main_chars += mark.main_chars
-    every, articles = sum(len(b.text) for b in left), sum(len(b.text) for b in left if b.main)
-    for mark in order:
-        own = mark.chars < SMALL * every and 2 * mark.main_chars <= articles
-        mark.gone = own or (mark.above is not None and mark.above.gone)
-    return [b for b in left if b.mark is None or not b.mark.gone] or left
-
-
-def main_text(page: str | None, noise: frozenset[str] | set[str] = frozenset()) -> str:
-    """Text of the page without ruled-out blocks, without the paths in noise and without small marked elements.
-
-    If article and main elements hold most of the text that is left, only that counts.
+
+def features(found: list[Block]) -> list[tuple[str, bool, int]]:
+    """(path, is text, name): the layout of every path of a page, over all its elements, and its distinct texts."""
+    layouts: dict[str, list[str]] = {}
+    seen: set[int] = set()
+    for b in found:
+        element = b.element
+        while element is not None and id(element) not in seen:
+            seen.add(id(element))
+            own, layout = layouts.setdefault(element.path, []), " ".join(element.layout)
+            if own[-1:] != [layout]:
+                own.append(layout)
+            element = element.above
+    texts = sorted({(b.element.path, b.text) for b in found})
+    return [(p, False, mark("layout", *x)) for p, x in sorted(layouts.items())] + [(p, True, mark("text", p, t)) for p, t in texts]
+
+
+def main_text(page: str | None, known: dict[int, float] | None = None, threshold: float = 0.25, priors: bool = True) -> str:
+    """Text of the page's blocks whose importance reaches the threshold.
+
+    known: presentation by mark("path", path), content by mark("content", path), and content by
+    mark("text", path, text) of texts that repeat; what is not there is neutral, or new. If no block
+    reaches the threshold, those of the highest importance stay, unless all are hidden.
     """
-    left = _without_marked([b for b in blocks(page) if not b.ruled_out and b.path not in noise])
-    inner = [b for b in left if b.main]
-    most = 2 * sum(len(b.text) for b in inner) > sum(len(b.text) for b in left)
-    return "\n".join(b.text for b in (inner if most else left))
+    found = blocks(page)
+    if not found:
+        return ""
+    known = known or {}
+    total, articles = sum(len(b.text) for b in found), sum(len(b.text) for b in found if b.element.main)
+    branch: dict[int, tuple[float, float]] = {}
+
+    def judged(element: Element) -> tuple[float, float]:
+        """Importance of the best branch down to this element, and the product of priors."""
+        chain = []
+        while element is not None and id(element) not in branch:
+            chain.append(element)
+            element = element.above
+        weight, prior = branch[id(element)] if element is not None else (0.0, 1.0)
+        for e in reversed(chain):
+            share = e.chars / total
+            # The page as a whole says nothing of its parts, unless it holds texts itself.
+            if e.path.rpartition("/")[2].partition(".")[0] not in ("", "html", "body") or any(x.startswith("text") for x in e.layout):
+                weight = max(weight, known.get(mark("path", e.path), NEUTRAL), share)
+            own = e.prior if priors or not e.prior else 1.0
+            # What holds most of the articles' text, or without articles most of the page's, is no such element.
+            if 0 < own < 1 and (2 * e.main_chars > articles if articles else share > (NEARLY_ALL if e.comments else MOST)):
+                own = 1.0
+            prior *= own
+            branch[id(e)] = (weight, prior)
+        return branch[id(chain[0])] if chain else (weight, prior)
+
+    scores = []
+    for b in found:
+        weight, prior = judged(b.element)
+        content = min(known.get(mark("content", b.element.path), 1.0), known.get(mark("text", b.element.path, b.text), 1.0))
+        scores.append(weight * prior * content)
+    least = min(threshold, max(scores))
+    return "\n".join(b.text for b, x in zip(found, scores, strict=True) if x >= least and x > 0)
 
 
 def host_of(url: str | None) -> str:
@@ -212,74 +274,128 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def _host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+
+
 class SiteStyleTree:
-    """threshold: importance under which a path is noise; gamma: share of content in it; prior: pages
-    that the same path over all hosts counts for; least: pages that a path needs to be judged."""
+    """threshold: importance under which a block goes; prior: pages that the same path over all hosts
+    counts for; small: names (16 bytes each) of the tree up to which every worker gets it whole."""
 
-    def __init__(self, threshold: float = 0.5, gamma: float = 0.9, prior: float = 10.0, least: int = 5):
-        self.threshold, self.gamma, self.prior, self.least = threshold, gamma, prior, least
+    def __init__(self, threshold: float = 0.25, prior: float = 10.0, small: int = 1_000_000, tree: bool = True, priors: bool = True):
+        self.threshold, self.prior, self.small, self.tree, self.priors = threshold, prior, small, tree, priors
 
     def nodes(self, pages: DataFrame) -> DataFrame:
-        """(host, path, kind, feature): features of each distinct page; kind is text or style."""
+        """(host, path, is_text, feature): features of each distinct page."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 out = []
                 for url, page in zip(pdf["url"], pdf["html"], strict=True):
-                    found = [b for b in blocks(page) if not b.ruled_out]
-                    texts, styles = sorted({(b.path, b.text) for b in found}), sorted({(b.path, b.style) for b in found})
-                    digest = hashlib.blake2b(repr(texts).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                    mark = lambda x: int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
-                    out.append((host_of(url), digest, [p for p, _ in texts] + [p for p, _ in styles], [mark("t" + x) for _, x in texts] + [mark("s" + x) for _, x in styles], len(texts)))
-                yield pd.DataFrame(out, columns=["host", "digest", "paths", "features", "texts"])
-
-        rows = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInPandas(run, "host string, digest binary, paths array<string>, features array<long>, texts int")
-        once = rows.groupBy("host", "digest").agg(F.first(F.struct("paths", "features", "texts")).alias("x"))  # copies of a page count once
-        pairs = once.select("host", F.col("x.texts").alias("texts"), F.posexplode(F.arrays_zip("x.paths", "x.features")).alias("k", "y"))
-        return pairs.select("host", F.col("y.paths").alias("path"), (F.col("k") < F.col("texts")).alias("is_text"), F.col("y.features").alias("feature"))
-
-    def importance(self, pages: DataFrame) -> DataFrame:
-        """(host, path, pages, importance) of the merged trees."""
-        counts = materialize(self.nodes(pages).groupBy("host", "path", "is_text", "feature").agg(F.count("*").alias("c")))
-
-        def level(keys: list[str]) -> DataFrame:
+                    got = features(blocks(page))
+                    digest = hashlib.blake2b(repr([f for _, _, f in got]).encode(), digest_size=16).digest()
+                    out.append((host_of(url), digest, [p for p, _, _ in got], [f for _, _, f in got], sum(not t for _, t, _ in got)))
+                yield pd.DataFrame(out, columns=["host", "digest", "paths", "features", "layouts"])
+
+        rows = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInPandas(tidy(run), "host string, digest binary, paths array<string>, features array<long>, layouts int")
+        once = rows.groupBy("host", "digest").agg(F.first(F.struct("paths", "features", "layouts")).alias("x"))  # copies of a page count once
+        pairs = once.select("host", F.col("x.layouts").alias("layouts"), F.posexplode(F.arrays_zip("x.paths", "x.features")).alias("k", "y"))
+        return pairs.select("host", F.col("y.paths").alias("path"), (F.col("k") >= F.col("layouts")).alias("is_text"), F.col("y.features").alias("feature"))
+
+    def _counts(self, pages: DataFrame) -> DataFrame:
+        return materialize(self.nodes(pages).groupBy("host", "path", "is_text", "feature").agg(F.count("*").alias("c")))
+
+    def importance(self, counts: DataFrame) -> DataFrame:
+        """(host, path, pages, presentation, content) of the merged trees, from the counts of features.
+
+        presentation: 1 - exp(-H) of the entropy H of the path's layouts; content: one minus the
+        mean of log c / log m over its texts, each on c of m pages.
+        """
+
+        def level(keys: list[str], name: str) -> DataFrame:
             by = counts.groupBy(*keys, "is_text", "feature").agg(F.sum("c").alias("c"))
-            # Pages of a path are bounded below by its most frequent style and above by all styles.
+            log_c = F.log(F.col("c").cast("double"))
             node = by.groupBy(*keys).agg(
-                F.max(F.when(~F.col("is_text"), F.col("c"))).alias("m_low"),
                 F.sum(F.when(~F.col("is_text"), F.col("c"))).alias("m"),
-                F.sum(F.when(F.col("is_text"), F.log(F.col("c").cast("double")))).alias("text_logs"),
+                F.sum(F.when(~F.col("is_text"), F.col("c") * log_c)).alias("layout_logs"),
+                F.sum(F.when(F.col("is_text"), log_c)).alias("text_logs"),
                 F.count(F.when(F.col("is_text"), 1)).alias("texts"),
-                F.sum(F.when(~F.col("is_text"), F.col("c") * F.log(F.col("c").cast("double")))).alias("style_logs"),
             )
-            log_m = F.log(F.greatest(F.col("m"), F.lit(2)).cast("double"))
-            content = F.when(F.col("m") > 1, 1 - F.least(F.lit(1.0), F.col("text_logs") / F.greatest(F.col("texts"), F.lit(1)) / log_m)).otherwise(1.0)
-            style = F.when(F.col("m") > 1, (log_m - F.col("style_logs") / F.col("m")) / log_m).otherwise(1.0)
-            return node.select(*keys, F.col("m").alias("pages"), (self.gamma * content + (1 - self.gamma) * style).alias("importance"))
+            log_m = F.log(F.col("m").cast("double"))
+            shown = 1 - F.exp(F.col("layout_logs") / F.col("m") - log_m)
+            said = F.when((F.col("texts") > 0) & (F.col("m") > 1), 1 - F.least(F.lit(1.0), F.col("text_logs") / F.col("texts") / log_m)).otherwise(1.0)
+            return node.select(*keys, F.col("m").alias(f"{name}pages"), shown.alias(f"{name}presentation"), said.alias(f"{name}content"))
 
-        site, every = level(["host", "path"]), level(["path"])
-        both = site.join(every.select("path", F.col("pages").alias("all_pages"), F.col("importance").alias("all_importance")), "path")
-        shrunk = (F.col("pages") * F.col("importance") + self.prior * F.col("all_importance")) / (F.col("pages") + self.prior)
-        return both.select("host", "path", "pages", "all_pages", shrunk.alias("importance"))
+        k = self.prior
+        both = level(["host", "path"], "").join(level(["path"], "all_"), "path")
+        toward = lambda n, x, y: (F.col(n) * F.col(x) + k * y) / (F.col(n) + k)
+        return both.select("host", "path", "pages", toward("pages", "presentation", toward("all_pages", "all_presentation", F.lit(NEUTRAL))).alias("presentation"), toward("pages", "content", toward("all_pages", "all_content", F.lit(1.0))).alias("content"))
+
+    def known(self, pages: DataFrame) -> DataFrame:
+        """(host, name, value): what main_text asks for, as far as it is not neutral.
+
+        A text that is on more than the square root of the pages of its path counts by its own entropy.
+        """
+        counts = self._counts(pages)
+        tree = materialize(self.importance(counts))
+
+        def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                kinds = [("path", "presentation"), ("content", "content")]
+                yield pd.concat([pd.DataFrame({"host": pdf["host"], "name": [mark(k, p) for p in pdf["path"]], "value": pdf[c]}) for k, c in kinds], ignore_index=True)
+
+        paths = tree.mapInPandas(named, "host string, name long, value double").where("value < 0.999 OR value IS NULL")
+        size = tree.select("host", "path", "pages")
+        texts = counts.where("is_text AND c > 2").join(size, ["host", "path"]).where(F.col("c") * F.col("c") > F.col("pages"))
+        texts = texts.select("host", F.col("feature").alias("name"), (1 - F.log(F.col("c").cast("double")) / F.log(F.col("pages").cast("double"))).alias("value"))
+        return materialize(paths.unionByName(texts))
 
     def transform(self, pages: DataFrame, id_col: str = "page_id") -> DataFrame:
         """(page_id, url, text, n_chars), one row per input row; other columns don't matter.
 
         A null or empty page has the empty text. Pages without a usable url are one host. An
-        empty table gives an empty result, repeated rows repeated results.
+        article's own header belongs to it. An empty table gives an empty result, repeated rows
+        repeated results.
         """
         spark = pages.sparkSession
         text_batches(spark)
-        low = self.importance(pages).where((F.col("importance") < self.threshold) & (F.col("all_pages") >= self.least))
-        noise = materialize(low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("noise")))
-        size = noise.agg(F.sum(F.length(F.array_join("noise", " ")))).first()[0] or 0
+        threshold, priors = self.threshold, self.priors
+        rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+        known = self.known(pages) if self.tree else None
+        shape = "page_id long, url string, text string, n_chars long"
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def answer(pdf: pd.DataFrame, texts: list[str]) -> pd.DataFrame:
+            return pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+
+        if known is None or known.count() <= self.small:
+            table: dict[str, dict[int, float]] = {}
+            for r in known.collect() if known is not None else []:  # bounded by `small`, which was just counted
+                table.setdefault(r["host"], {})[r["name"]] = r["value"]
+            held = spark.sparkContext.broadcast(table)
+
+            def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for pdf in batches:
+                    yield answer(pdf, [main_text(h, held.value.get(host_of(u)), threshold, priors) for h, u in zip(pdf["html"], pdf["url"], strict=True)])
+
+            return rows.mapInPandas(tidy(whole), shape)
+
+        def asks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                names = []
+                for page in pdf["html"]:
+                    got = features(blocks(page))
+                    names.append([mark(k, p) for p, t, _ in got if not t for k in ("path", "content")] + [f for _, t, f in got if t])
+                yield pd.DataFrame({"host": [host_of(u) for u in pdf["url"]], "k1": pdf["k1"], "k2": pdf["k2"], "names": names})
+
+        # A large tree is not sent around: every distinct page fetches its own names, by shuffle.
+        keyed = rows.withColumns({"k1": F.xxhash64("url", "html"), "k2": F.hash("html", "url")})
+        asked = keyed.select("url", "html", "k1", "k2").mapInPandas(tidy(asks), "host string, k1 long, k2 int, names array<long>")
+        asked = asked.select("host", "k1", "k2", F.explode("names").alias("name")).distinct().join(known, ["host", "name"])
+        own = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("name", "value")).alias("own"))  # of one page
+
+        def apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                texts = [main_text(page, frozenset(low) if low is not None else frozenset()) for page, low in zip(pdf["html"], pdf["noise"], strict=True)]
-                yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+                tables = [{x["name"]: x["value"] for x in own} if own is not None else {} for own in pdf["own"]]
+                yield answer(pdf, [main_text(h, t, threshold, priors) for h, t in zip(pdf["html"], tables, strict=True)])
 
-        host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-        rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-        joined = rows.join(F.broadcast(noise) if size <= 32 << 20 else noise, "host", "left")
-        return joined.select("page_id", "url", "html", "noise").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+        return keyed.join(own, ["k1", "k2"], "left").select("page_id", "url", "html", "own").mapInPandas(tidy(apart), shape)

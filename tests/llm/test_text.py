@@ -292,3 +292,116 @@ def test_word_table_equals_the_library():
         assert sizes.tolist() == [len(x) for x in expected]
         assert ids.tolist() == [x for e in expected for x in e]
     assert table.encode(pa.array([], pa.string()))[1].tolist() == []
+
+
+def test_the_tree_removes_what_no_prior_names(spark):
+    """Blocks without any telling name: what the host repeats goes, and only with the tree."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(3, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    rows, want = [], {}
+    for k in range(60):
+        title, parts = text(5), [text(40) for _ in range(rng.randrange(1, 6))]
+        html = f"<body><div class='x1'>Join our club today</div><div class='x2'><h1>{title}</h1>{''.join(f'<p>{p}</p>' for p in parts)}<p>Tell your friends</p></div><div class='x3'>Since {1990 + k % 2}</div></body>"
+        rows.append((k, f"https://a.example/{k}", html))
+        want[k] = "\n".join([title, *parts])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for small in (1_000_000, 0):  # the tree sent to all workers, and fetched by shuffle
+        assert {r["page_id"]: r["text"] for r in SiteStyleTree(small=small).transform(pages).collect()} == want
+    off = {r["page_id"]: r["text"] for r in SiteStyleTree(tree=False).transform(pages).collect()}
+    assert all("Tell your friends" in off[k] and "Join our club" in off[k] for k in want)
+
+
+def test_importance_equals_plain_version(spark):
+    import math
+    from collections import Counter, defaultdict
+
+    from chronofold.llm.htmltree import NEUTRAL, features, host_of
+
+    rows = [(k, f"https://h{k % 3}.example/{k}", f"<body><ul>{'<li>m</li>' * (k % 4)}</ul><p>same</p><div class='c'>text {k % 7}{'<b>x</b>' if k % 5 else ''}</div></body>") for k in range(40)] + [(90, None, None), (91, "https://h1.example/1", None)]
+    pages = spark.createDataFrame([*rows, rows[3]], "page_id long, url string, html string")
+    tree = SiteStyleTree()
+    got = {(r["host"], r["path"]): (r["pages"], r["presentation"], r["content"]) for r in tree.importance(tree._counts(pages)).collect()}
+    distinct = {(host_of(u), tuple(features(blocks(h)))) for _, u, h in rows}
+
+    def level(keyed):
+        layouts, texts = defaultdict(Counter), defaultdict(Counter)
+        for key, is_text, feature in keyed:
+            (texts if is_text else layouts)[key][feature] += 1
+        out = {}
+        for key, counts in layouts.items():
+            m = sum(counts.values())
+            entropy = -sum(c / m * math.log(c / m) for c in counts.values())
+            said = texts[key].values()
+            out[key] = m, 1 - math.exp(-entropy), 1 - sum(math.log(c) / math.log(m) for c in said) / len(said) if said and m > 1 else 1.0
+        return out
+
+    site = level(((h, p), t, f) for h, got in distinct for p, t, f in got)
+    every = level((p, t, f) for _, got in distinct for p, t, f in got)
+    assert set(got) == set(site)
+    for (host, path), (m, shown, said) in site.items():
+        n, all_shown, all_said = every[path]
+        toward = lambda m, x, y: (m * x + 10 * y) / (m + 10)
+        assert got[host, path] == pytest.approx((m, toward(m, shown, toward(n, all_shown, NEUTRAL)), toward(m, said, toward(n, all_said, 1.0))))
+
+
+def test_names_that_wrap_articles():
+    assert main_text('<body><div class="page no-sidebar"><p>Body text</p></div></body>') == "Body text"
+    assert main_text('<div class="with-sidebar"><p>Body text</p></div>') == "Body text"
+    assert main_text('<article><p class="legal">A b</p><p class="search-results-para">C d</p></article>') == "A b\nC d"
+    assert main_text("<article><header><h1>Title</h1></header><p>x y</p><footer>by me</footer><section class='comments'><p>nice</p></section></article>") == "Title\nx y"
+
+
+def test_added_spans_equal_a_plain_bootstrap(spark):
+    """Forms and contexts scored by a plain loop, for phones that a following number hides from the base pattern."""
+    rng = random.Random(31)
+    phone = lambda: f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"
+    rows = [f"{rng.choice(['one', 'two', 'red', 'sun'])} {phone()} {rng.choice(['end', 'fin', 'off'])}" for _ in range(100)]
+    hidden = [f"see {phone()} 10.20.{rng.randrange(256)}.7 ok" for _ in range(5)] + [f"see {phone()} 99.99.99.999999 ok" for _ in range(2)]
+    docs = frame(spark, list(enumerate([*rows, *hidden, "+1 (23) 4567-8901 99999999 no", None, ""])))
+    got = {r["doc_id"]: r for r in ContextualPII().transform(docs).collect()}
+    for k, text in enumerate(hidden, len(rows)):
+        at = text.index("+")
+        assert f"phone:{at}:{at + 17}" in got[k]["spans"].split(",") and got[k]["n_found"] == 1 and got[k]["n_phone"] == 0, text
+    assert sum(r["n_found"] for r in got.values()) == len(hidden)
+
+
+def test_mask_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.cc now", 7, "m", "t", "s", "r", 5), (1, "mail a@b.cc now", 7, "m", "t", "s", "r", 5), (2, None, None, None, None, None, None, None)], "doc_id long, text string, k1 int, more string, __text string, __spans string, row string, start int")
+    got = ContextualPII().mask(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(str, got.collect())) == sorted(str(r).replace("a@b.cc", "<EMAIL>") for r in docs.collect())
+
+
+def test_language_equals_plain_naive_bayes(spark):
+    import math
+    from collections import Counter
+
+    rng = random.Random(41)
+    rows = [(k, " ".join("".join(rng.choices("abcde" if k % 2 else "defgh", k=4)) for _ in range(6)), "aa" if k % 2 else "bb") for k in range(60)]
+    rows += [(100, "ab ab", None), (101, "...", "aa"), (102, "Abc", "aa"), (102, "Abc", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.predict(docs, langid.fit(docs, ~langid.held_out())).collect()}
+    learn = [(t, x) for k, t, x in rows if zlib.crc32(str(k).encode()) % 4 != 2 and x and any(c.isalpha() for c in t)]
+    counts, number = {x: Counter() for _, x in learn}, Counter(x for _, x in learn)
+    for t, x in learn:
+        counts[x].update(langid.grams(t, 1 << 14, 3).tolist())
+    for k, t, _ in rows:
+        seen = langid.grams(t, 1 << 14, 3).tolist()
+        if not seen:
+            assert got[k]["lang_pred"] == "und" and got[k]["score"] == 0
+            continue
+        total = {x: math.log(number[x] / len(learn)) + sum(math.log((c[g] + 0.5) / (sum(c.values()) + 0.5 * (1 << 14))) for g in seen) for x, c in counts.items()}
+        top = max(total, key=lambda x: (total[x], x == min(total)))
+        assert got[k]["lang_pred"] == top and got[k]["score"] == pytest.approx(1 / sum(math.exp(v - total[top]) for v in total.values()))
+
+
+def test_cuts_between_letters_equal_the_library():
+    encoder = bpe.load(bpe.tokenizer_path("byte_bpe_50k.json"))
+    rng = random.Random(51)
+    pools = ["中文文本没有空格的句子例如这个很长的段落需要切分开来处理", "これは日本語のテキストです", "한국어텍스트각", "éèçàüß", "абвгд", "़ािहिन्दी", "abc'srell", "01 .,!", "́"]
+    texts = ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randrange(1, 90))) for _ in range(1500)] + [pools[0] * 200]
+    want = [e.ids for e in encoder.library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder.encode_many(texts)] == want
+    assert len(encoder._pieces(texts[-1])) > 1000
+    assert encoder.decode(np.array([10**9, want[0][0]])).startswith("�")
