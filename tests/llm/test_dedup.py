@@ -172,3 +172,66 @@ def test_topk_equals_brute_force(spark, scale_up):
         want |= {(a, r + 1, b, -s) for r, (s, b) in enumerate(every)}
     assert {tuple(r) for r in got} == want
     assert ExactTopK().transform(vectors_of(spark, []), "vec_id % 10 = 0").count() == 0
+
+
+def test_bounds_leave_most_pairs_out():
+    """More rows than a block, of skewed lengths: what is scored exactly is a small share, and the result is whole."""
+    from chronofold.llm.topk import Rotated, best, exact_scores, steps, survivors
+
+    rng = np.random.default_rng(9)
+    m = np.floor(rng.standard_normal((6000, 32)) * (rng.pareto(2.0, (6000, 1)) + 1) * 40)
+    u = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1)
+    values, turn = np.linalg.eigh(u.T @ u)
+    turn, at = turn[:, ::-1], steps(np.maximum(values[::-1], 0))
+    length = np.linalg.norm(m, axis=1)
+    order, asked, k, scored = np.argsort(-length), np.arange(0, 6000, 100), 10, 0
+    q = Rotated(m[asked], turn, at)
+    low = np.sort(m[asked] @ m[order[:128]].T, axis=1)[:, -k - 1].astype(float)
+    kept = [np.zeros(0, dtype=np.int64)] * 3
+    for i in range(0, 6000, 512):
+        rows = order[i : i + 512]
+        x, row = survivors(q, Rotated(m[rows], turn, at), low, at, length[rows].max())
+        scored += len(x)
+        every = [np.concatenate(z) for z in zip(kept, (x, rows[row], exact_scores(m[asked[x]], m[rows[row]])), strict=True)]
+        top = best(*every, k)
+        kept = [a[top] for a in every]
+    assert scored < 0.1 * len(asked) * len(m)
+    for n, one in enumerate(asked):
+        scores = (m @ m[one]).astype(np.int64)
+        assert kept[1][kept[0] == n].tolist() == sorted(range(6000), key=lambda j: (-scores[j], j))[:k]
+
+
+def test_sketches_drop_no_pair_at_the_threshold():
+    from chronofold.llm.pstable import near_in_runs, unit
+
+    rng = np.random.default_rng(10)
+    op = EmbeddingDuplicates(cosine=0.9)
+    a = unit(rng.standard_normal((4000, 64)))
+    side = rng.standard_normal(a.shape)
+    side = unit(side - (side * a).sum(axis=1, keepdims=True) * a)
+    b = 0.9 * a + np.sqrt(1 - 0.81) * side
+    sketch = np.concatenate([op.sketches(a), op.sketches(b)]).reshape(2, 4000, 2).transpose(1, 0, 2).reshape(8000, 2)
+    none, yes = np.zeros(8000, dtype=np.int64), np.ones(8000, dtype=bool)
+    assert near_in_runs(np.repeat(np.arange(4000), 2), none, yes, np.ascontiguousarray(sketch), op.most).all()
+    far = op.sketches(unit(rng.standard_normal((3000, 64))))
+    assert near_in_runs(np.repeat(np.arange(1500), 2), none, yes, far, op.most).mean() < 0.01
+    both = np.concatenate([far[:200], far[:100]])
+    long_run, part = np.zeros(300, dtype=np.int64), np.repeat([0, 1], [200, 100])
+    live = near_in_runs(long_run, part, np.zeros(300, dtype=bool), both, 0)
+    assert live[:100].all() and live[200:].all() and not live[100:200].any()
+
+
+def test_extreme_lengths(spark):
+    rows = [(1, [1e-200, 1e-200], 0), (2, [1e200, 1e200], 0), (3, [1.0, -1.0], 0), (4, [5e-324, 0.0], 0)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in EmbeddingDuplicates().transform(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
+
+
+def test_crowded_keys_are_dealt(spark):
+    from chronofold.operators.components import pointed
+
+    rows = spark.range(500).selectExpr("id AS v", "CASE WHEN id < 400 THEN 1 ELSE id END AS u")
+    pointers = spark.createDataFrame([(1, 7), (450, 8)], "u long, p long")
+    want = [(v, 7 if v < 400 else 8 if v == 450 else None) for v in range(500)]
+    for small, hot in ((10, 10), (0, 50), (0, 1000)):
+        assert sorted((r["v"], r["q"]) for r in pointed(rows, pointers, "u", "q", small, hot).collect()) == want
