@@ -210,7 +210,7 @@ def test_sketches_drop_no_pair_at_the_threshold():
     side = rng.standard_normal(a.shape)
     side = unit(side - (side * a).sum(axis=1, keepdims=True) * a)
     b = 0.9 * a + np.sqrt(1 - 0.81) * side
-    sketch = np.concatenate([op.sketches(a), op.sketches(b)]).reshape(2, 4000, 2).transpose(1, 0, 2).reshape(8000, 2)
+    sketch = np.stack([op.sketches(a), op.sketches(b)], axis=1).reshape(8000, -1)
     none, yes = np.zeros(8000, dtype=np.int64), np.ones(8000, dtype=bool)
     assert near_in_runs(np.repeat(np.arange(4000), 2), none, yes, np.ascontiguousarray(sketch), op.most).all()
     far = op.sketches(unit(rng.standard_normal((3000, 64))))
