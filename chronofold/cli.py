@@ -83,11 +83,31 @@ def answer(engine: Engine, a: argparse.Namespace) -> list[dict]:
             return [{"indexed": engine.reindex()}]
         case "sleep":
             got = engine.sleep(a.dry_run)
-            return [got] if any(got[x] for x in ("clusters", "forget", "merged", "review", "episodic")) else []
+            return [got] if any(got[x] for x in ("merge_suggestions", "forget_candidates", "near_duplicates", "review_pairs", "episodic_candidates")) else []
     return [engine.status()]
 
 
+def cut(text: str | None, n: int = 60) -> str:
+    return (text or "")[:n]
+
+
+def _report(row: dict) -> list[str]:
+    lines = [f"# {'preview' if row['dry_run'] else 'done'}: {len(row['forget_candidates'])} to forget, {len(row['near_duplicates'])} to merge"]
+    lines += [f"cluster {c['entity']}: {c['count']}" + "".join(f"\n    {x['id']}  {cut(x['text'])}" for x in c["claims"]) for c in row["merge_suggestions"]]
+    lines += [f"forget {c['id']}  retention {c['retention']}  idle {c['days_idle']} days  {cut(c['text'], 50)}" for c in row["forget_candidates"]]
+    lines += [f"merge {m['merged']} into {m['kept']}  ({m['score']})" for m in row["near_duplicates"]]
+    lines += [f"review {p['a']['id']} {p['b']['id']}  ({p['score']})\n    {cut(p['a']['text'])}\n    {cut(p['b']['text'])}" for p in row["review_pairs"]]
+    lines += [f"recent {e['ep']['id']}  {cut(e['ep']['text'], 50)}" + (f"\n    near {e['best_match']['id']}  ({e['best_match']['score']})  {cut(e['best_match']['text'], 40)}" if e["best_match"] else "") for e in row["episodic_candidates"]]
+    return lines + ([f"report: {row['report_file']}"] if "report_file" in row else [])
+
+
 def pretty(row: dict) -> str:
+    if "items" in row:
+        mark = lambda i: f"{i['score']:.4f}  " if "score" in i else f"({i['confidence']}, {i['hits']} hits)  "
+        head = f"# {row.get('task', 'profile')}  ({row['used_tokens']} of {row['budget']} tokens)"
+        return "\n".join([head, *(f"- {mark(i)}[{i['kind'] or ''}|{i['entity'] or ''}] {i['text']}" for i in row["items"])])
+    if "forget_candidates" in row:
+        return "\n".join(_report(row))
     if "score" in row and "text" in row:
         return f"{row['score']:.4f}  {row.get('id', '')}  {row['text']}"
     if "id" in row and "text" in row:

@@ -19,6 +19,7 @@ from .functions.embedder import HashedBigrams, embedder
 from .operators import claims as ops
 from .operators import consolidate, lexical, vectors
 from .operators.replay import replay
+from .session import materialize, ship
 from .sources.lake import Lake, ModelMismatch
 
 __all__ = ["Engine", "ModelMismatch", "NotFound"]
@@ -60,8 +61,6 @@ class Engine:
 
     # index
     def _embedded(self, claims: DataFrame) -> DataFrame:
-        from .session import ship
-
         ship(self.spark)
         text = X.render(F.col("kind"), F.col("entity"), F.col("created"), F.col("text"))
         return claims.select("id", F.lit(self.provider.name).alias("model"), F.col("birth_seq").alias("ord"), embedder(self.provider)(text).alias("embedding"))
@@ -74,21 +73,23 @@ class Engine:
         self.lake.audit("reindex", {"count": n, "model": self.provider.name}, self.now())
         return n
 
-    def _index(self) -> DataFrame:
-        """Vectors of the active claims; claims without one are embedded now and added."""
+    def _index(self, write: bool = True) -> DataFrame:
+        """Vectors of the active claims; claims without one are embedded now, and added unless write is false."""
         found = self.lake.vectors(self.provider.name)
         live = ops.active(self.claims())
         missing = live if found is None else live.join(found, "id", "left_anti")
         if not missing.isEmpty():
-            rows = self._embedded(missing).collect()
-            self.lake.append_vectors(self.spark.createDataFrame(rows, "id string, model string, ord long, embedding array<float>"))
+            made = materialize(self._embedded(missing))
+            if not write:
+                return (made if found is None else found.unionByName(made)).join(live, "id", "inner")
+            self.lake.append_vectors(made)
         found = self.lake.vectors(self.provider.name)
         if found is None:
             found = self.spark.createDataFrame([], "id string, model string, ord long, embedding array<float>")
         return found.join(live, "id", "inner")
 
     # writes
-    def _touch(self, ids: list[str]) -> None:
+    def touch(self, ids: list[str]) -> None:
         """One touch per id, and a confidence operation where hits earn it, in one append."""
         if not ids:
             return
@@ -118,7 +119,7 @@ class Engine:
         if not key:
             best = self.find_similar(text, kind, entity)
             if best and best["score"] >= C.DEDUP:
-                self._touch([best["id"]])
+                self.touch([best["id"]])
                 return {"merged_into": best["id"], "score": best["score"], "hits": best["hits"] + 1, **self._pressure()}
         now, claim = self.now(), self.new_id()
         rows = [{"op": "supersede", "target": r["id"], "ts": now, "lineage_id": r["lineage_id"]} for r in ops.by_key(self.claims(), key).collect()]
@@ -179,7 +180,7 @@ class Engine:
         """
         best = vectors.topk(self._index(), self._embed(text), k).withColumn("score", F.round("score", 4)).drop("embedding", "model", "ord")
         hits = self._rows(best)
-        self._touch([h["id"] for h in hits])
+        self.touch([h["id"] for h in hits])
         if deep:
             hits += [r | {"layer": "episodic"} for r in self._rows(lexical.deep_search(self.lake.episodic(), text, k, ["month", "ord"]))]
         return hits
@@ -189,9 +190,9 @@ class Engine:
         hits = self.recall(task, C.CONTEXT_RECALL)
         if not hits:
             return {"task": task, "budget": budget, "used_tokens": 0, "items": []}
-        rows = self.spark.createDataFrame([(h["id"], h["text"], float(h["score"]), n, h["hits"]) for n, h in enumerate(hits)], "id string, text string, score double, rank int, hits long")
+        rows = self.spark.createDataFrame([(h["id"], h["text"], float(h["score"]), n, h["hits"], h["kind"], h["entity"]) for n, h in enumerate(hits)], "id string, text string, score double, rank int, hits long, kind string, entity string")
         kept = ops.context_items(rows, budget).orderBy("rn").collect()
-        return {"task": task, "budget": budget, "used_tokens": int(kept[-1]["used"]), "items": [{"id": r["id"], "text": r["text"], "score": r["score"], "hits": r["hits"]} for r in kept]}
+        return {"task": task, "budget": budget, "used_tokens": int(kept[-1]["used"]), "items": [{n: r[n] for n in ("id", "kind", "entity", "text", "score", "hits")} for r in kept]}
 
     def profile(self, budget: float = C.PROFILE_BUDGET, write: bool = False) -> dict:
         kept = ops.profile_items(self.claims(), budget).orderBy("rn").collect()
@@ -223,53 +224,56 @@ class Engine:
         row = ops.status(self.claims()).first()
         try:
             found = self.lake.vectors(self.provider.name)
-            index = {"rows": found.count() if found is not None else 0, "model": self.provider.name}
+            index = {"exists": found is not None, "model": self.provider.name, "count": found.count() if found is not None else 0}
         except ModelMismatch as e:
-            index = {"error": str(e)}
+            index = {"exists": True, "error": str(e)}
         profile = self.lake.read_text(self.lake.path("profile.md"))
         return {
-            "home": self.lake.home, "total": row["total"], **self._pressure(), "warm_limit": C.WARM_LIMIT, "index": index, "log_bytes": self.lake.size(self.lake.path("oplog")),
-            "profile": {"exists": profile is not None, "items": len([x for x in (profile or "").split("\n") if x.strip()])},
+            "home": self.lake.home, "total_claims": row["total"], **self._pressure(), "warm_limit": C.WARM_LIMIT, "index": index, "claims_file_bytes": self.lake.size(self.lake.path("oplog")),
+            "profile": {"exists": False} if profile is None else {"exists": True, "count": len([x for x in profile.split("\n") if x.strip()]), "updated": self.lake.modified(self.lake.path("profile.md"))},
         }
 
     # consolidation
     def sleep(self, dry_run: bool = False, review: float = C.REVIEW, merge: float = C.MERGE) -> dict:
         """Clusters, claims to forget, pairs to merge and to review, and recent entries with their nearest claim.
 
-        A dry run writes nothing but vectors that were missing. Else forgets are appended before
-        merges, the report is saved under its day, and the index follows by itself.
+        A dry run writes nothing. Else forgets are appended before merges, the report is saved under
+        its day, and the index follows by itself. Recent entries are those of whole days. The
+        report holds what a command prints, so it is collected; joins find texts and lineages.
         """
-        now, claims = self.now(), self.claims().persist()
-        index = self._index().select("id", "embedding", F.col("birth_seq").alias("ord")).persist()
+        now, claims = self.now(), materialize(self.claims())
+        index = materialize(self._index(write=not dry_run).select("id", "embedding", F.col("birth_seq").alias("ord")))
+        brief = claims.select("id", "text", "entity", "lineage_id")
+        as_side = lambda n: brief.select(F.col("id").alias(n), F.col("text").alias(f"{n}_text"), F.col("lineage_id").alias(f"{n}_lineage"))
         found = ops.clusters(claims).collect()
         weak = ops.forget_candidates(claims, F.lit(now)).collect()
-        pairs = consolidate.with_keeper(vectors.similar_pairs(index, review), claims).persist()
+        pairs = materialize(consolidate.with_keeper(vectors.similar_pairs(index, review), claims))
         strong, mild = consolidate.bands(pairs, merge)
-        merged = consolidate.greedy(strong).orderBy(F.desc("score"), "a", "b").collect()
-        mild_rows = mild.orderBy(F.desc("score"), "a_ord", "b_ord").collect()
-        since = (self.clock() - timedelta(days=C.EPISODIC_DAYS)).strftime("%Y-%m-%dT%H:%M:%SZ")
-        recent = self.lake.episodic().where(F.col("ts") >= since).orderBy("month", "ord").limit(C.EPISODIC_LIMIT).persist()
-        near = vectors.nearest(recent.select("id", embedder(self.provider)(X.render(F.lit(None).cast("string"), F.col("entity"), F.col("ts"), F.col("text"))).alias("embedding")), index) if not recent.isEmpty() else None
-        texts = {r["id"]: r["text"] for r in claims.where(F.col("id").isin([x for r in [*merged, *mild_rows] for x in (r["a"], r["b"])])).select("id", "text").collect()}
-        show = lambda i: {"id": i, "text": texts.get(i)}
+        merged = consolidate.greedy(strong).join(as_side("kept"), "kept").join(as_side("loser"), "loser").orderBy(F.desc("score"), "a", "b").collect()
+        mild_rows = mild.join(as_side("a"), "a").join(as_side("b"), "b").orderBy(F.desc("score"), "a_ord", "b_ord").collect()
+        since = (self.clock() - timedelta(days=C.EPISODIC_DAYS)).strftime("%Y-%m-%d")
+        entries = self._rows(ops.episodic_range(self.lake.episodic(), since=since).limit(C.EPISODIC_LIMIT).drop("month", "ord"))
+        near = {}
+        if entries:
+            texts = self.spark.createDataFrame([(e["id"], e["text"]) for e in entries], "id string, text string")
+            best = vectors.nearest(texts.select("id", embedder(self.provider)(F.col("text")).alias("embedding")), index)
+            best = best.join(brief.select(F.col("id").alias("nearest"), "text", "entity"), "nearest")
+            near = {r["id"]: {"id": r["nearest"], "text": r["text"], "entity": r["entity"], "score": r["score"]} for r in best.collect()}  # at most EPISODIC_LIMIT rows
         report = {
             "ts": now, "dry_run": dry_run,
-            "clusters": [{"entity": r["entity"], "count": r["count"], "claims": [{"id": c["id"], "text": c["text"]} for c in r["claims"]]} for r in found],
-            "forget": [{"id": r["id"], "text": r["text"], "retention": r["retention"], "days_idle": r["days_idle"]} for r in weak],
-            "merged": [{"keep": show(r["kept"]), "drop": show(r["loser"]), "score": r["score"]} for r in merged],
-            "review": [{"a": show(r["a"]), "b": show(r["b"]), "score": r["score"]} for r in mild_rows],
-            "episodic": self._rows(recent.join(near, "id", "left").orderBy("month", "ord").select("id", "text", "nearest", "score")) if near is not None else [],
+            "merge_suggestions": [{"entity": r["entity"], "count": r["count"], "claims": [{"id": c["id"], "text": c["text"]} for c in r["claims"]]} for r in found],
+            "forget_candidates": [{n: r[n] for n in ("id", "text", "retention", "days_idle", "hits")} for r in weak],
+            "near_duplicates": [{"kept": r["kept"], "merged": r["loser"], "score": r["score"], "kept_text": r["kept_text"], "merged_text": r["loser_text"]} for r in merged],
+            "review_pairs": [{"a": {"id": r["a"], "text": r["a_text"]}, "b": {"id": r["b"], "text": r["b_text"]}, "score": r["score"]} for r in mild_rows],
+            "episodic_candidates": [{"ep": e, "best_match": near.get(e["id"])} for e in entries],
         }
         if not dry_run:
-            line = {r["id"]: r["lineage_id"] for r in claims.where(F.col("id").isin([r["id"] for r in weak] + [r["loser"] for r in merged])).collect()}
-            rows = [{"op": "forget", "target": r["id"], "ts": now, "lineage_id": line[r["id"]]} for r in weak]
-            rows += [{"op": "supersede", "target": r["loser"], "ts": now, "lineage_id": line[r["loser"]], "extra": f'{{"kept": "{r["kept"]}"}}'} for r in merged]
+            rows = [{"op": "forget", "target": r["id"], "ts": now, "lineage_id": r["lineage_id"]} for r in weak]
+            rows += [{"op": "supersede", "target": r["loser"], "ts": now, "lineage_id": r["loser_lineage"], "extra": f'{{"kept": "{r["kept"]}"}}'} for r in merged]
             if rows:
                 self.lake.append_ops(rows, now)
             report["applied"] = {"forgotten": len(weak), "merged": len(merged)}
             file = self.lake.save_report(report, now[:10])
-            self.lake.audit("sleep", report["applied"], now)
+            self.lake.audit("sleep", report["applied"] | {"report_file": file}, now)
             report = report | {"report_file": file}
-        for x in (claims, index, pairs, recent):
-            x.unpersist()
         return report

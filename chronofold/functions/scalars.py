@@ -99,10 +99,6 @@ def brief() -> Column:
     return F.struct("id", "text")
 
 
-def preview(text: Column, n: int) -> Column:
-    return F.left(text, F.lit(n))
-
-
 def first_kept(hits_a: Column, created_a: Column, hits_b: Column, created_b: Column) -> Column:
     """Whether the first of two claims stays: more hits, then created later, then the first."""
     key = lambda h, c: F.struct(F.coalesce(h, F.lit(0)).alias("h"), F.coalesce(c, F.lit("")).alias("c"))

@@ -63,9 +63,9 @@ def with_retention(claims: DataFrame, now: Column) -> DataFrame:
 
 
 def forget_candidates(claims: DataFrame, now: Column) -> DataFrame:
-    """Active claims of low confidence whose retention is under the floor, weakest first."""
+    """Active claims of low confidence whose retention is under the floor, weakest first by three places, as shown."""
     low = with_retention(active(claims).where("confidence = 'low'"), now).where(F.col("retention") < C.RETENTION_FLOOR)
-    return low.withColumn("retention", F.round("retention", 4)).orderBy("retention", "birth_seq")
+    return low.withColumn("retention", F.round("retention", 3)).orderBy("retention", "birth_seq")
 
 
 def promotions(claims: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from ..sources import schemas
 
 _FIELDS = ["id", "text", "key", "kind", "entity", "source", "confidence", "created", "hits", "last_accessed", "status", "birth_seq", "lineage_id"]
@@ -60,10 +61,10 @@ def with_lineage(log: DataFrame) -> DataFrame:
     known, front = born, born
     while True:
         front = births.join(front.select(F.col("id").alias("target"), "root"), "target").select("id", "root").join(known, "id", "left_anti").groupBy("id").agg(F.min("root").alias("root"))
-        front = front.checkpoint() if log.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else front.persist()
+        front = materialize(front)
         if front.isEmpty():
             break
-        known = known.unionByName(front)
+        known = materialize(known.unionByName(front))
     named = known.select(F.col("id").alias("__id"), "root")
     joined = log.drop("lineage_id").withColumn("__id", F.when(F.col("op") == "assert", F.col("id")).otherwise(F.col("target"))).join(named, "__id", "left").drop("__id")
     return joined.withColumnRenamed("root", "lineage_id")
@@ -95,7 +96,8 @@ def replay_sql(log: DataFrame) -> DataFrame:
           SELECT l.new_id, l.seq, b.lineage_id FROM birth b JOIN cf_log l ON l.target = b.id AND l.seq > b.birth_seq
           WHERE l.op = 'supersede' AND coalesce(l.text, '') <> '')
         SELECT * FROM birth"""
-    ).persist()
+    )
+    birth = materialize(birth)
     birth.createOrReplaceTempView("cf_birth")
     run = spark.sql(
         """WITH ops AS (SELECT b.id AS cid, l.*, coalesce(last_value(CASE l.op WHEN 'supersede' THEN 'superseded' WHEN 'forget' THEN 'forgotten' WHEN 'restore' THEN 'active' END)
@@ -105,7 +107,8 @@ def replay_sql(log: DataFrame) -> DataFrame:
           last_value(CASE WHEN op = 'touch' AND st = 'active' THEN ts END) IGNORE NULLS OVER w AS la,
           last_value(CASE WHEN op = 'confidence' THEN to END) IGNORE NULLS OVER w AS cf
         FROM ops WINDOW w AS (PARTITION BY cid ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
-    ).persist()
+    )
+    run = materialize(run)
     run.createOrReplaceTempView("cf_run")
     return spark.sql(
         """WITH RECURSIVE base(id, text, key, kind, entity, source, confidence, created, hits, la, birth_seq, lineage_id) AS (

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..session import ship
+from ..session import materialize, ship
 
 #: Rows of a block of the self-join, and queries of a block of the batch search.
 BLOCK, QUERY_BLOCK = 1024, 64
+#: Left rows of a nearest join that are broadcast, or make a group.
+LEFT = 10_000
 
 
 def topk(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", order: str = "ord") -> DataFrame:
@@ -69,7 +71,7 @@ def similar_pairs(vectors: DataFrame, floor: float, id_col: str = "id", order: s
     Blocks are joined with blocks (each pair of blocks once), so a task holds two blocks; only
     pairs over the floor leave it. score is rounded to 4 places, the floor is held to the raw one.
     """
-    blocks = blocked(vectors, BLOCK, id_col, order).persist()
+    blocks = materialize(blocked(vectors, BLOCK, id_col, order))
     left = blocks.withColumn("other", F.explode(F.expr("sequence(block, n - 1)")))
     right = blocks.select(F.col("block").alias("other"), F.col("ids").alias("ids2"), F.col("ords").alias("ords2"), F.col("data").alias("data2"))
 
@@ -94,10 +96,15 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str = "id", right_id: st
     """(id, nearest, score): for each left row the best right row, ties in right order.
 
     Left rows without any right row stay, with nulls. The left side is the small one (it is cut to
-    a fixed number of entries before); it is joined by its row number modulo a block count.
+    a fixed number of entries before) and is broadcast. Beyond LEFT rows it is dealt into groups
+    of about so many, and both sides are joined by group and a share of the right side.
     """
-    l_rows = left.select(F.col(left_id).alias("id"), F.col("embedding").alias("l"), F.lit(0).alias("j"))
-    r_rows = right.select(F.col(right_id).alias("nearest"), F.col(right_order).alias("o"), F.col("embedding").alias("r"), F.lit(0).alias("j"))
-    best = r_rows.join(F.broadcast(l_rows) if left.count() <= 10_000 else l_rows, "j").withColumn("score", X.cosine(F.col("l"), F.col("r")))
+    count = left.count()
+    groups, shares = max(1, -(-count // LEFT)), 1 if count <= LEFT else int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    l_rows = left.select(F.col(left_id).alias("id"), F.col("embedding").alias("l"), F.pmod(F.xxhash64(left_id), F.lit(groups)).cast("int").alias("j"))
+    l_side = l_rows.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    r_rows = right.select(F.col(right_id).alias("nearest"), F.col(right_order).alias("o"), F.col("embedding").alias("r"), F.pmod(F.xxhash64(right_id), F.lit(shares)).cast("int").alias("share"))
+    r_rows = r_rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    best = r_rows.join(F.broadcast(l_side) if count <= LEFT else l_side, ["j", "share"]).withColumn("score", X.cosine(F.col("l"), F.col("r")))
     best = best.groupBy("id").agg(F.max_by(F.struct("nearest", "score"), F.struct(F.col("score"), -F.col("o"))).alias("x"))
     return l_rows.select("id").join(best, "id", "left").select("id", F.col("x.nearest").alias("nearest"), F.round("x.score", 4).alias("score"))

@@ -55,7 +55,7 @@ def oracle_sql(phrase: str, review: float, merge: float) -> dict[str, str]:
     fold = "list_reduce(list_concat([0.0::DOUBLE], list({x} ORDER BY {o}) OVER (PARTITION BY {p} ORDER BY {o} ROWS UNBOUNDED PRECEDING)), lambda a, x: a + x)"
     return {
         "recall_topk": f"WITH {_V}, {top} SELECT * FROM top",
-        "recall_topk_batch": f"WITH {_V}, r AS (SELECT x.id AS query_id, y.id, {_XY} AS s FROM v x JOIN v y ON x.id < 10), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM r) SELECT query_id, id, rank, round(s, 4) AS score FROM k WHERE rank <= 5",
+        "recall_topk_batch": f"WITH {_V}, r AS (SELECT x.id AS query_id, y.id, {_XY} AS s FROM v x JOIN v y ON x.id % 50 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM r) SELECT query_id, id, rank, round(s, 4) AS score FROM k WHERE rank <= 5",
         "find_similar": f"WITH {_V} SELECT y.id, round({_XY}, 4) AS score, round({_XY}, 4) >= 0.9 AS is_duplicate FROM v x, v y WHERE x.id = 7 AND y.id <> 7 ORDER BY {_XY} DESC, y.id LIMIT 1",
         "sim_pairs_review": f"WITH {_V}, {pairs} SELECT * FROM p WHERE score < {merge}",
         "sim_pairs_merge": f"WITH {_V}, {pairs} SELECT * FROM p WHERE score >= {merge}",
@@ -65,6 +65,10 @@ w AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS gone, false AS took
 SELECT a, b, score, kept, loser FROM q JOIN w USING (i) WHERE took""",
         "nn_join": f"WITH {_V}, l AS (SELECT * FROM v WHERE label = 0 ORDER BY id LIMIT 20), r AS (SELECT x.id, y.id AS nearest, {_XY} AS s, row_number() OVER (PARTITION BY x.id ORDER BY {_XY} DESC, y.id) AS k FROM l x JOIN v y ON y.label <> 0) SELECT id, nearest, round(s, 4) AS score FROM r WHERE k = 1",
         "replay_status": _CLAIMS + "SELECT id, status FROM claims",
+        "log_on_disk": _CLAIMS + "SELECT id, text, status, confidence, hits, last_accessed FROM claims",
+        "index_of_active": _CLAIMS + f", {_V}, a AS (SELECT v.id, v.e FROM v JOIN claims c ON c.id = concat('c', v.id) AND c.status = 'active'), r AS (SELECT y.id, {_XY} AS s FROM v x, a y WHERE x.id = 0 ORDER BY s DESC, y.id LIMIT 5) SELECT concat('c', id) AS id, round(s, 4) AS score FROM r",
+        "command_session": """SELECT * FROM (VALUES ('m1', 'tea at nine', 'drink', 'superseded', 'low', CAST(0 AS BIGINT), CAST(NULL AS VARCHAR)), ('m2', 'coffee at ten', 'drink', 'superseded', 'low', 1, '2024-04-01T00:00:00Z'),
+  ('m3', 'coffee at eleven', 'drink', 'superseded', 'low', 0, NULL), ('m4', 'coffee at noon', 'drink', 'active', 'low', 0, NULL), ('m5', 'walks on Sunday', 'walk', 'active', 'high', 0, NULL), ('m6', 'old news', 'news', 'forgotten', 'low', 0, NULL)) t(id, text, key, status, confidence, hits, last_accessed)""",
         "replay_hits": _CLAIMS + "SELECT id, hits, last_accessed FROM claims",
         "replay_confidence": _CLAIMS + "SELECT id, confidence FROM claims",
         "replay_lineage": _CLAIMS + "SELECT id, text, kind, entity, created, birth_seq, lineage_id FROM claims",
@@ -78,7 +82,7 @@ SELECT a, b, score, kept, loser FROM q JOIN w USING (i) WHERE took""",
 SELECT doc_id, source, rn, CAST(trunc(used) AS BIGINT) AS used FROM r WHERE rn = 1 OR used <= 2000""",
         "profile_pack": f"""WITH {_DOCS}, o AS (SELECT *, row_number() OVER (ORDER BY CASE confidence WHEN 'high' THEN 3 WHEN 'mid' THEN 2 ELSE 1 END DESC, hits DESC, birth_seq) AS rn FROM c WHERE text <> ''),
 r AS (SELECT *, {fold.format(x="length(text) / 1.5::DOUBLE", o="rn", p="1")} AS used FROM o WHERE rn <= 3002) SELECT id, rn, confidence, hits, CAST(trunc(used) AS BIGINT) AS used FROM r WHERE rn = 1 OR used <= 2000""",
-        "forget_candidates": _CLAIMS + f", r AS (SELECT id, {_IDLE} AS days_idle, exp(-{_IDLE} / (30.0::DOUBLE * (1 + hits))) AS r FROM claims WHERE status = 'active' AND confidence = 'low') SELECT id, days_idle, round(r, 4) AS retention FROM r WHERE r < 0.2",
+        "forget_candidates": _CLAIMS + f", r AS (SELECT id, {_IDLE} AS days_idle, exp(-{_IDLE} / (30.0::DOUBLE * (1 + hits))) AS r FROM claims WHERE status = 'active' AND confidence = 'low') SELECT id, days_idle, round(r, 3) AS retention FROM r WHERE r < 0.2",
         "retention_scores": _CLAIMS + f"SELECT id, {_IDLE} AS days_idle, round(exp(-{_IDLE} / (30.0::DOUBLE * (1 + hits))), 6) AS retention FROM claims",
         "entity_clusters": _CLAIMS + "SELECT entity, count(*) AS count, min(birth_seq) AS first_seq, string_agg(id, ',' ORDER BY birth_seq) AS ids FROM claims WHERE status = 'active' AND entity <> '' GROUP BY entity HAVING count(*) >= 3",
         "pressure_status": _CLAIMS + "SELECT count(*) AS total, count(*) FILTER (status = 'active') AS active_claims, round(count(*) FILTER (status = 'active') / 3000.0::DOUBLE, 4) AS pressure FROM claims",

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..engine import Engine
 from ..functions import constants as C
 from ..functions import scalars as X
 from ..operators import claims as ops
 from ..operators import consolidate, lexical, vectors
 from ..operators.replay import replay
-from ..session import ship
+from ..session import scratch_path, ship
+from ..sources.lake import Lake
 
 NOW = "2024-04-01T00:00:00Z"
 PHRASE = "the thing and the other"
@@ -77,7 +81,7 @@ def recall_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recall_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir)
-    asked = rows.where("id < 10").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    asked = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
     return vectors.topk_batch(rows, asked, 5).select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
@@ -116,6 +120,43 @@ def replay_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims(spark, sf_dir).select("id", "status")
 
 
+def _home(spark: SparkSession) -> str:
+    return scratch_path(spark, "home-")
+
+
+def log_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole log appended to a home's JSON table, scanned again and replayed."""
+    lake = Lake(spark, _home(spark))
+    lake.append_log(derived_log(spark, sf_dir))
+    return replay(lake.oplog()).select("id", "text", "status", "confidence", "hits", "last_accessed")
+
+
+def index_of_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors saved to a home's index and read back; the best of those whose claim is active."""
+    lake = Lake(spark, _home(spark))
+    rows = read(spark, sf_dir, "embeddings").select(F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("id"), F.lit("table").alias("model"), F.col("vec_id").alias("ord"), "embedding")
+    lake.save_vectors(rows)
+    live = lake.vectors("table").join(ops.active(claims(spark, sf_dir)).select("id"), "id")
+    return vectors.topk(live, _vector(spark, sf_dir, 0), 5).select("id", F.round("score", 4).alias("score"))
+
+
+def command_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands on a fresh home: keyed writes, touch, correct, restate, forget and restore; the claims they leave."""
+    names, now = (f"m{k}" for k in itertools.count(1)), datetime(2024, 4, 1, tzinfo=timezone.utc)
+    engine = Engine(spark, _home(spark), clock=lambda: now, new_id=lambda: next(names))
+    engine.remember("tea at nine", key="drink")
+    engine.remember("coffee at ten", key="drink")
+    engine.touch(["m2"])
+    engine.correct("m2", "coffee at eleven")
+    engine.restate("m3", "coffee at noon")
+    engine.remember("walks on Sunday", key="walk", confidence="high")
+    engine.remember("old news", key="news")
+    engine.forget("m5")
+    engine.restore("m5")
+    engine.forget("m6")
+    return engine.claims().select("id", "text", "key", "status", "confidence", "hits", "last_accessed")
+
+
 def replay_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims(spark, sf_dir).select("id", "hits", "last_accessed")
 
@@ -214,7 +255,7 @@ def exact_dup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        recall_topk, recall_topk_batch, find_similar, sim_pairs_review, sim_pairs_merge, greedy_merge, nn_join, replay_status, replay_hits, replay_confidence, replay_lineage,
+        recall_topk, recall_topk_batch, find_similar, sim_pairs_review, sim_pairs_merge, greedy_merge, nn_join, replay_status, log_on_disk, index_of_active, command_session, replay_hits, replay_confidence, replay_lineage,
         query_filter, query_min_confidence, point_lookup, episodic_range, deep_search, recall_deep, context_pack, profile_pack, forget_candidates, retention_scores, entity_clusters,
         pressure_status, promotions, render_view, bigram_sets, supersede_by_key, exact_dup_text,
     )

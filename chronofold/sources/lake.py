@@ -8,8 +8,9 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import schemas
@@ -68,6 +69,10 @@ class Lake:
     def oplog(self) -> DataFrame:
         return self.table("oplog", schemas.OPLOG)
 
+    def append_log(self, log: DataFrame) -> None:
+        """Append a whole log (schema OPLOG), in parallel; its seq must follow what is there."""
+        log.write.mode("append").option("lineSep", "\n").json(self.path("oplog"))
+
     def append_ops(self, rows: list[dict], now: str) -> None:
         """Append operations after the last seq, and one audit row for each."""
         last = self.oplog().agg(F.max("seq")).first()[0]
@@ -118,6 +123,13 @@ class Lake:
             raise ModelMismatch(f"vectors are of {names}, not {model}; rebuild the index")
         return found
 
+    def modified(self, path: str) -> str | None:
+        """Time of the last change of a file, in UTC."""
+        fs, where = self._fs(path)
+        if not fs.exists(where):
+            return None
+        return datetime.fromtimestamp(fs.getFileStatus(where).getModificationTime() / 1000, tz=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
     def save_report(self, report: dict, day: str) -> str:
         path = self.path(f"reports/{day}.json")
         self.write_text(path, json.dumps(report, ensure_ascii=False, indent=2))
@@ -125,12 +137,21 @@ class Lake:
 
 
 def import_jsonl(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Operations of a log of JSON lines, with seq from the line number (files in name order are not joined).
+    """Operations of a log of JSON lines, with seq from the line number; files follow each other in name order.
+
+    A file is read in splits. A line's number is its rank in its split plus the lines of all splits
+    before, whose counts are a row each.
 
     Blank lines and records of no operation are skipped; a malformed line is skipped, or with
     strict is an error. Unknown fields of a record are kept as JSON in extra.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("seq", "line")).where("trim(line) <> ''")
+    place = ["file", "block"]
+    text = spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    counts = text.groupBy(*place).count()
+    before = counts.select(*place, F.coalesce(F.sum("count").over(Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy(*place).orderBy("at")) - 1
+    numbered = text.withColumn("at", F.monotonically_increasing_id()).withColumn("rank", rank).join(before, place)
+    lines = numbered.select((F.col("before") + F.col("rank")).alias("seq"), "line").where("trim(line) <> ''")
     names = [f.name for f in spark.createDataFrame([], schemas.OPLOG).schema if f.name not in ("seq", "lineage_id", "extra")]
     fields = ", ".join(x.strip() for x in schemas.OPLOG.split(",") if x.split()[0] in names)
     parsed = lines.withColumn("r", F.from_json("line", f"{fields}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))

@@ -84,8 +84,10 @@ def test_episodic_profile_and_status(engine):
     assert deep[-1]["layer"] == "episodic"
     assert engine.profile(write=True)["items"][0]["text"] == "likes tea"
     got = engine.status()
-    assert got["active_claims"] == 1 and got["profile"] == {"exists": True, "items": 1}
-    assert engine.context("tea", 100)["items"][0]["text"] == "likes tea"
+    assert got["active_claims"] == 1 and got["total_claims"] == 1
+    assert got["profile"]["exists"] and got["profile"]["count"] == 1 and got["profile"]["updated"].endswith("Z")
+    item = engine.context("tea", 100)["items"][0]
+    assert item["text"] == "likes tea" and {"kind", "entity"} <= set(item)
 
 
 def test_sleep(engine):
@@ -93,9 +95,12 @@ def test_sleep(engine):
         engine.remember(text, key=f"k{k}", entity="e")
     engine.log_write("alpha beta gamma again")
     seen = engine.sleep(dry_run=True, review=0.5, merge=0.9)
-    assert [c["entity"] for c in seen["clusters"]] == ["e"] and len(seen["merged"]) == 1
+    assert [c["entity"] for c in seen["merge_suggestions"]] == ["e"] and len(seen["near_duplicates"]) == 1
+    assert {"id", "text", "kept_text", "merged_text", "kept", "merged", "score"} >= set(seen["near_duplicates"][0])
+    assert not engine.lake.exists(engine.lake.path("vectors"))  # a dry run writes nothing
     assert len(engine.query()) == 3
-    assert seen["episodic"][0]["nearest"] in ("m1", "m2")
+    assert seen["episodic_candidates"][0]["best_match"]["id"] in ("m1", "m2") and seen["episodic_candidates"][0]["best_match"]["entity"] == "e"
+    assert cli.pretty(seen).startswith("# preview: ")
     done = engine.sleep(review=0.5, merge=0.9)
     assert done["applied"]["merged"] == 1 and len(engine.query()) == 2
     assert json.loads(engine.lake.read_text(done["report_file"]))["applied"] == done["applied"]
@@ -133,6 +138,13 @@ def test_import_of_json_lines(spark, tmp_path):
         import_jsonl(spark, str(path), strict=True).collect()
 
 
+def test_import_numbers_lines_over_files(spark, tmp_path):
+    for name, ids in (("a.jsonl", "pqr"), ("b.jsonl", "st")):
+        (tmp_path / name).write_text("\n".join(f'{{"op": "assert", "id": "{i}", "text": "x\u2028y"}}' for i in ids) + "\n", encoding="utf-8")
+    got = import_jsonl(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [(r["seq"], r["id"]) for r in got] == list(enumerate("pqrst"))
+
+
 def test_streamed_replay_equals_batch(spark, tmp_path):
     from chronofold.operators.replay import replay
     from chronofold.sources import schemas

@@ -124,3 +124,24 @@ def test_nearest_without_right_rows(spark):
     left = spark.createDataFrame([("x", [1.0, 0.0])], "id string, embedding array<float>")
     right = spark.createDataFrame([], "id string, ord long, embedding array<float>")
     assert [tuple(r) for r in vectors.nearest(left, right).collect()] == [("x", None, None)]
+
+
+def test_nearest_in_groups_equals_broadcast(spark, monkeypatch):
+    from chronofold.operators import vectors
+
+    rows = spark.createDataFrame([(k, k, [float(k % 7 + 1), float(k % 5), 1.0]) for k in range(60)], "id long, ord long, embedding array<double>")
+    left, right = rows.where("id % 3 = 0"), rows.where("id % 3 <> 0")
+    want = sorted(map(tuple, vectors.nearest(left, right).collect()))
+    monkeypatch.setattr(vectors, "LEFT", 4)
+    assert sorted(map(tuple, vectors.nearest(left, right).collect())) == want
+
+
+def test_forget_order_is_by_three_places(spark):
+    from pyspark.sql import functions as F
+
+    from chronofold.operators import claims as ops
+
+    # 49 days idle without hits (0.195...), and 98 with one: equal in three places, so birth decides.
+    rows = [("b", "low", "2024-02-12T00:00:00Z", 0, "active", 2), ("a", "low", "2023-12-25T00:00:00Z", 1, "active", 1)]
+    got = ops.forget_candidates(spark.createDataFrame(rows, "id string, confidence string, created string, hits long, status string, birth_seq long").withColumn("last_accessed", F.lit(None).cast("string")), F.lit("2024-04-01T00:00:00Z")).collect()
+    assert [(r["id"], r["retention"]) for r in got] == [("a", 0.195), ("b", 0.195)]
