@@ -136,6 +136,24 @@ def forest_pairs(tree: np.ndarray, key: np.ndarray, bits: np.ndarray, size: np.n
     return np.concatenate(left), np.concatenate(right)
 
 
+def meetings(held: list[tuple[int, int]], window: int) -> list[tuple[int, int, int]]:
+    """(part, side, border): which ends of the ranges meet at each border, from (part, rows up to window) in order.
+
+    Border k lies before the k-th range. Ranges on either side (0 before it, 1 from it) are taken
+    until they hold a window of rows.
+    """
+    out = []
+    for border in range(1, len(held)):
+        for side, order in ((0, range(border - 1, -1, -1)), (1, range(border, len(held)))):
+            got = 0
+            for k in order:
+                if got >= window:
+                    break
+                out.append((held[k][0], side, border))
+                got += held[k][1]
+    return out
+
+
 def _unpack(pdf: pd.DataFrame, hashes: int) -> tuple[np.ndarray, ...]:
     n = len(pdf)
     key = np.frombuffer(b"".join(pdf["key"]), dtype=">u4").reshape(n, -1).astype(np.uint32)
@@ -185,12 +203,13 @@ class NearDuplicates:
         )
 
     def candidates(self, classes: DataFrame, count: int, trees: int, adaptive: bool) -> DataFrame:
-        """Pairs (a, b) of class ids. Rows near the border of two ranges are compared in a second step."""
+        """Pairs (a, b) of class ids. Rows near the border of two ranges are compared in a second step,
+        for which a range shorter than the window is filled up from those beyond it."""
         window, num, den, hashes = (self.bucket if adaptive else 1), self.num, self.den, self.compared
         rows = self._rows(classes, trees)
         parts = range_parts(rows.sparkSession, count * trees)
         dealt = rows.repartitionByRange(parts, "tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id")
-        fields = "a long, b long, border int, side int, tree int, key binary, bits binary, n long, comp long"
+        fields = "a long, b long, part int, side int, tree int, key binary, bits binary, n long, comp long"
 
         def pairs(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
             return forest_pairs(*_unpack(pdf, hashes), window, num, den, adaptive)
@@ -202,10 +221,10 @@ class NearDuplicates:
             pdf = pd.concat(got, ignore_index=True)
             i, j = pairs(pdf)
             ids = pdf["doc_id"].to_numpy()
-            yield pd.DataFrame({"a": ids[i], "b": ids[j]}).assign(border=None, side=None, tree=None, key=None, bits=None, n=None, comp=None)
+            yield pd.DataFrame({"a": ids[i], "b": ids[j]}).assign(part=None, side=None, tree=None, key=None, bits=None, n=None, comp=None)
             part = TaskContext.get().partitionId()
-            for rows, border, side in ((pdf.head(window), part, 1), (pdf.tail(window), part + 1, 0)):
-                yield pd.DataFrame({"a": rows["doc_id"], "b": None, "border": border, "side": side, "tree": rows["tree"], "key": rows["key"], "bits": rows["bits"], "n": rows["n"], "comp": rows["comp"]})
+            for rows, side in ((pdf.head(window), 1), (pdf.tail(window), 0)):
+                yield pd.DataFrame({"a": rows["doc_id"], "b": None, "part": part, "side": side, "tree": rows["tree"], "key": rows["key"], "bits": rows["bits"], "n": rows["n"], "comp": rows["comp"]})
 
         found = materialize(dealt.mapInPandas(tidy(within), fields))
 
@@ -216,8 +235,12 @@ class NearDuplicates:
             i, j = i[side[i] != side[j]], j[side[i] != side[j]]
             return pd.DataFrame({"a": ids[i], "b": ids[j]})
 
-        seams = found.where("border IS NOT NULL").groupBy("border").applyInPandas(across, "a long, b long")
-        every = found.where("border IS NULL").select("a", "b").unionByName(seams)
+        # A row per range, of which there are at most as many as shuffle partitions.
+        edges = found.where("part IS NOT NULL")
+        held = [(r["part"], r["rows"]) for r in edges.where("side = 1").groupBy("part").agg(F.count("*").alias("rows")).orderBy("part").collect()]
+        near = rows.sparkSession.createDataFrame(meetings(held, window), "part int, side int, border int")
+        seams = edges.join(F.broadcast(near), ["part", "side"]).groupBy("border").applyInPandas(across, "a long, b long")
+        every = found.where("part IS NULL").select("a", "b").unionByName(seams)
         out = materialize(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         release(found)
         return out

@@ -5,7 +5,9 @@ import random
 import numpy as np
 import pytest
 
-from chronofold.llm.minhash import NearDuplicates, forest_pairs, shingle_set
+from chronofold.llm import minhash
+from chronofold.llm.common import materialize
+from chronofold.llm.minhash import NearDuplicates, forest_pairs, meetings, shingle_set
 from chronofold.llm.pstable import EmbeddingDuplicates, settings
 from chronofold.llm.topk import ExactTopK
 from chronofold.operators.components import connected_components
@@ -100,6 +102,20 @@ def test_minhash_edges(spark):
     assert NearDuplicates().transform(docs.limit(0)).count() == 0
 
 
+def test_short_ranges_are_filled_up_at_borders(spark, monkeypatch):
+    assert meetings([(0, 3)], 3) == []
+    assert meetings([(0, 3), (1, 1), (4, 3)], 3) == [(0, 0, 1), (1, 1, 1), (4, 1, 1), (1, 0, 2), (0, 0, 2), (4, 1, 2)]
+    op = NearDuplicates(width=3, num=85, den=100)
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    some = op.sketch(docs, "doc_id", "text").where("digest IS NOT NULL").dropDuplicates(["digest"]).selectExpr("*", "doc_id AS comp")
+    classes = materialize(some)
+    found = {}
+    for parts in (1, 60):  # 60 ranges of 4 orders hold fewer rows than the window of 32
+        monkeypatch.setattr(minhash, "range_parts", lambda *_, parts=parts: parts)
+        found[parts] = {tuple(r) for r in op.candidates(classes, classes.count(), 4, adaptive=True).collect()}
+    assert found[1] and found[1] <= found[60]
+
+
 class OneRun(NearDuplicates):
     """Signatures that agree in the first tree only, whatever the sets are."""
 
