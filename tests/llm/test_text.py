@@ -163,6 +163,30 @@ def test_contexts_of_spans_with_blanks(spark):
     assert {rows[i]: got[i]["spans"] for i in range(seeds, len(rows))} == found | {rows[-2]: "", rows[-1]: ""}
 
 
+def plain_raking(rows, temper, rounds=8):
+    """Chance of each document (doc_id, text, source, lang) by raking in dictionaries."""
+    cell_of, tokens, cells = {}, {}, {}
+    for r in rows:
+        text = r["text"] or ""
+        look = [("symbols", r"[#$%&*]{3}"), ("tables", r" \| "), ("capitals", "[A-ZÀ-Þ]{4}"), ("prose", "")]
+        cell_of[r["doc_id"]] = (r["source"] or "unknown", r["lang"] or "unknown", next(name for name, p in look if re.search(p, text)))
+        tokens[r["doc_id"]] = text.count(" ") + 1 if text else 0
+        cells[cell_of[r["doc_id"]]] = cells.get(cell_of[r["doc_id"]], 0) + tokens[r["doc_id"]]
+    cells = {c: n for c, n in cells.items() if n}
+    weight, total = {c: float(n) for c, n in cells.items()}, sum(cells.values())
+    share = lambda of, dim: {v: sum(n for c, n in of.items() if c[dim] == v) for v in {c[dim] for c in of}}
+    target = []
+    for dim in range(3):
+        powers = {v: n**temper for v, n in share(cells, dim).items()}
+        target.append({v: p / sum(powers.values()) for v, p in powers.items()})
+    for _ in range(rounds):
+        for dim in range(3):
+            held = share(weight, dim)
+            weight = {c: w * target[dim][c[dim]] * total / held[c[dim]] for c, w in weight.items()}
+    factor = {c: weight[c] / n for c, n in cells.items()}
+    return {i: factor[c] / max(factor.values()) if tokens[i] else 0.0 for i, c in cell_of.items()}
+
+
 def test_raking_meets_targets(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(["w"] * rng.randrange(1, 30)), rng.choice(["s0"] * 6 + ["s1", "s2", None]), rng.choice(["l0", "l0", "l1"]), "mine") for i in range(600)] + [(900, None, "s0", "l0", "mine"), (901, "", "s1", "l1", "mine")]
@@ -268,9 +292,15 @@ def test_pipeline(spark):
     for i, r in masked.items():
         assert not plain_spans(r["text"]) and r["n_chars"] == len(r["text"])
         assert plain_spans(second[i]["text"]) or r["text"] == second[i]["text"]
+    mixed = corpus_pipeline.mixture(spark, spark.createDataFrame([masked[i] for i in sorted(masked)], docs.schema), sf)
+    drawn = {r["doc_id"]: r for r in mixed.collect()}
+    chance = plain_raking(list(masked.values()), corpus_pipeline.TEMPER)
+    draw = {i: int(hashlib.md5(f"11:{i}".encode()).hexdigest()[:8], 16) / 2**32 for i in masked}
+    assert mixed.columns == docs.columns and set(drawn) == {i for i in masked if draw[i] < chance[i]}
+    assert all(drawn[i] == masked[i] for i in drawn)
     last = corpus_pipeline.run(spark, sf).collect()
     lib = library(BYTE)
-    assert 0 < len(last) <= len(masked) and all(r["lossless"] for r in last)
+    assert last and {r["doc_id"] for r in last} == set(drawn) and all(r["lossless"] for r in last)
     assert all(list(r["ids"]) == lib.encode(masked[r["doc_id"]]["text"], add_special_tokens=False).ids for r in last)
 
 
