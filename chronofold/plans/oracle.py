@@ -69,6 +69,7 @@ SELECT a, b, score, kept, loser FROM q JOIN w USING (i) WHERE took""",
         "index_of_active": _CLAIMS + f", {_V}, a AS (SELECT v.id, v.e FROM v JOIN claims c ON c.id = concat('c', v.id) AND c.status = 'active'), r AS (SELECT y.id, {_XY} AS s FROM v x, a y WHERE x.id = 0 ORDER BY s DESC, y.id LIMIT 5) SELECT concat('c', id) AS id, round(s, 4) AS score FROM r",
         "command_session": """SELECT * FROM (VALUES ('m1', 'tea at nine', 'drink', 'superseded', 'low', CAST(0 AS BIGINT), CAST(NULL AS VARCHAR)), ('m2', 'coffee at ten', 'drink', 'superseded', 'low', 1, '2024-04-01T00:00:00Z'),
   ('m3', 'coffee at eleven', 'drink', 'superseded', 'low', 0, NULL), ('m4', 'coffee at noon', 'drink', 'active', 'low', 0, NULL), ('m5', 'walks on Sunday', 'walk', 'active', 'high', 0, NULL), ('m6', 'old news', 'news', 'forgotten', 'low', 0, NULL)) t(id, text, key, status, confidence, hits, last_accessed)""",
+        "sleep_applied": _CLAIMS + f"SELECT id, CASE WHEN status = 'active' AND confidence = 'low' AND exp(-{_IDLE} / (30.0::DOUBLE * (1 + hits))) < 0.2 THEN 'forgotten' ELSE status END AS status, confidence, hits FROM claims",
         "replay_hits": _CLAIMS + "SELECT id, hits, last_accessed FROM claims",
         "replay_confidence": _CLAIMS + "SELECT id, confidence FROM claims",
         "replay_lineage": _CLAIMS + "SELECT id, text, kind, entity, created, birth_seq, lineage_id FROM claims",

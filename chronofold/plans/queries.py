@@ -157,6 +157,15 @@ def command_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.claims().select("id", "text", "key", "status", "confidence", "hits", "last_accessed")
 
 
+def sleep_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of a home after a consolidation that forgets what has faded; no pair reaches its thresholds."""
+    now = datetime.strptime(NOW, "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=timezone.utc)
+    engine = Engine(spark, _home(spark), clock=lambda: now)
+    engine.lake.append_log(derived_log(spark, sf_dir))
+    engine.sleep(review=2.0, merge=2.0)
+    return engine.claims().select("id", "status", "confidence", "hits")
+
+
 def replay_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims(spark, sf_dir).select("id", "hits", "last_accessed")
 
@@ -255,7 +264,7 @@ def exact_dup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        recall_topk, recall_topk_batch, find_similar, sim_pairs_review, sim_pairs_merge, greedy_merge, nn_join, replay_status, log_on_disk, index_of_active, command_session, replay_hits, replay_confidence, replay_lineage,
+        recall_topk, recall_topk_batch, find_similar, sim_pairs_review, sim_pairs_merge, greedy_merge, nn_join, replay_status, log_on_disk, index_of_active, command_session, sleep_applied, replay_hits, replay_confidence, replay_lineage,
         query_filter, query_min_confidence, point_lookup, episodic_range, deep_search, recall_deep, context_pack, profile_pack, forget_candidates, retention_scores, entity_clusters,
         pressure_status, promotions, render_view, bigram_sets, supersede_by_key, exact_dup_text,
     )
