@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from . import bpe, langid, mixing, quality, token_orc
 from .common import read, scratch_path
+from .divergence import SourceDivergence, oracle as divergence_oracle
 from .htmltree import SiteStyleTree
 from .minhash import NearDuplicates
 from .pii import ContextualPII
 from .pstable import EmbeddingDuplicates
+from .sharding import ExternalShuffle, place
 from .topk import ExactTopK
+from .whitening import Whitening, long_form
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -65,11 +68,24 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EmbeddingDuplicates(cosine=0.9).transform(read(spark, sf_dir, "embeddings"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SourceDivergence(least=10, top=10).transform(read(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_form(Whitening(components=32, scale=64, offset=1_000_000).transform(read(spark, sf_dir, "embeddings")))
+
+
+def op13_shuffled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ExternalShuffle(shards=24).digests(read(spark, sf_dir, "documents"), scratch_path(spark, "shards-"), place())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_source_mixing, op3_bpe_round_trip, op4_html_main_text, op5_token_orc,
         op6_language_id, op7_contextual_pii, op8_exact_topk, op9_site_quality, op10_embedding_near_dedup,
+        op11_source_divergence, op12_embedding_whitening, op13_shuffled_shards,
     )
 }
 
@@ -96,6 +112,7 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op9_site_quality": quality.oracle(),
+    "op11_source_divergence": divergence_oracle(10, 10),
     "op10_embedding_near_dedup": """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 link AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id < y.vec_id
