@@ -52,6 +52,10 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("--hard", action="store_true")
     sub.add_parser("status")
     sub.add_parser("reindex")
+    sub.add_parser("compact")
+    x = sub.add_parser("import")
+    x.add_argument("path")
+    x.add_argument("--strict", action="store_true")
     sub.add_parser("sleep").add_argument("--dry-run", action="store_true")
     return p
 
@@ -81,6 +85,10 @@ def answer(engine: Engine, a: argparse.Namespace) -> list[dict]:
             return [engine.forget(a.id, a.hard)]
         case "reindex":
             return [{"indexed": engine.reindex()}]
+        case "compact":
+            return [{"compacted": engine.compact()}]
+        case "import":
+            return [{"imported": engine.import_log(a.path, a.strict)}]
         case "sleep":
             got = engine.sleep(a.dry_run)
             return [got] if any(got[x] for x in ("merge_suggestions", "forget_candidates", "near_duplicates", "review_pairs", "episodic_candidates")) else []

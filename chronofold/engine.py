@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import constants as C
@@ -18,9 +18,10 @@ from .functions import scalars as X
 from .functions.embedder import HashedBigrams, embedder
 from .operators import claims as ops
 from .operators import consolidate, lexical, vectors
-from .operators.replay import replay
+from .operators.replay import replay, with_lineage
 from .session import materialize, ship
-from .sources.lake import Lake, ModelMismatch
+from .sources import schemas
+from .sources.lake import Lake, ModelMismatch, import_jsonl
 
 __all__ = ["Engine", "ModelMismatch", "NotFound"]
 
@@ -37,6 +38,7 @@ class Engine:
         self.provider = provider or HashedBigrams()
         self.clock = clock or (lambda: datetime.now(timezone.utc))
         self.new_id = new_id or (lambda: uuid.uuid4().hex)
+        self._view: tuple[int, DataFrame] | None = None
 
     # time and ids
     def now(self) -> str:
@@ -47,7 +49,25 @@ class Engine:
 
     # views
     def claims(self) -> DataFrame:
-        return replay(self.lake.oplog())
+        """The claims after the newest commit, replayed once for it, from the snapshot on if there is one."""
+        number, content = self.lake.commits()
+        if self._view is None or self._view[0] != number:
+            base, last = self.lake.snapshot(content)
+            self._view = number, replay(self.lake.oplog(last, content), base)
+        return self._view[1]
+
+    def import_log(self, path: str, strict: bool = False) -> int:
+        """Append a log of JSON lines to this home, which may hold one already; lineages are found on the way."""
+        rows = with_lineage(import_jsonl(self.spark, path, strict))
+        return self.lake.append_frame(rows.orderBy("seq").drop("seq"), self.now())
+
+    def compact(self) -> int:
+        """One folder for the log's many, and a snapshot of the claims, so that later reads replay what follows only."""
+        _, seen = self.lake.commits()
+        base, last = self.lake.snapshot(seen)
+        log = self.lake.oplog(content=seen)
+        self.lake.rewrite_ops(log.orderBy("seq"), seen, replay(self.lake.oplog(last, seen), base))
+        return len(seen["log"])
 
     def _active(self, claim_id: str) -> dict:
         row = ops.show(self.claims(), claim_id).where("status = 'active'").first()
@@ -63,11 +83,27 @@ class Engine:
     def _embedded(self, claims: DataFrame) -> DataFrame:
         ship(self.spark)
         text = X.render(F.col("kind"), F.col("entity"), F.col("created"), F.col("text"))
-        return claims.select("id", F.lit(self.provider.name).alias("model"), F.col("birth_seq").alias("ord"), embedder(self.provider)(text).alias("embedding"))
+        return claims.select("id", F.lit(self.provider.name).alias("model"), F.col("birth_seq").alias("ord"), embedder(self.provider)(text).alias("embedding"), self._digest().alias("digest"))
+
+    def _digest(self) -> Column:
+        """Of the model and a claim's rendered text: a vector with another digest is out of date."""
+        return F.md5(F.concat(F.lit(f"{self.provider.name}|"), X.render(F.col("kind"), F.col("entity"), F.col("created"), F.col("text"))).cast("binary"))
+
+    def _missing(self, live: DataFrame, found: DataFrame | None) -> DataFrame:
+        """Active claims whose rendered text has no vector."""
+        return live if found is None else live.withColumn("digest", self._digest()).join(found.select("id", "digest"), ["id", "digest"], "left_anti").drop("digest")
 
     def reindex(self) -> int:
-        """Embed all active claims anew."""
-        made = self._embedded(ops.active(self.claims()))
+        """A new index of the active claims. Vectors that are up to date are taken over, retired claims' go."""
+        try:
+            found = self.lake.vectors(self.provider.name)
+        except ModelMismatch:
+            found = None
+        live = ops.active(self.claims())
+        made = self._embedded(self._missing(live, found))
+        if found is not None:
+            kept = found.join(live.withColumn("digest", self._digest()).select("id", "digest"), ["id", "digest"], "left_semi")
+            made = kept.select(*made.columns).unionByName(made)
         self.lake.save_vectors(made)
         n = self.lake.vectors(self.provider.name).count()
         self.lake.audit("reindex", {"count": n, "model": self.provider.name}, self.now())
@@ -77,16 +113,15 @@ class Engine:
         """Vectors of the active claims; claims without one are embedded now, and added unless write is false."""
         found = self.lake.vectors(self.provider.name)
         live = ops.active(self.claims())
-        missing = live if found is None else live.join(found, "id", "left_anti")
+        missing = self._missing(live, found)
         if not missing.isEmpty():
             made = materialize(self._embedded(missing))
-            if not write:
-                return (made if found is None else found.unionByName(made)).join(live, "id", "inner")
-            self.lake.append_vectors(made)
-        found = self.lake.vectors(self.provider.name)
+            if write:
+                self.lake.append_vectors(made)
+            found = made if found is None else found.unionByName(made.select(*found.columns))
         if found is None:
-            found = self.spark.createDataFrame([], "id string, model string, ord long, embedding array<float>")
-        return found.join(live, "id", "inner")
+            found = self.spark.createDataFrame([], schemas.VECTORS)
+        return found.join(live.withColumn("digest", self._digest()), ["id", "digest"], "inner").drop("digest")
 
     # writes
     def touch(self, ids: list[str]) -> None:
@@ -151,7 +186,8 @@ class Engine:
         old, now = self._active(claim_id), self.now()
         self.lake.append_ops([{"op": "forget", "target": claim_id, "hard": hard, "ts": now, "lineage_id": old["lineage_id"]}], now)
         if hard:
-            log = self.lake.oplog()
+            _, seen = self.lake.commits()
+            log = self.lake.oplog(content=seen)
             born = {r["seq"]: r.asDict() for r in log.where((F.col("target") == claim_id) & (F.col("op") == "supersede") & (F.coalesce("text", F.lit("")) != "")).collect()}
             keep = log.where(~(F.coalesce(F.col("id") == claim_id, F.lit(False)) | F.coalesce(F.col("target") == claim_id, F.lit(False))))
             mine = F.coalesce(F.col("new_id") == claim_id, F.lit(False))
@@ -161,7 +197,7 @@ class Engine:
                 names = log.columns
                 rows = [tuple({**{n: None for n in names}, **{n: state[b["new_id"]][n] for n in ("id", "text", "key", "kind", "entity", "source", "confidence", "created", "hits", "last_accessed", "lineage_id")}, "op": "assert", "seq": s}[n] for n in names) for s, b in born.items() if b["new_id"] in state]
                 keep = keep.unionByName(self.spark.createDataFrame(rows, log.schema)) if rows else keep
-            self.lake.rewrite_ops(keep)
+            self.lake.rewrite_ops(keep, seen)
             self.lake.audit("hard_delete", {"id": claim_id}, now)
         return {"id": claim_id, "forgotten": True, "hard": hard}
 
@@ -224,12 +260,12 @@ class Engine:
         row = ops.status(self.claims()).first()
         try:
             found = self.lake.vectors(self.provider.name)
-            index = {"exists": found is not None, "model": self.provider.name, "count": found.count() if found is not None else 0}
+            index = {"exists": found is not None, "model": self.provider.name, "count": found.join(ops.active(self.claims()), "id", "left_semi").count() if found is not None else 0}
         except ModelMismatch as e:
             index = {"exists": True, "error": str(e)}
         profile = self.lake.read_text(self.lake.path("profile.md"))
         return {
-            "home": self.lake.home, "total_claims": row["total"], **self._pressure(), "warm_limit": C.WARM_LIMIT, "index": index, "claims_file_bytes": self.lake.size(self.lake.path("oplog")),
+            "home": self.lake.home, "total_claims": row["total"], **self._pressure(), "warm_limit": C.WARM_LIMIT, "index": index, "claims_file_bytes": self.lake.log_bytes(),
             "profile": {"exists": False} if profile is None else {"exists": True, "count": len([x for x in profile.split("\n") if x.strip()]), "updated": self.lake.modified(self.lake.path("profile.md"))},
         }
 
@@ -241,15 +277,17 @@ class Engine:
         its day, and the index follows by itself. Recent entries are those of whole days. The
         report holds what a command prints, so it is collected; joins find texts and lineages.
         """
-        now, claims = self.now(), materialize(self.claims())
+        now, claims = self.now(), self.claims()
         index = materialize(self._index(write=not dry_run).select("id", "embedding", F.col("birth_seq").alias("ord")))
         brief = claims.select("id", "text", "entity", "lineage_id")
         as_side = lambda n: brief.select(F.col("id").alias(n), F.col("text").alias(f"{n}_text"), F.col("lineage_id").alias(f"{n}_lineage"))
         found = ops.clusters(claims).collect()
-        weak = ops.forget_candidates(claims, F.lit(now)).collect()
+        weak_rows = ops.forget_candidates(claims, F.lit(now))
+        weak = weak_rows.collect()
         pairs = materialize(consolidate.with_keeper(vectors.similar_pairs(index, review), claims))
         strong, mild = consolidate.bands(pairs, merge)
-        merged = consolidate.greedy(strong).join(as_side("kept"), "kept").join(as_side("loser"), "loser").orderBy(F.desc("score"), "a", "b").collect()
+        merged_rows = materialize(consolidate.greedy(strong).join(as_side("kept"), "kept").join(as_side("loser"), "loser"))
+        merged = merged_rows.orderBy(F.desc("score"), "a", "b").collect()
         mild_rows = mild.join(as_side("a"), "a").join(as_side("b"), "b").orderBy(F.desc("score"), "a_ord", "b_ord").collect()
         since = (self.clock() - timedelta(days=C.EPISODIC_DAYS)).strftime("%Y-%m-%d")
         entries = self._rows(ops.episodic_range(self.lake.episodic(), since=since).limit(C.EPISODIC_LIMIT).drop("month", "ord"))
@@ -268,10 +306,10 @@ class Engine:
             "episodic_candidates": [{"ep": e, "best_match": near.get(e["id"])} for e in entries],
         }
         if not dry_run:
-            rows = [{"op": "forget", "target": r["id"], "ts": now, "lineage_id": r["lineage_id"]} for r in weak]
-            rows += [{"op": "supersede", "target": r["loser"], "ts": now, "lineage_id": r["loser_lineage"], "extra": f'{{"kept": "{r["kept"]}"}}'} for r in merged]
-            if rows:
-                self.lake.append_ops(rows, now)
+            op = lambda name, target, extra: [F.lit(name).alias("op"), F.col(target).alias("target"), F.lit(now).alias("ts"), F.col("lineage_id" if target == "id" else "loser_lineage").alias("lineage_id"), extra.alias("extra")]
+            forgets = weak_rows.select(F.lit(0).alias("o"), F.col("retention").alias("x"), F.col("birth_seq").alias("y"), F.lit("").alias("z"), *op("forget", "id", F.lit(None).cast("string")))
+            merges = merged_rows.select(F.lit(1).alias("o"), (-F.col("score")).alias("x"), F.lit(0).cast("long").alias("y"), F.concat_ws(" ", "a", "b").alias("z"), *op("supersede", "loser", F.to_json(F.struct("kept"))))
+            self.lake.append_frame(forgets.unionByName(merges).orderBy("o", "x", "y", "z").drop("o", "x", "y", "z"), now)
             report["applied"] = {"forgotten": len(weak), "merged": len(merged)}
             file = self.lake.save_report(report, now[:10])
             self.lake.audit("sleep", report["applied"] | {"report_file": file}, now)

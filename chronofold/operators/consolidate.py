@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import scalars as X
-from ..session import materialize
-from .components import connected_components
+from ..session import materialize, release
 
 
 def with_keeper(pairs: DataFrame, claims: DataFrame) -> DataFrame:
@@ -21,27 +21,33 @@ def with_keeper(pairs: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def greedy(pairs: DataFrame) -> DataFrame:
-    """Merges among pairs (a, b, a_ord, b_ord, score, kept, loser) in order of score.
-
-    A pair is skipped if either claim is retired. The walk of one connected component does not
-    touch another, so components are walked in parallel.
+    """Merges (a, b, score, kept, loser) among pairs (a, b, a_ord, b_ord, score, kept, loser), as a walk in order of score, a_ord, b_ord makes them.
+
+    The walk takes a pair if neither claim is retired by then, and retires the loser. So a claim's
+    fate hangs on the pairs that it would lose only, and on its rivals' fates: its first pair that
+    is left is taken if the one kept has no pair left to lose before that. Each round takes
+    all such pairs at once and drops those that a retired claim was in later, or would still lose. A
+    claim that keeps against any number of others merges with all of them in one round;
+    the first pair of all is always taken, so rounds end. No task holds more than a row per claim.
     """
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "a_ord", "b_ord"], ascending=[False, True, True])
-        gone: set[str] = set()
-        keep = []
-        for r in pdf.itertuples():
-            ok = r.a not in gone and r.b not in gone
-            keep.append(ok)
-            if ok:
-                gone.add(r.loser)
-        return pdf.loc[keep, ["a", "b", "score", "kept", "loser"]]
-
-    pairs = materialize(pairs)
-    numbered = pairs.select(F.col("a_ord").alias("a"), F.col("b_ord").alias("b"))
-    named = pairs.join(connected_components(numbered).withColumnRenamed("node", "a_ord"), "a_ord")
-    return named.groupBy("component").applyInPandas(walk, "a string, b string, score double, kept string, loser string")
+    order = F.struct((-F.col("score")).alias("s"), F.col("a_ord").alias("x"), F.col("b_ord").alias("y"))
+    left = materialize(pairs.select("a", "b", "score", "kept", "loser", order.alias("at")))
+    taken = []
+    while not left.isEmpty():
+        first = materialize(left.groupBy("loser").agg(F.min("at").alias("first")))
+        rival = first.select(F.col("loser").alias("kept"), F.col("first").alias("risk"))
+        won = left.join(first, "loser").where(F.col("at") == F.col("first")).drop("first").join(rival, "kept", "left")
+        won = materialize(won.where(F.col("risk").isNull() | (F.col("risk") > F.col("at"))).select("a", "b", "score", "kept", "loser", "at"))
+        taken.append(won)
+        gone = won.select(F.col("loser").alias("kept"), F.col("at").alias("end"))
+        fewer = left.join(won.select("loser"), "loser", "left_anti").join(gone, "kept", "left")
+        fewer = materialize(fewer.where(F.col("end").isNull() | (F.col("at") < F.col("end"))).select(*left.columns))
+        release(left)
+        release(first)
+        left = fewer
+    release(left)
+    every = reduce(DataFrame.unionByName, taken) if taken else left.sparkSession.createDataFrame([], left.schema)
+    return every.select("a", "b", "score", "kept", "loser")
 
 
 def bands(pairs: DataFrame, merge: float = C.MERGE) -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,8 @@
 """Tables of one home: operation log, episodic log, vectors, audit log, reports, profile.
 
-Logs are append-only; a rewrite goes to a new folder and is swapped in. One writer is assumed.
+The operation log, the vectors and a snapshot of the claims are folders that a numbered commit names.
+A commit is a small file, written whole and never twice; readers use the newest. So a rewrite that
+dies half-way changes nothing, and of two writers one has to look again before it deals out its seq.
 """
 
 from __future__ import annotations
@@ -8,13 +10,18 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize, release
 from . import schemas
 
+#: monotonically_increasing_id has the partition above this many bits, and the row's number below.
+_ROW_BITS = 33
+
 
 class ModelMismatch(RuntimeError):
     """The vectors on disk come from another model."""
@@ -66,33 +73,162 @@ class Lake:
             frame = self.spark.createDataFrame([tuple(r.get(f.name) for f in self.spark.createDataFrame([], schema).schema) for r in rows], schema)
             frame.coalesce(1).write.mode("append").option("lineSep", "\n").json(self.path(name))
 
-    def oplog(self) -> DataFrame:
-        return self.table("oplog", schemas.OPLOG)
+    # commits
+    def commits(self) -> tuple[int, dict]:
+        """Number and content of the newest commit: folders of the log with their first and last seq, of vectors, and a snapshot of the claims up to a seq."""
+        fs, where = self._fs(self.path("commits"))
+        names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+        numbers = [int(n.removesuffix(".json")) for n in names if n.endswith(".json")]
+        if not numbers:
+            return 0, {"log": [], "vectors": None, "snapshot": None}
+        text = self.read_text(self.path(f"commits/{max(numbers):012d}.json"))
+        return max(numbers), json.loads(text)
+
+    def _publish(self, number: int, content: dict) -> bool:
+        """Whether this commit came first. The file is complete before it has its name."""
+        draft, final = self.path(f"commits/{uuid.uuid4().hex}.draft"), self.path(f"commits/{number:012d}.json")
+        self.write_text(draft, json.dumps(content))
+        fs, where = self._fs(draft)
+        there = self._fs(final)[1]
+        if fs.getScheme() == "file":  # a rename would replace the file of another writer, a link does not
+            try:
+                os.link(where.toUri().getPath(), there.toUri().getPath())
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                fs.delete(where, False)
+        try:
+            done = fs.rename(where, there)
+        except Exception:  # some stores raise where others say no
+            done = False
+        if not done:
+            fs.delete(where, False)
+        return done
+
+    def commit(self, change: Callable[[dict], dict]) -> dict:
+        """Publish change(newest content), again on newer content if another writer was first."""
+        while True:
+            number, content = self.commits()
+            fresh = change(content)
+            if self._publish(number + 1, fresh):
+                return fresh
+
+    def drop(self, folders: list[str]) -> None:
+        """Delete folders that the newest commit doesn't name any more."""
+        for name in folders:
+            fs, where = self._fs(self.path(name))
+            fs.delete(where, True)
+
+    @staticmethod
+    def _last(content: dict) -> int:
+        return max([f["last"] for f in content["log"]], default=-1)
+
+    # operation log
+    def oplog(self, after: int | None = None, content: dict | None = None) -> DataFrame:
+        """The log, or its operations with a seq above `after`: folders that end before it are not read."""
+        content = content or self.commits()[1]
+        folders = [self.path(f["name"]) for f in content["log"] if after is None or f["last"] > after]
+        if not folders:
+            return self.spark.createDataFrame([], schemas.OPLOG)
+        rows = self.spark.read.schema(schemas.OPLOG).option("lineSep", "\n").json(folders)
+        return rows if after is None else rows.where(F.col("seq") > after)
+
+    def log_bytes(self) -> int:
+        return sum(self.size(self.path(f["name"])) for f in self.commits()[1]["log"])
+
+    def _write_log(self, rows: DataFrame) -> dict | None:
+        """A folder of the log that no commit names yet."""
+        name = f"oplog/{uuid.uuid4().hex}"
+        rows.write.option("lineSep", "\n").json(self.path(name))
+        ends = self.spark.read.schema(schemas.OPLOG).json(self.path(name)).agg(F.min("seq"), F.max("seq")).first()
+        return None if ends[0] is None else {"name": name, "first": ends[0], "last": ends[1]}
 
     def append_log(self, log: DataFrame) -> None:
         """Append a whole log (schema OPLOG), in parallel; its seq must follow what is there."""
-        log.write.mode("append").option("lineSep", "\n").json(self.path("oplog"))
+        made = self._write_log(log)
+        if made is None:
+            return
+
+        def change(content: dict) -> dict:
+            if made["first"] <= self._last(content):
+                self.drop([made["name"]])
+                raise ValueError(f"seq {made['first']} does not follow {self._last(content)}")
+            return content | {"log": [*content["log"], made]}
+
+        self.commit(change)
 
     def append_ops(self, rows: list[dict], now: str) -> None:
-        """Append operations after the last seq, and one audit row for each."""
-        last = self.oplog().agg(F.max("seq")).first()[0]
-        first = 0 if last is None else last + 1
-        rows = [r | {"seq": first + k} for k, r in enumerate(rows)]
-        self.append("oplog", rows, schemas.OPLOG)
-        self.append("audit", [{"ts": now, "action": r["op"], "detail": json.dumps({k: v for k, v in r.items() if v is not None}, ensure_ascii=False)} for r in rows], schemas.AUDIT)
+        """Append a command's few operations after the last seq, and one audit row for each."""
+        if not rows:
+            return
+        names = [f.name for f in self.spark.createDataFrame([], schemas.OPLOG).schema]
+        dealt: list[dict] = []
+
+        def change(content: dict) -> dict:
+            first = self._last(content) + 1
+            dealt[:] = [r | {"seq": first + k} for k, r in enumerate(rows)]
+            name = f"oplog/{uuid.uuid4().hex}"
+            self.spark.createDataFrame([tuple(r.get(n) for n in names) for r in dealt], schemas.OPLOG).coalesce(1).write.option("lineSep", "\n").json(self.path(name))
+            return content | {"log": [*content["log"], {"name": name, "first": first, "last": first + len(rows) - 1}]}
+
+        self.commit(change)
+        self.append("audit", [{"ts": now, "action": r["op"], "detail": json.dumps({k: v for k, v in r.items() if v is not None}, ensure_ascii=False)} for r in dealt], schemas.AUDIT)
+
+    def append_frame(self, ops: DataFrame, now: str) -> int:
+        """Append the operations of an ordered DataFrame (OPLOG's columns, or some, without seq), with an audit row each; returns how many.
+
+        Places are dealt out where the rows are: a row's number in its partition, after the counts of the partitions before.
+        """
+        missing = [f for f in self.spark.createDataFrame([], schemas.OPLOG).schema if f.name not in ops.columns and f.name != "seq"]
+        table = materialize(ops.select(*ops.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing], F.monotonically_increasing_id().alias("__at")))
+        part = F.shiftright("__at", _ROW_BITS).alias("__part")
+        before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = materialize(table.groupBy(part).count().select("__part", "count", before.alias("__start")))
+        total = starts.agg(F.sum("count")).first()[0] or 0
+        if total:
+            made: dict = {}
+
+            def change(content: dict) -> dict:
+                first = self._last(content) + 1
+                place = (F.lit(first) + F.col("__start") + F.col("__at").bitwiseAND((1 << _ROW_BITS) - 1)).alias("seq")
+                rows = table.withColumn("__part", part).join(starts.drop("count"), "__part").select(place, *[c for c in table.columns if c != "__at"])
+                made.update({"name": f"oplog/{uuid.uuid4().hex}", "first": first, "last": first + total - 1})
+                rows.write.option("lineSep", "\n").json(self.path(made["name"]))
+                return content | {"log": [*content["log"], dict(made)]}
+
+            self.commit(change)
+            rows = self.spark.read.schema(schemas.OPLOG).option("lineSep", "\n").json(self.path(made["name"]))
+            audit = rows.select(F.lit(now).alias("ts"), F.col("op").alias("action"), F.to_json(F.struct(*rows.columns)).alias("detail"))
+            audit.write.mode("append").option("lineSep", "\n").json(self.path("audit"))
+        release(table)
+        release(starts)
+        return total
 
     def audit(self, action: str, detail: dict, now: str) -> None:
         self.append("audit", [{"ts": now, "action": action, "detail": json.dumps(detail, ensure_ascii=False)}], schemas.AUDIT)
 
-    def rewrite_ops(self, keep: DataFrame) -> None:
-        """Replace the log by `keep`: written beside it, then swapped in."""
-        fresh, old = self.path(f"oplog-{uuid.uuid4().hex}"), self.path(f"gone-{uuid.uuid4().hex}")
-        keep.write.option("lineSep", "\n").json(fresh)
-        fs, here = self._fs(self.path("oplog"))
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs.rename(here, hadoop(old))
-        fs.rename(hadoop(fresh), here)
-        fs.delete(hadoop(old), True)
+    def rewrite_ops(self, keep: DataFrame, seen: dict, snapshot: DataFrame | None = None) -> None:
+        """Replace the folders of the commit content `seen` by `keep`; what others have appended since stays.
+
+        snapshot: claims after all of keep, from which later reads go on. Old folders go after the commit.
+        """
+        made, view = self._write_log(keep), None
+        if snapshot is not None:
+            view = {"name": f"snapshots/{uuid.uuid4().hex}", "last": self._last(seen)}
+            snapshot.write.parquet(self.path(view["name"]))
+        old = {f["name"] for f in seen["log"]}
+
+        def change(content: dict) -> dict:
+            return content | {"log": [*([made] if made else []), *(f for f in content["log"] if f["name"] not in old)], "snapshot": view}
+
+        self.commit(change)
+        self.drop([*old, *([seen["snapshot"]["name"]] if seen["snapshot"] else [])])
+
+    def snapshot(self, content: dict) -> tuple[DataFrame | None, int | None]:
+        """The claims of a snapshot and the last seq that they know, if there is one."""
+        found = content["snapshot"]
+        return (self.spark.read.schema(schemas.CLAIMS).parquet(self.path(found["name"])), found["last"]) if found else (None, None)
 
     def episodic(self) -> DataFrame:
         """Month folders are partitions, so a range of months reads those only."""
@@ -107,17 +243,32 @@ class Lake:
         data = [(r["id"], r["ts"], r["text"], r.get("topic"), r.get("entity"), first + k, r["ts"][:7]) for k, r in enumerate(rows)]
         self.spark.createDataFrame(data, schemas.EPISODIC).coalesce(1).write.mode("append").partitionBy("month").option("lineSep", "\n").json(self.path("episodic"))
 
+    def _write_vectors(self, vectors: DataFrame) -> str:
+        name = f"vectors/{uuid.uuid4().hex}"
+        vectors.write.parquet(self.path(name))
+        return name
+
     def save_vectors(self, vectors: DataFrame) -> None:
-        vectors.write.mode("overwrite").parquet(self.path("vectors"))
+        """Replace the index in one commit."""
+        name, old = self._write_vectors(vectors), []
+
+        def change(content: dict) -> dict:
+            old[:] = content["vectors"] or []
+            return content | {"vectors": [name]}
+
+        self.commit(change)
+        self.drop(old)
 
     def append_vectors(self, vectors: DataFrame) -> None:
-        vectors.write.mode("append").parquet(self.path("vectors"))
+        name = self._write_vectors(vectors)
+        self.commit(lambda content: content | {"vectors": [*(content["vectors"] or []), name]})
 
     def vectors(self, model: str) -> DataFrame | None:
         """None without an index; another model's index is an error."""
-        if not self.exists(self.path("vectors")):
+        folders = self.commits()[1]["vectors"]
+        if folders is None:
             return None
-        found = self.spark.read.schema(schemas.VECTORS).parquet(self.path("vectors"))
+        found = self.spark.read.schema(schemas.VECTORS).parquet(*[self.path(f) for f in folders])
         names = [r[0] for r in found.select("model").distinct().limit(2).collect()]
         if names and names != [model]:
             raise ModelMismatch(f"vectors are of {names}, not {model}; rebuild the index")

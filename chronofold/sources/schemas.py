@@ -6,5 +6,5 @@ OPLOG = (
 )
 CLAIMS = "id string, text string, key string, kind string, entity string, source string, confidence string, created string, hits long, last_accessed string, status string, birth_seq long, lineage_id string"
 EPISODIC = "id string, ts string, text string, topic string, entity string, ord long, month string"
-VECTORS = "id string, model string, ord long, embedding array<float>"
+VECTORS = "id string, model string, ord long, embedding array<float>, digest string"
 AUDIT = "ts string, action string, detail string"
