@@ -89,9 +89,15 @@ class Engine:
         """Of the model and a claim's rendered text: a vector with another digest is out of date."""
         return F.md5(F.concat(F.lit(f"{self.provider.name}|"), X.render(F.col("kind"), F.col("entity"), F.col("created"), F.col("text"))).cast("binary"))
 
+    def _current(self, live: DataFrame, found: DataFrame) -> DataFrame:
+        """Vectors of active claims as they are now. One without a digest was made elsewhere and counts as current."""
+        now = live.select(F.col("id").alias("live"), self._digest().alias("now"))
+        same = (F.col("id") == F.col("live")) & (F.col("digest").isNull() | (F.col("digest") == F.col("now")))
+        return found.join(now, same).drop("live", "now")
+
     def _missing(self, live: DataFrame, found: DataFrame | None) -> DataFrame:
         """Active claims whose rendered text has no vector."""
-        return live if found is None else live.withColumn("digest", self._digest()).join(found.select("id", "digest"), ["id", "digest"], "left_anti").drop("digest")
+        return live if found is None else live.join(self._current(live, found).select("id"), "id", "left_anti")
 
     def reindex(self) -> int:
         """A new index of the active claims. Vectors that are up to date are taken over, retired claims' go."""
@@ -102,7 +108,7 @@ class Engine:
         live = ops.active(self.claims())
         made = self._embedded(self._missing(live, found))
         if found is not None:
-            kept = found.join(live.withColumn("digest", self._digest()).select("id", "digest"), ["id", "digest"], "left_semi")
+            kept = self._current(live, found)
             made = kept.select(*made.columns).unionByName(made)
         self.lake.save_vectors(made)
         n = self.lake.vectors(self.provider.name).count()
@@ -121,7 +127,7 @@ class Engine:
             found = made if found is None else found.unionByName(made.select(*found.columns))
         if found is None:
             found = self.spark.createDataFrame([], schemas.VECTORS)
-        return found.join(live.withColumn("digest", self._digest()), ["id", "digest"], "inner").drop("digest")
+        return self._current(live, found).drop("digest").join(live, "id", "inner")
 
     # writes
     def touch(self, ids: list[str]) -> None:

@@ -6,14 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..session import materialize, ship
+from ..session import materialize, release, scratch_path
+from . import metric
+from .cells import CellIndex
 
-#: Rows of a block of the self-join, and queries of a block of the batch search.
-BLOCK, QUERY_BLOCK = 1024, 64
+#: Rows of a block of the self-join.
+BLOCK = 1024
 #: Left rows of a nearest join that are broadcast, or make a group.
 LEFT = 10_000
 
@@ -30,56 +32,51 @@ def topk(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", ord
     return scored.orderBy(F.desc("score"), F.asc(order)).limit(k)
 
 
-def query_blocks(queries: DataFrame) -> tuple[DataFrame, int]:
-    """(qb, qs) with about QUERY_BLOCK queries each, dealt by hash, and the number of blocks (4 at least)."""
-    count = max(4, -(-queries.count() // QUERY_BLOCK))
-    dealt = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(count)).cast("int"))
-    return dealt.groupBy("qb").agg(F.collect_list(F.struct("query_id", "q")).alias("qs")), count
+def topk_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", order: str | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the k best rows for each row of queries (query_id, q), ties in order (by default of the id).
 
-
-def topk_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id") -> DataFrame:
-    """(query_id, id, score, rank): the k best rows for each row of queries (query_id, q).
-
-    Queries are packed in blocks of rows, as many as their count asks for, and joined by block, so
-    that neither side has to fit in a task; ranks are cut within each task before they meet.
+    The vectors are put into an index of cells first, so that a query meets those cells only that can hold its best.
     """
-    blocks, count = query_blocks(queries)
-    rows = vectors.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    pairs = rows.join(blocks, "qb").select(F.explode("qs").alias("x"), F.col(id_col).alias("id"), "embedding")
-    scored = pairs.select(F.col("x.query_id").alias("query_id"), "id", X.cosine(F.col("embedding"), F.col("x.q")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id")))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def blocked(vectors: DataFrame, rows: int, id_col: str, order: str) -> DataFrame:
-    """(block, data): ids, order and float64 rows of each block, packed."""
-    count = max(1, -(-vectors.count() // rows))
-    dealt = vectors.select(F.col(id_col).cast("string").alias("id"), F.col(order).cast("long").alias("ord"), "embedding", F.pmod(F.xxhash64(order), F.lit(count)).cast("int").alias("block"))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.stack([np.asarray(v, dtype="<f8") for v in pdf["embedding"]])
-        m = m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-12)
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "n": [count], "ids": [list(pdf["id"])], "ords": [list(pdf["ord"])], "data": [m.tobytes()]})
-
-    ship(vectors.sparkSession)
-    return dealt.where("embedding IS NOT NULL").groupBy("block").applyInPandas(pack, "block int, n int, ids array<string>, ords array<long>, data binary")
+    path = scratch_path(vectors.sparkSession, "cells-")
+    found = CellIndex.build(vectors, path, id_col, order or id_col).batch(queries, k)
+    return found.select("query_id", F.col("id").cast(vectors.schema[id_col].dataType).alias("id"), "score", "rank")
+
+
+def tiles(vectors: DataFrame, floor: float, id_col: str = "id", order: str = "ord") -> tuple[DataFrame, DataFrame]:
+    """Blocks of vectors (packed, in cells of pivots) and the pairs of blocks that may hold pairs with a cosine of floor."""
+    # Up to a floor of 0, zero vectors match as well, and no angle rules anything out.
+    reach = float(np.arccos(min(floor, 1.0))) if floor > 0 else float(np.pi)
+    rows = metric.sample(vectors, order)
+    pivots = metric.join_pivots(rows, reach) if len(rows) and floor > 0 else np.ones((1, max(1, rows.shape[-1])))
+    homes = materialize(metric.in_cells(vectors, pivots, id_col, order))
+    radius = np.zeros(len(pivots))
+    for r in homes.groupBy("cell").agg(F.max("angle").alias("r")).collect():  # a row per pivot
+        radius[r["cell"]] = r["r"]
+    blocks = materialize(metric.packed(metric.with_guests(homes, pivots, radius, reach), BLOCK))
+    release(homes)
+    return blocks, metric.meetings(blocks, reach)
 
 
 def similar_pairs(vectors: DataFrame, floor: float, id_col: str = "id", order: str = "ord") -> DataFrame:
     """(a, b, a_ord, b_ord, score): pairs with a before b whose cosine is at least floor.
 
-    Blocks are joined with blocks (each pair of blocks once), so a task holds two blocks; only
-    pairs over the floor leave it. score is rounded to 4 places, the floor is held to the raw one.
+    Each vector is at home in the cell of its nearest pivot and visits the cells after it that
+    may hold partners; only blocks that share a cell and a range of angles meet, each pair of vectors once. The
+    test is of the cosine itself: pivots only decide what needn't be looked at.
+    score is rounded to 4 places, the floor is held to the raw one. Null vectors have no pairs.
     """
-    blocks = materialize(blocked(vectors, BLOCK, id_col, order))
-    left = blocks.withColumn("other", F.explode(F.expr("sequence(block, n - 1)")))
-    right = blocks.select(F.col("block").alias("other"), F.col("ids").alias("ids2"), F.col("ords").alias("ords2"), F.col("data").alias("data2"))
+    blocks, met = tiles(vectors, floor, id_col, order)
+    left = blocks.select("block", "ids", "ords", "data")
+    right = left.select(F.col("block").alias("other"), F.col("ids").alias("ids2"), F.col("ords").alias("ords2"), F.col("data").alias("data2"))
+
+    def unit(data: bytes, n: int) -> np.ndarray:
+        m = np.frombuffer(data, dtype="<f8").reshape(n, -1)
+        return m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-12)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples():
-                x, y = np.frombuffer(r.data, dtype="<f8").reshape(len(r.ids), -1), np.frombuffer(r.data2, dtype="<f8").reshape(len(r.ids2), -1)
-                s = x @ y.T
+                s = unit(r.data, len(r.ids)) @ unit(r.data2, len(r.ids2)).T
                 i, j = np.nonzero(s >= floor)
                 a, b = np.asarray(r.ords)[i], np.asarray(r.ords2)[j]
                 keep = a < b if r.block == r.other else a != b
@@ -88,7 +85,7 @@ def similar_pairs(vectors: DataFrame, floor: float, id_col: str = "id", order: s
                 a, b = a[keep], b[keep]
                 yield pd.DataFrame({"a": np.where(swap, ids2, ids), "b": np.where(swap, ids, ids2), "a_ord": np.where(swap, b, a), "b_ord": np.where(swap, a, b), "raw": s[i, j]})
 
-    pairs = left.join(right, "other").select("block", "other", "ids", "ords", "data", "ids2", "ords2", "data2")
+    pairs = met.select("block", "other").join(left, "block").join(right, "other").select("block", "other", "ids", "ords", "data", "ids2", "ords2", "data2")
     return pairs.mapInPandas(compare, "a string, b string, a_ord long, b_ord long, raw double").select("a", "b", "a_ord", "b_ord", F.round("raw", 4).alias("score"))
 
 

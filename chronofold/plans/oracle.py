@@ -52,6 +52,12 @@ deep AS (SELECT conv_id, turn, round(o, 4) AS score FROM j WHERE o > 0 ORDER BY
 def oracle_sql(phrase: str, review: float, merge: float) -> dict[str, str]:
     top = f"top AS (SELECT y.id, round({_XY}, 4) AS score FROM v x, v y WHERE x.id = 0 ORDER BY {_XY} DESC, y.id LIMIT 5)"
     pairs = f"p AS (SELECT x.id AS a, y.id AS b, round({_XY}, 4) AS score FROM v x JOIN v y ON x.id < y.id WHERE {_XY} >= {review})"
+    made = "CASE WHEN {x} % 3 = 0 THEN 1 ELSE 2 END"
+    first = f"(a % 5 > b % 5 OR (a % 5 = b % 5 AND {made.format(x='a')} >= {made.format(x='b')}))"
+    merging = f"""q AS (SELECT *, CASE WHEN {first} THEN a ELSE b END AS kept, CASE WHEN {first} THEN b ELSE a END AS loser, row_number() OVER (ORDER BY score DESC, a, b) AS i FROM p WHERE score >= {merge}),
+w AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS gone, false AS took UNION ALL
+  SELECT q.i, CASE WHEN list_contains(w.gone, q.a) OR list_contains(w.gone, q.b) THEN w.gone ELSE list_append(w.gone, q.loser) END, NOT (list_contains(w.gone, q.a) OR list_contains(w.gone, q.b)) FROM w JOIN q ON q.i = w.i + 1),
+m AS (SELECT q.* FROM q JOIN w USING (i) WHERE took)"""
     fold = "list_reduce(list_concat([0.0::DOUBLE], list({x} ORDER BY {o}) OVER (PARTITION BY {p} ORDER BY {o} ROWS UNBOUNDED PRECEDING)), lambda a, x: a + x)"
     return {
         "recall_topk": f"WITH {_V}, {top} SELECT * FROM top",
@@ -67,8 +73,30 @@ SELECT a, b, score, kept, loser FROM q JOIN w USING (i) WHERE took""",
         "replay_status": _CLAIMS + "SELECT id, status FROM claims",
         "log_on_disk": _CLAIMS + "SELECT id, text, status, confidence, hits, last_accessed FROM claims",
         "index_of_active": _CLAIMS + f", {_V}, a AS (SELECT v.id, v.e FROM v JOIN claims c ON c.id = concat('c', v.id) AND c.status = 'active'), r AS (SELECT y.id, {_XY} AS s FROM v x, a y WHERE x.id = 0 ORDER BY s DESC, y.id LIMIT 5) SELECT concat('c', id) AS id, round(s, 4) AS score FROM r",
-        "command_session": """SELECT * FROM (VALUES ('m1', 'tea at nine', 'drink', 'superseded', 'low', CAST(0 AS BIGINT), CAST(NULL AS VARCHAR)), ('m2', 'coffee at ten', 'drink', 'superseded', 'low', 1, '2024-04-01T00:00:00Z'),
-  ('m3', 'coffee at eleven', 'drink', 'superseded', 'low', 0, NULL), ('m4', 'coffee at noon', 'drink', 'active', 'low', 0, NULL), ('m5', 'walks on Sunday', 'walk', 'active', 'high', 0, NULL), ('m6', 'old news', 'news', 'forgotten', 'low', 0, NULL)) t(id, text, key, status, confidence, hits, last_accessed)""",
+        "command_session": _CLAIMS
+        + f""", act AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY birth_seq) AS i FROM claims),
+old AS (SELECT id, text, CAST(NULL AS VARCHAR) AS key, CASE WHEN status = 'active' AND i IN (2, 3) THEN 'superseded' WHEN status = 'active' AND i = 4 THEN 'forgotten' WHEN status = 'forgotten' AND i = 1 THEN 'active' ELSE status END AS status,
+  CASE WHEN status = 'active' AND i = 1 AND {_RANK.replace("confidence", "CASE WHEN hits + 1 >= 8 THEN 'high' WHEN hits + 1 >= 3 THEN 'mid' END")} > {_RANK} THEN CASE WHEN hits + 1 >= 8 THEN 'high' ELSE 'mid' END ELSE confidence END AS confidence,
+  CASE WHEN status = 'active' AND i = 1 THEN hits + 1 ELSE hits END AS hits, CASE WHEN status = 'active' AND i = 1 THEN '2024-04-01T00:00:00Z' ELSE last_accessed END AS last_accessed, created, lineage_id FROM act)
+SELECT * FROM old UNION ALL SELECT 'm1', 'said again', NULL, 'active', confidence, hits, last_accessed, created, lineage_id FROM act WHERE status = 'active' AND i = 2
+UNION ALL SELECT 'm2', 'put right', NULL, 'active', confidence, 0, NULL, '2024-04-01T00:00:00Z', lineage_id FROM act WHERE status = 'active' AND i = 3
+UNION ALL SELECT 'm3', 'tea at nine', 'drink', 'superseded', 'low', 0, NULL, '2024-04-01T00:00:00Z', 'm3' UNION ALL SELECT 'm4', 'coffee at ten', 'drink', 'active', 'low', 0, NULL, '2024-04-01T00:00:00Z', 'm4'""",
+        "hard_forget_in_home": _CLAIMS + "SELECT id, text, status, confidence, hits, created FROM claims WHERE birth_seq <> (SELECT min(birth_seq) FROM claims WHERE status = 'active')",
+        "snapshot_in_home": _CLAIMS + "SELECT id, text, status, confidence, hits, last_accessed, created, birth_seq, lineage_id FROM claims",
+        "import_chain": "SELECT concat('e', max(event_id)) AS id, concat('t', max(event_id)) AS text, strftime(arg_min(ts, event_id), '%Y-%m-%dT%H:%M:%SZ') AS created, concat('e', min(event_id)) AS lineage_id FROM events GROUP BY user_id",
+        "context_in_home": f"""WITH {_V}, r AS (SELECT y.id, round({_XY}, 4) AS score, row_number() OVER (ORDER BY {_XY} DESC, y.id) AS rank FROM v x, v y WHERE x.id = 3),
+t AS (SELECT *, sum(length(concat('text ', id)) / 1.5::DOUBLE) OVER (ORDER BY score DESC, rank) AS used, row_number() OVER (ORDER BY score DESC, rank) AS rn FROM r WHERE rank <= 20)
+SELECT concat('v', id) AS id, concat('text ', id) AS text, score, id % 5 AS hits FROM t WHERE rn = 1 OR used <= 60""",
+        "recall_in_home": f"""WITH {_V}, r AS (SELECT y.id, row_number() OVER (ORDER BY {_XY} DESC, y.id) AS rank FROM v x, v y WHERE x.id = 7),
+h AS (SELECT id, CAST(id % 5 + CASE WHEN rank = 1 THEN 2 WHEN rank <= 10 THEN 1 ELSE 0 END AS BIGINT) AS hits, rank FROM r)
+SELECT concat('v', id) AS id, 'active' AS status, CASE WHEN id % 2 = 1 THEN 'high' WHEN rank <= 10 AND hits >= 8 THEN 'high' WHEN rank <= 10 AND hits >= 3 THEN 'mid' ELSE 'low' END AS confidence, hits, CASE WHEN rank <= 10 THEN '2024-04-01T00:00:00Z' END AS last_accessed FROM h""",
+        "status_in_home": "SELECT count(*) AS total, count(*) - 1 AS active_claims, round((count(*) - 1) / 3000.0::DOUBLE, 4) AS pressure, count(*) - 1 AS indexed FROM embeddings",
+        "sleep_merged": f"WITH RECURSIVE {_V}, {pairs}, {merging} SELECT concat('v', v.id) AS id, CASE WHEN v.id IN (SELECT loser FROM m) THEN 'superseded' WHEN v.id % 30 = 0 THEN 'forgotten' ELSE 'active' END AS status, v.id % 5 AS hits FROM v",
+        "sleep_report": f"""WITH RECURSIVE {_V}, {pairs}, {merging} SELECT 'merge' AS part, concat('v', kept) AS a, concat('v', loser) AS b, score FROM m
+UNION ALL SELECT 'review', concat('v', a), concat('v', b), score FROM p WHERE score < {merge} UNION ALL SELECT 'forget', concat('v', id), '91', round(exp(-91 / 30.0::DOUBLE), 3) FROM v WHERE id % 30 = 0
+UNION ALL SELECT 'cluster', concat('e', label), CAST(count(*) AS VARCHAR), 0.0 FROM v GROUP BY label HAVING count(*) >= 3""",
+        "sleep_audit": f"WITH RECURSIVE {_V}, {pairs}, {merging} SELECT 'supersede' AS action, concat('v', loser) AS target, '2024-04-01T00:00:00Z' AS ts FROM m UNION ALL SELECT 'forget', concat('v', id), '2024-04-01T00:00:00Z' FROM v WHERE id % 30 = 0",
+        "episodic_in_home": "SELECT concat('ep_', event_id) AS id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts, concat('saw ', event_type) AS text, CAST(user_id AS VARCHAR) AS entity FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-12' AND event_type = 'error'",
         "sleep_applied": _CLAIMS + f"SELECT id, CASE WHEN status = 'active' AND confidence = 'low' AND exp(-{_IDLE} / (30.0::DOUBLE * (1 + hits))) < 0.2 THEN 'forgotten' ELSE status END AS status, confidence, hits FROM claims",
         "replay_hits": _CLAIMS + "SELECT id, hits, last_accessed FROM claims",
         "replay_confidence": _CLAIMS + "SELECT id, confidence FROM claims",

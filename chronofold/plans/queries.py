@@ -14,8 +14,10 @@ from ..functions import constants as C
 from ..functions import scalars as X
 from ..operators import claims as ops
 from ..operators import consolidate, lexical, vectors
+from ..operators.cells import CellIndex
 from ..operators.replay import replay
 from ..session import scratch_path, ship
+from ..sources import schemas
 from ..sources.lake import Lake
 
 NOW = "2024-04-01T00:00:00Z"
@@ -76,7 +78,9 @@ def _vector(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
 
 
 def recall_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.topk(_vectors(spark, sf_dir), _vector(spark, sf_dir, 0), 5).select("id", F.round("score", 4).alias("score"))
+    """Through a stored index of cells."""
+    index = CellIndex.build(_vectors(spark, sf_dir), scratch_path(spark, "cells-"))
+    return index.search(_vector(spark, sf_dir, 0), 5).select(F.col("id").cast("long").alias("id"), F.round("score", 4).alias("score"))
 
 
 def recall_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,28 +144,148 @@ def index_of_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.topk(live, _vector(spark, sf_dir, 0), 5).select("id", F.round("score", 4).alias("score"))
 
 
+def _engine(spark: SparkSession, provider=None) -> Engine:
+    names, now = (f"m{k}" for k in itertools.count(1)), datetime.strptime(NOW, "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=timezone.utc)
+    return Engine(spark, _home(spark), provider, clock=lambda: now, new_id=lambda: next(names))
+
+
+def _event_home(spark: SparkSession, sf_dir: str) -> Engine:
+    """A home with the log derived from events."""
+    engine = _engine(spark)
+    engine.lake.append_log(derived_log(spark, sf_dir))
+    return engine
+
+
 def command_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Commands on a fresh home: keyed writes, touch, correct, restate, forget and restore; the claims they leave."""
-    names, now = (f"m{k}" for k in itertools.count(1)), datetime(2024, 4, 1, tzinfo=timezone.utc)
-    engine = Engine(spark, _home(spark), clock=lambda: now, new_id=lambda: next(names))
+    """Commands on a home with a long log: touch, restate, correct and forget the first four active claims, restore the first forgotten one, write twice under a key."""
+    engine = _event_home(spark, sf_dir)
+    touched, restated, corrected, gone = [r["id"] for r in ops.query(engine.claims()).select("id").limit(4).collect()]
+    back = ops.query(engine.claims(), status="forgotten").first()["id"]
+    engine.touch([touched])
+    engine.restate(restated, "said again")
+    engine.correct(corrected, "put right")
+    engine.forget(gone)
+    engine.restore(back)
     engine.remember("tea at nine", key="drink")
     engine.remember("coffee at ten", key="drink")
-    engine.touch(["m2"])
-    engine.correct("m2", "coffee at eleven")
-    engine.restate("m3", "coffee at noon")
-    engine.remember("walks on Sunday", key="walk", confidence="high")
-    engine.remember("old news", key="news")
-    engine.forget("m5")
-    engine.restore("m5")
-    engine.forget("m6")
-    return engine.claims().select("id", "text", "key", "status", "confidence", "hits", "last_accessed")
+    return engine.claims().select("id", "text", "key", "status", "confidence", "hits", "last_accessed", "created", "lineage_id")
+
+
+def hard_forget_in_home(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first active claim is taken out of the log; all others are as they were."""
+    engine = _event_home(spark, sf_dir)
+    engine.forget(ops.query(engine.claims()).first()["id"], hard=True)
+    return engine.claims().select("id", "text", "status", "confidence", "hits", "created")
+
+
+def snapshot_in_home(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log's first half, a compaction with its snapshot, then the second half: claims from the snapshot and what follows it."""
+    engine, log = _engine(spark), derived_log(spark, sf_dir)
+    half = log.agg(F.expr("(min(seq) + max(seq)) div 2")).first()[0]
+    engine.lake.append_log(log.where(F.col("seq") <= half))
+    engine.compact()
+    engine.lake.append_log(log.where(F.col("seq") > half))
+    return engine.claims().select("id", "text", "status", "confidence", "hits", "last_accessed", "created", "birth_seq", "lineage_id")
+
+
+def import_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Restatements without end: each user's events, written as lines of JSON, restate the one before; the home that imports them knows each lineage."""
+    e, w = read(spark, sf_dir, "events"), Window.partitionBy("user_id").orderBy("event_id")
+    own, before = F.concat(F.lit("e"), F.col("event_id")), F.concat(F.lit("e"), F.lag("event_id").over(w))
+    rows = e.withColumns({"own": own, "before": before}).select(
+        "event_id", F.when(F.col("before").isNull(), "assert").otherwise("supersede").alias("op"), F.when(F.col("before").isNull(), F.col("own")).alias("id"), F.col("before").alias("target"),
+        F.when(F.col("before").isNotNull(), F.col("own")).alias("new_id"), F.concat(F.lit("t"), F.col("event_id")).alias("text"), F.lit(True).alias("carry"), F.date_format("ts", C.TIME_FORMAT).alias("ts"), F.date_format("ts", C.TIME_FORMAT).alias("created"),
+    )
+    engine, path = _engine(spark), _home(spark)
+    rows.orderBy("event_id").drop("event_id").write.option("lineSep", "\n").json(path)
+    engine.import_log(path)
+    return engine.claims().where("status = 'active'").select("id", "text", "created", "lineage_id")
+
+
+class _Given:
+    """A provider that has one vector for any text: the queries' vectors come from the table."""
+
+    def __init__(self, vector: list[float]):
+        self.vector, self.name = vector, "table"
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        return [self.vector for _ in texts]
+
+
+def _vector_home(spark: SparkSession, sf_dir: str, vec_id: int) -> Engine:
+    """A home with a claim and a stored vector for each row of embeddings."""
+    v = read(spark, sf_dir, "embeddings")
+    engine, n, id_ = _engine(spark, _Given(_vector(spark, sf_dir, vec_id))), F.col("vec_id"), F.concat(F.lit("v"), F.col("vec_id"))
+    known = {
+        "seq": n, "lineage_id": id_, "op": F.lit("assert"), "id": id_, "text": F.concat(F.lit("text "), n), "kind": F.lit("fact"), "entity": F.concat(F.lit("e"), F.col("label")), "hits": n % 5,
+        "confidence": F.when(n % 2 == 0, "low").otherwise("high"), "created": F.when(n % 3 == 0, "2024-01-01T00:00:00Z").otherwise("2024-03-20T00:00:00Z"),
+    }
+    kinds = {f.name: f.dataType for f in spark.createDataFrame([], schemas.OPLOG).schema}
+    engine.lake.append_log(v.select(*[known.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]))
+    engine.lake.save_vectors(v.select(id_.alias("id"), F.lit("table").alias("model"), n.alias("ord"), F.col("embedding").cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("digest")))
+    return engine
+
+
+def context_in_home(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the context command prints: of the twenty claims recalled, those that fit the budget."""
+    got = _vector_home(spark, sf_dir, 3).context("a task", 60)
+    return spark.createDataFrame([(i["id"], i["text"], i["score"], i["hits"]) for i in got["items"]], "id string, text string, score double, hits long")
+
+
+def recall_in_home(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims after a recall of ten and a keyless write of what a claim says already: all these are touched."""
+    engine = _vector_home(spark, sf_dir, 7)
+    engine.recall("anything", 10)
+    engine.remember("anything")
+    return engine.claims().select("id", "status", "confidence", "hits", "last_accessed")
+
+
+def status_in_home(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status command after a claim is forgotten: what the index counts is active."""
+    engine = _vector_home(spark, sf_dir, 0)
+    engine.forget(ops.query(engine.claims()).first()["id"])
+    got = engine.status()
+    return spark.createDataFrame([(got["total_claims"], got["active_claims"], got["pressure"], got["index"]["count"])], "total long, active_claims long, pressure double, indexed long")
+
+
+def sleep_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims after a consolidation that forgets, merges and reviews."""
+    engine = _vector_home(spark, sf_dir, 0)
+    engine.sleep(review=REVIEW, merge=MERGE)
+    return engine.claims().select("id", "status", "hits")
+
+
+def sleep_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report that a consolidation leaves in its home: clusters, forgotten, merged and reviewed claims."""
+    engine = _vector_home(spark, sf_dir, 0)
+    file = engine.sleep(review=REVIEW, merge=MERGE)["report_file"]
+    brief = "struct<id: string>"
+    kind = f"merge_suggestions array<struct<entity: string, count: long>>, forget_candidates array<struct<id: string, retention: double, days_idle: long>>, near_duplicates array<struct<kept: string, merged: string, score: double>>, review_pairs array<struct<a: {brief}, b: {brief}, score: double>>"
+    report = spark.read.schema(kind).option("multiLine", True).json(file)
+    part = lambda name, column, a, b, x: report.select(F.lit(name).alias("part"), F.explode(column).alias("r")).select("part", F.expr(a).alias("a"), F.expr(b).alias("b"), F.expr(x).alias("score"))
+    found = part("cluster", "merge_suggestions", "r.entity", "CAST(r.count AS STRING)", "CAST(0 AS DOUBLE)").unionByName(part("forget", "forget_candidates", "r.id", "CAST(r.days_idle AS STRING)", "r.retention"))
+    return found.unionByName(part("merge", "near_duplicates", "r.kept", "r.merged", "r.score")).unionByName(part("review", "review_pairs", "r.a.id", "r.b.id", "r.score"))
+
+
+def sleep_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit rows of a consolidation's operations."""
+    engine = _vector_home(spark, sf_dir, 0)
+    engine.sleep(review=REVIEW, merge=MERGE)
+    rows = engine.lake.table("audit", schemas.AUDIT).where("action IN ('forget', 'supersede')")
+    return rows.select("action", F.get_json_object("detail", "$.target").alias("target"), F.get_json_object("detail", "$.ts").alias("ts"))
+
+
+def episodic_in_home(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as entries of a home's log by months; a range of days of one topic is read from it."""
+    lake = Lake(spark, _home(spark))
+    e = read(spark, sf_dir, "events")
+    lake.append_entries(e.select(F.concat(F.lit("ep_"), F.col("event_id")).alias("id"), F.date_format("ts", C.TIME_FORMAT).alias("ts"), F.concat(F.lit("saw "), F.col("event_type")).alias("text"), F.col("event_type").alias("topic"), F.col("user_id").cast("string").alias("entity"), F.col("event_id").alias("ord")))
+    return ops.episodic_range(lake.episodic(), "2024-01-03", "2024-01-12", topic="error").select("id", "ts", "text", "entity")
 
 
 def sleep_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of a home after a consolidation that forgets what has faded; no pair reaches its thresholds."""
-    now = datetime.strptime(NOW, "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=timezone.utc)
-    engine = Engine(spark, _home(spark), clock=lambda: now)
-    engine.lake.append_log(derived_log(spark, sf_dir))
+    engine = _event_home(spark, sf_dir)
     engine.sleep(review=2.0, merge=2.0)
     return engine.claims().select("id", "status", "confidence", "hits")
 
@@ -264,7 +388,8 @@ def exact_dup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        recall_topk, recall_topk_batch, find_similar, sim_pairs_review, sim_pairs_merge, greedy_merge, nn_join, replay_status, log_on_disk, index_of_active, command_session, sleep_applied, replay_hits, replay_confidence, replay_lineage,
+        recall_topk, recall_topk_batch, find_similar, sim_pairs_review, sim_pairs_merge, greedy_merge, nn_join, replay_status, log_on_disk, index_of_active, command_session, hard_forget_in_home, snapshot_in_home, import_chain,
+        context_in_home, recall_in_home, status_in_home, sleep_applied, sleep_merged, sleep_report, sleep_audit, episodic_in_home, replay_hits, replay_confidence, replay_lineage,
         query_filter, query_min_confidence, point_lookup, episodic_range, deep_search, recall_deep, context_pack, profile_pack, forget_candidates, retention_scores, entity_clusters,
         pressure_status, promotions, render_view, bigram_sets, supersede_by_key, exact_dup_text,
     )

@@ -237,6 +237,10 @@ class Lake:
             return self.spark.createDataFrame([], schemas.EPISODIC)
         return self.spark.read.schema(schemas.EPISODIC).option("lineSep", "\n").json(path)
 
+    def append_entries(self, entries: DataFrame) -> None:
+        """Append entries of the episodic log (its columns but the month), in parallel; ord must follow what is there."""
+        entries.withColumn("month", F.substring("ts", 1, 7)).write.mode("append").partitionBy("month").option("lineSep", "\n").json(self.path("episodic"))
+
     def append_episodic(self, rows: list[dict]) -> None:
         last = self.episodic().agg(F.max("ord")).first()[0]
         first = 0 if last is None else last + 1

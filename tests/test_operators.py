@@ -88,20 +88,115 @@ def test_pairs_equal_brute_force(spark):
         vectors.BLOCK = old
 
 
-def test_batch_search_deals_queries_in_blocks(spark):
+@pytest.mark.parametrize("kind", ["random", "clustered"])
+def test_cells_find_the_best(spark, tmp_path, monkeypatch, kind):
+    from chronofold.operators import cells
+
+    monkeypatch.setattr(cells, "BLOCK", 50)
+    monkeypatch.setattr(cells, "QUERIES", 8)
     rng = np.random.default_rng(9)
-    m = rng.standard_normal((700, 6)).astype(np.float32)
-    rows = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(m)], "id long, embedding array<float>")
+    m = clustered(rng, 700, d=6) if kind == "clustered" else rng.standard_normal((700, 6)).astype(np.float32)
+    m[3], m[40], m[41], m[300] = 0, m[5], m[5], m[5]
+    rows = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(m)] + [(900, None)], "id long, embedding array<float>")
     asked = rows.selectExpr("id AS query_id", "embedding AS q")
-    blocks, count = vectors.query_blocks(asked)
-    sizes = [r["n"] for r in blocks.select(F.size("qs").alias("n")).collect()]
-    assert count == 11 and sum(sizes) == 700 and max(sizes) <= 2 * vectors.QUERY_BLOCK
-    assert vectors.query_blocks(asked.limit(0))[1] == 4
     d = m.astype(float)
-    d /= np.linalg.norm(d, axis=1)[:, None]
-    best = np.argsort(-(d @ d.T), axis=1, kind="stable")[:, :3]
+    d /= np.linalg.norm(d, axis=1)[:, None] + 1e-12
+    best = np.argsort(-np.round(d @ d.T, 12), axis=1, kind="stable")[:, :3]
     got = {(r["query_id"], r["rank"]): r["id"] for r in vectors.topk_batch(rows, asked, 3).collect()}
     assert got == {(q, k + 1): int(best[q, k]) for q in range(700) for k in range(3)}
+    index = cells.CellIndex.build(rows, str(tmp_path / "index"), "id", "id")
+    for q in (5, 3, 77):
+        assert [int(r["id"]) for r in index.search([float(x) for x in m[q]], 3).collect()] == [int(x) for x in best[q]]
+    with pytest.raises(ValueError):
+        index.search([1.0] * 6, 0)
+    assert index.search([1.0] * 6, 2000).count() == 700
+
+
+def test_cells_that_cannot_match_are_not_read(spark, tmp_path):
+    from chronofold.operators.cells import CellIndex
+
+    rng = np.random.default_rng(2)
+    m = clustered(rng, 4000, centres=40)
+    rows = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(m)], "ord long, embedding array<float>")
+    index = CellIndex.build(rows, str(tmp_path / "index"), "ord")
+    read = index.cells_for([float(x) for x in m[17]], 5)
+    share = index.cells.counts[np.isin(index.cells.names, read)].sum() / 4000
+    assert len(index.cells.names) > 20 and share < 0.15
+    plan = index.search([float(x) for x in m[17]], 5)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan
+
+
+def test_cells_without_vectors(spark, tmp_path):
+    rows = spark.createDataFrame([(1, None)], "id long, embedding array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, q array<double>")
+    assert vectors.topk_batch(rows, asked, 2).count() == 0
+
+
+def clustered(rng, n, d=16, centres=12, spread=0.05):
+    c = rng.standard_normal((centres, d))
+    return (c[rng.integers(0, centres, n)] + spread * rng.standard_normal((n, d))).astype(np.float32)
+
+
+@pytest.mark.parametrize("floor", [0.4, 0.75, 0.95, -0.1])
+@pytest.mark.parametrize("kind", ["clustered", "random"])
+def test_pivots_lose_no_pair(spark, monkeypatch, floor, kind):
+    monkeypatch.setattr(vectors, "BLOCK", 24)
+    rng = np.random.default_rng(3)
+    m = clustered(rng, 300) if kind == "clustered" else rng.standard_normal((300, 6)).astype(np.float32)
+    m[7], m[8], m[200] = 0, m[9], m[9]
+    rows = spark.createDataFrame([(f"v{k}", k, [float(x) for x in v]) for k, v in enumerate(m)] + [("none", 900, None)], "id string, ord long, embedding array<float>")
+    d = m.astype(float)
+    d /= np.linalg.norm(d, axis=1)[:, None] + 1e-12
+    expected = {(i, j) for i in range(300) for j in range(i + 1, 300) if d[i] @ d[j] >= floor}
+    got = vectors.similar_pairs(rows, floor).collect()
+    assert len(got) == len(expected) and {(r["a_ord"], r["b_ord"]) for r in got} == expected
+    assert all(r["a"] == f"v{r['a_ord']}" and r["b"] == f"v{r['b_ord']}" for r in got)
+
+
+def test_pivots_leave_out_most_of_what_is_apart(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 64)
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(str(k), k, [float(x) for x in v]) for k, v in enumerate(clustered(rng, 3000, centres=40))], "id string, ord long, embedding array<float>")
+    blocks, met = vectors.tiles(rows, 0.95)
+    compared = met.agg(F.sum("compared")).first()[0] / (3000 * 2999 / 2)
+    copies = blocks.agg(F.sum("n")).first()[0] / 3000
+    assert compared < 0.05 and copies < 1.5
+    # Where nothing is apart, nothing is copied.
+    apart = spark.createDataFrame([(str(k), k, [float(x) for x in v]) for k, v in enumerate(rng.standard_normal((500, 32)))], "id string, ord long, embedding array<double>")
+    assert vectors.tiles(apart, 0.4)[0].agg(F.sum("n")).first()[0] == 500
+
+
+def walk(pairs):
+    """The merge as a sequential walk."""
+    gone, out = set(), set()
+    for a, b, a_ord, b_ord, score, kept, loser in sorted(pairs, key=lambda p: (-p[4], p[2], p[3])):
+        if a not in gone and b not in gone:
+            gone.add(loser)
+            out.add((a, b, score, kept, loser))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_greedy_rounds_equal_the_walk(spark, seed):
+    rng = np.random.default_rng(seed)
+    pairs, n = [], 60
+    for a in range(n):
+        for b in range(a + 1, n):
+            if rng.random() < (0.06 if seed < 3 else 0.4):
+                kept = a if rng.random() < 0.5 else b
+                pairs.append((f"c{a}", f"c{b}", a, b, float(rng.integers(90, 100)) / 100, f"c{kept}", f"c{a + b - kept}"))
+    kind = "a string, b string, a_ord long, b_ord long, score double, kept string, loser string"
+    got = consolidate.greedy(spark.createDataFrame(pairs, kind)).collect()
+    assert len(got) == len({tuple(r) for r in got}) and {tuple(r) for r in got} == walk(pairs)
+    assert consolidate.greedy(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_a_keeper_of_many_takes_one_round(spark, monkeypatch):
+    rounds, plain = [], consolidate.materialize
+    monkeypatch.setattr(consolidate, "materialize", lambda df: rounds.append(1) or plain(df))
+    pairs = [("c0", f"c{k}", 0, k, 1.0, "c0", f"c{k}") for k in range(1, 2000)]
+    got = consolidate.greedy(spark.createDataFrame(pairs, "a string, b string, a_ord long, b_ord long, score double, kept string, loser string"))
+    assert got.count() == 1999 and len(rounds) == 4
 
 
 def test_greedy_merge_and_keeper(spark):
