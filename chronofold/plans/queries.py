@@ -324,7 +324,8 @@ def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deep_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.deep_search(_talk(spark, sf_dir), PHRASE, 5, ["conv_id", "turn"]).select("conv_id", "turn", "score")
+    """Through a stored table of bigrams."""
+    return lexical.BigramIndex.build(_talk(spark, sf_dir), scratch_path(spark, "bigrams-"), ["conv_id", "turn"]).search(PHRASE, 5)
 
 
 def recall_deep(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,31 @@ def test_jaccard_and_search(spark):
         lexical.deep_search(rows, "abc", 0, ["ord"])
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_search_by_postings_equals_a_scan(spark, tmp_path, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(int(k // 9), int(k % 9), "".join(rng.choice(list("aaabbcd "), rng.integers(0, 30)))) for k in range(400)] + [(90, 0, None), (90, 1, ""), (None, 2, "abab"), (91, 0, "q")]
+    log = spark.createDataFrame(rows, "conv int, turn int, text string")
+    index = lexical.BigramIndex.build(log.where("conv < 20"), str(tmp_path / "grams"), ["conv", "turn"])
+    index.append(log.where("conv >= 20 OR conv IS NULL"))
+    for text in ("abcabd", "ab", "", "q", "zzz", "dcdcba abc ddd", rows[17][2]):
+        for k in (1, 5):
+            want = lexical.deep_search(log, text, k, ["conv", "turn"]).collect()
+            assert [tuple(r) for r in index.search(text, k).collect()] == [(r["conv"], r["turn"], r["score"]) for r in want]
+    with pytest.raises(ValueError):
+        index.search("ab", 0)
+
+
+def test_rare_bigrams_name_the_candidates(spark, tmp_path):
+    rows = [(k, "common words here " * 3) for k in range(500)] + [(500 + k, "xyzzy common") for k in range(6)]
+    index = lexical.BigramIndex.build(spark.createDataFrame(rows, "ord int, text string"), str(tmp_path / "grams"), ["ord"])
+    grams = index.rare(["co", "xy", "qq"])
+    assert grams == ["qq", "xy", "co"]
+    assert [r["ord"] for r in index.search("xyzzy common", 6).collect()] == list(range(500, 506))
+    # At a score of 0.6, only entries of 0.6 to 1.67 times the size asked are looked at: ten bigrams are too few for twenty.
+    assert [r["n"] for r in index.postings(["co"], 0.6, 20).select("n").distinct().collect()] == [15]
+
+
 def test_cosine_of_zero_vector(spark):
     rows = spark.createDataFrame([(0, [0.0, 0.0]), (1, [3.0, 4.0])], "ord int, embedding array<float>")
     got = vectors.topk(rows, [3.0, 4.0], 2).collect()
