@@ -8,6 +8,10 @@ Sparse hosts are shrunk toward the same path over all hosts, and those toward a
 block counts for as much as the most important branch that holds it, by presentation or by its
 share of the page's text, times its content importance. What HTML itself calls navigation, forms and
 so on, and words of class and id, are priors that multiply this. Blocks of low importance go.
+
+Repetition alone doesn't take an article away: where it would take most of a page's main branch
+(its articles, or else the deepest element that holds most of its text), the pages are editions of one article, and
+repetition is judged outside that branch only.
 """
 
 from __future__ import annotations
@@ -58,16 +62,19 @@ LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figure fig
 MAIN = frozenset(["article", "main"])
 #: Share of the page's text beyond which a tag or class word says nothing on a page without articles, for comments the second; importance of what is unknown.
 MOST, NEARLY_ALL, NEUTRAL = 0.5, 0.9, 0.5
+#: Blocks that a main branch has at least where no tag names it: a box with a line or two is no article.
+FEW = 3
 
 
 class Element:
-    """One element of a page: its path, the element around it, its prior and whether that is of comments,
-    the layout of what it holds, and the characters of its subtree, in all and of articles."""
+    """One element of a page: its tag, its path (a chained name, as deep pages have long ones), the element around it, its
+    prior and whether that is of comments, the layout of what it holds, and the characters of its subtree, in all and of articles."""
 
-    __slots__ = ("path", "above", "prior", "comments", "main", "layout", "chars", "main_chars")
+    __slots__ = ("name", "path", "above", "prior", "comments", "main", "layout", "chars", "main_chars")
 
-    def __init__(self, path: str, above: Element | None, prior: float, comments: bool, main: bool):
-        self.path, self.above, self.prior, self.comments, self.main, self.layout, self.chars, self.main_chars = path, above, prior, comments, main, [], 0, 0
+    def __init__(self, name: str, step: str, above: Element | None, prior: float, comments: bool, main: bool):
+        self.name, self.above, self.prior, self.comments, self.main, self.layout, self.chars, self.main_chars = name, above, prior, comments, main, [], 0, 0
+        self.path = f"{mark('step', above.path if above else '', step):x}"
 
     def hold(self, what: str) -> None:
         if self.layout[-1:] != [what]:
@@ -118,7 +125,7 @@ def _element(name: str, attributes: str, above: Element | None) -> Element:
     main = name in MAIN or role == "main"
     if main and not inside:
         prior *= ARTICLE
-    return Element(f"{above.path if above else ''}/{step}", above, prior, comments, main or inside)
+    return Element(name, step, above, prior, comments, main or inside)
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -126,7 +133,8 @@ def blocks(page: str | None) -> list[Block]:
     if not page:
         return []
     out: list[Block] = []
-    root = Element("", None, 1.0, False, False)
+    root = Element("", "", None, 1.0, False, False)
+    every = [root]
     stack: list[tuple[str, Element]] = [("", root)]  # inline elements stand for the element around them
     buffer: list[str] = []
     style: list[str] = []
@@ -138,11 +146,8 @@ def blocks(page: str | None) -> list[Block]:
                 element = stack[-1][1]
                 element.hold("+".join(["text", *style]))
                 out.append(Block(element, text))
-                main = len(text) if element.main else 0
-                while element is not None:
-                    element.chars += len(text)
-                    element.main_chars += main
-                    element = element.above
+                element.chars += len(text)
+                element.main_chars += len(text) if element.main else 0
             buffer.clear()
         style.clear()
 
@@ -201,7 +206,11 @@ def blocks(page: str | None) -> list[Block]:
         above = stack[-1][1]
         above.hold(name)
         stack.append((name, _element(name, m[3] or "", above)))
+        every.append(stack[-1][1])
     flush()
+    for element in reversed(every[1:]):  # those inside come after those around
+        element.above.chars += element.chars
+        element.above.main_chars += element.main_chars
     return out
 
 
@@ -250,7 +259,7 @@ def main_text(page: str | None, known: dict[int, float] | None = None, threshold
         for e in reversed(chain):
             share = e.chars / total
             # The page as a whole says nothing of its parts, unless it holds texts itself.
-            if e.path.rpartition("/")[2].partition(".")[0] not in ("", "html", "body") or any(x.startswith("text") for x in e.layout):
+            if e.name not in ("", "html", "body") or any(x.startswith("text") for x in e.layout):
                 weight = max(weight, known.get(mark("path", e.path), NEUTRAL), share)
             own = e.prior if priors or not e.prior else 1.0
             # What holds most of the articles' text, or without articles most of the page's, is no such element.
@@ -260,15 +269,51 @@ def main_text(page: str | None, known: dict[int, float] | None = None, threshold
             branch[id(e)] = (weight, prior)
         return branch[id(chain[0])] if chain else (weight, prior)
 
-    scores = []
+    scores, contents = [], []
     for b in found:
         weight, prior = judged(b.element)
-        content = min(known.get(mark("content", b.element.path), 1.0), known.get(mark("text", b.element.path, b.text), 1.0))
-        scores.append(weight * prior * content)
+        contents.append(min(known.get(mark("content", b.element.path), 1.0), known.get(mark("text", b.element.path, b.text), 1.0)))
+        scores.append(weight * prior)
+    own = _main_branch(found, [branch[id(b.element)][1] >= 1 for b in found])
+    lost = sum(len(b.text) for b, x, c, mine in zip(found, scores, contents, own, strict=True) if mine and x * c < threshold <= x)
+    if 2 * lost > sum(len(b.text) for b, mine in zip(found, own, strict=True) if mine):
+        contents = [1.0 if mine else c for c, mine in zip(contents, own, strict=True)]
+    scores = [x * c for x, c in zip(scores, contents, strict=True)]
     least = min(threshold, max(scores))
     return "\n".join(b.text for b, x in zip(found, scores, strict=True) if x >= least and x > 0)
 
 
+def _main_branch(found: list[Block], plain: list[bool]) -> list[bool]:
+    """Which blocks are of the page's main branch; plain: those under no element that a prior counts against.
+
+    The articles, if they hold most of the plain text. Else the deepest element around the longest plain block that
+    holds most of the page's text, if it has at least a few blocks.
+    """
+    size = sum(len(b.text) for b, ok in zip(found, plain, strict=True) if ok)
+    own = [ok and b.element.main for b, ok in zip(found, plain, strict=True)]
+    if 2 * sum(len(b.text) for b, mine in zip(found, own, strict=True) if mine) > size:
+        return own
+    top = max((b for b, ok in zip(found, plain, strict=True) if ok), key=lambda b: len(b.text), default=None)
+    if top is None:
+        return own
+    total, element = sum(len(b.text) for b in found), top.element
+    while 2 * element.chars <= total and element.above is not None:
+        element = element.above
+    inside = {id(element): True}
+
+    def within(e: Element | None) -> bool:
+        chain = []
+        while e is not None and id(e) not in inside:
+            chain.append(e)
+            e = e.above
+        answer = e is not None and inside[id(e)]
+        inside.update((id(x), answer) for x in chain)
+        return answer
+
+    own = [ok and within(b.element) for b, ok in zip(found, plain, strict=True)]
+    return own if sum(own) >= FEW else [False] * len(own)
+
+
 def host_of(url: str | None) -> str:
     m = re.match(r"[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "")
     return m[1].lower() if m else ""

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronofold.llm import bpe, langid, mixing, token_orc
-from chronofold.llm.htmltree import SiteStyleTree, blocks, main_text
+from chronofold.llm.htmltree import SiteStyleTree, blocks, main_text, mark
 from chronofold.llm.pii import ContextualPII
 from chronofold.llm.quality import SiteQuality
 
@@ -343,6 +343,82 @@ def test_the_tree_removes_what_no_prior_names(spark):
     assert all("Tell your friends" in off[k] and "Join our club" in off[k] for k in want)
 
 
+@pytest.mark.parametrize("copies", [2, 3, 6, 12])
+@pytest.mark.parametrize("inside", ["<article>{}</article>", "<div class='content'>{}</div>", "<main>{}</main>", "<div>{}</div>"])
+def test_editions_of_an_article_keep_it(spark, copies, inside):
+    """Pages of a host that share an article, beside others: all of it stays, and what the host repeats around it goes."""
+    rng = random.Random(copies)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(3, 9))) for _ in range(n))
+    page = "<body><nav><a>Home</a></nav><div class='k1'>Join our club today</div>" + inside + "<div class='k2'>All rights are ours</div></body>"
+    shared = [text(30) for _ in range(5)]
+    rows, want = [], {}
+    for k in range(40):
+        parts = [f"Edition {k}", *shared] if k < copies else [text(5), *[text(30) for _ in range(rng.randrange(2, 5))]]
+        rows.append((k, f"https://many.example/{k}", page.format("".join(f"<p>{p}</p>" for p in parts))))
+        want[k] = "\n".join(parts)
+    for k in range(copies):  # a host that has nothing else
+        rows.append((100 + k, f"https://few.example/{k}", inside.format("".join(f"<p>{p}</p>" for p in [f"Edition {k}", *shared]))))
+        want[100 + k] = "\n".join([f"Edition {k}", *shared])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in SiteStyleTree().transform(pages).collect()} == want
+
+
+def plain_choice(page, known, threshold=0.25):
+    """What main_text keeps, by looking at every block's whole chain again and again; for pages without articles and without main branches that repeat."""
+    found = blocks(page)
+    total = sum(len(b.text) for b in found)
+
+    def around(b):
+        e = b.element
+        while e is not None:
+            yield e
+            e = e.above
+
+    def score(b):
+        weight, prior = 0.0, 1.0
+        for e in around(b):
+            share = sum(len(x.text) for x in found if any(y is e for y in around(x))) / total
+            if e.name not in ("", "html", "body") or any(x.startswith("text") for x in e.layout):
+                weight = max(weight, known.get(mark("path", e.path), 0.5), share)
+            prior *= 1.0 if 0 < e.prior < 1 and share > (0.9 if e.comments else 0.5) else e.prior
+        return weight * prior * min(known.get(mark("content", b.element.path), 1.0), known.get(mark("text", b.element.path, b.text), 1.0))
+
+    scores = [score(b) for b in found]
+    least = min(threshold, max(scores, default=0))
+    return "\n".join(b.text for b, x in zip(found, scores) if x >= least and x > 0)
+
+
+def test_chosen_texts_equal_a_plain_version(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(3, 9))) for _ in range(n))
+    box = lambda: rng.choice(["<div class='ad'>{}</div>", "<nav>{}</nav>", "<div>{}</div>", "<ul><li>{}</li><li>x</li></ul>", "<div class='comments'>{}</div>", "<section hidden>{}</section>"])
+    rows = []
+    for k in range(50):
+        parts = [box().format(rng.choice(["Join our club", "Tell your friends", text(4)])) for _ in range(rng.randrange(4))]
+        parts += [f"<div class='x2'><h1>{text(5)}</h1>{''.join(f'<p>{text(30)}</p>' for _ in range(rng.randrange(1, 4)))}<p>Read on</p></div>"]
+        rng.shuffle(parts)
+        rows.append((k, f"https://h{k % 2}.example/{k}", f"<body>{''.join(parts)}</body>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    known = {}
+    for r in SiteStyleTree().known(pages).collect():
+        known.setdefault(r["host"], {})[r["name"]] = r["value"]
+    got = {r["page_id"]: r["text"] for r in SiteStyleTree().transform(pages).collect()}
+    assert got == {k: plain_choice(h, known[f"h{k % 2}.example"]) for k, _, h in rows}
+    assert any("Join our club" in h and "Join our club" not in got[k] for k, _, h in rows)
+
+
+def test_deep_pages_take_little_memory():
+    import tracemalloc
+
+    page = "<div class='a b'><section>" * 50_000 + "deep" + "<p>x" * 1000
+    tracemalloc.start()
+    try:
+        assert main_text(page).startswith("deep\nx")
+        assert tracemalloc.get_traced_memory()[1] < 200e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_importance_equals_plain_version(spark):
     import math
     from collections import Counter, defaultdict
