@@ -33,7 +33,9 @@ _APART = r"\s:=\"',;<>|\[\]{}"
 _ATOM = rf"(?<![^{_APART}])[^{_APART}0-9@]*+[0-9@][^{_APART}]*+"
 #: Words of an instance at most, and matches that one step of a running sum copies.
 RUN, STEP = 4, 256
-_NO_SPANS = "array<struct<kind:string,start:int,end:int>>"
+_NO_SPANS = "array<struct<kind:string,start:int,end:int,context:boolean>>"
+#: Code points of the pieces from which a masked text is put together.
+PIECE = 4096
 
 
 _SPAN = "array<struct<start:int,end:int,hit:string,gap:string,next:string>>"
@@ -56,6 +58,22 @@ def _spans(hits: str, gaps: str) -> Column:
     )
 
 
+def _first_beyond(items: str, field: str, bound: str) -> str:
+    """Place of the first of items, sorted by field, whose field is over bound (their number if none is), by halving."""
+    return f"""aggregate(sequence(1, length(bin(size({items})))), named_struct('lo', 0, 'hi', size({items})), (s, step) -> IF(s.lo >= s.hi, s,
+        IF(get({items}, shiftright(s.lo + s.hi, 1)).{field} > {bound}, named_struct('lo', s.lo, 'hi', shiftright(s.lo + s.hi, 1)), named_struct('lo', shiftright(s.lo + s.hi, 1) + 1, 'hi', s.hi))), s -> s.lo)"""
+
+
+def _scan(items: str, kind: str, at: str, made: str) -> str:
+    """Struct of at, after all of items (x), and out, what they made on the way; by steps of STEP, so that out is not copied per item.
+
+    at and made are of the state s.at and x; made is null where x makes nothing. kind is the type of out.
+    """
+    step = f"""aggregate(slice({items}, j * {STEP} + 1, {STEP}), named_struct('at', t.at, 'out', CAST(array() AS {kind})), (s, x) -> named_struct('at', {at}, 'out', IF({made} IS NULL, s.out, array_append(s.out, {made}))))"""
+    return f"""aggregate(IF(size({items}) > 0, sequence(0, CAST((size({items}) - 1) DIV {STEP} AS int)), CAST(array() AS array<int>)), named_struct('at', 0, 'parts', CAST(array() AS array<{kind}>)),
+        (t, j) -> element_at(transform(array({step}), r -> named_struct('at', r.at, 'parts', array_append(t.parts, r.out))), 1), t -> named_struct('at', t.at, 'out', flatten(t.parts)))"""
+
+
 def _valid(kind: str, x: Column) -> Column:
     hit = x["hit"]
     digits = F.regexp_replace(hit, "[^0-9]", "")
@@ -122,23 +140,25 @@ class ContextualPII:
         """
         rows = _named(based.where(F.col("__text").rlike("[0-9@]")))
         rows = rows.withColumn("hits", F.regexp_extract_all("__text", F.lit(_ATOM), F.lit(0))).withColumn("gaps", F.split("__text", _ATOM, -1)).withColumn("atoms", _spans("hits", "gaps"))
-        of_kind = lambda k: lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), b["hit"].alias("hit"), F.lit(k).alias("kind"))
-        rows = rows.withColumn("base", F.concat(*[F.transform(f"__{k}", of_kind(k)) for k in KINDS]))
-        rows = rows.select("k1", "k2", "atoms", "base")
+        rows = rows.select("k1", "k2", "atoms", *[f"__{k}" for k in KINDS])
+        over = " OR ".join(f"(size(__{k}) > 0 AND coalesce(get(__{k}, {_first_beyond(f'__{k}', 'end', 'x.a.start')}).start < x.a.end, false))" for k in KINDS)
         # An atom without the signs at its ends; bare: nothing was cut there; free: no base span lies in it.
+        # Spans of a kind, and atoms, are sorted and apart, so that what overlaps is found by halving.
         rows = rows.withColumn("atoms", F.expr(
             r"""transform(transform(atoms, a -> named_struct('a', a, 'lead', length(regexp_extract(a.hit, '^[^\\p{L}0-9+(]*+', 0)), 'tail', length(regexp_extract(a.hit, '(?<![^\\p{L}0-9)])[^\\p{L}0-9)]++$', 0)))),
                 x -> named_struct('start', x.a.start + x.lead, 'end', greatest(x.a.start + x.lead, x.a.end - x.tail), 'hit', substring(x.a.hit, x.lead + 1, greatest(0, length(x.a.hit) - x.lead - x.tail)),
                     'from', x.a.start, 'to', x.a.end, 'whole', x.a.hit, 'gap', x.a.gap, 'next', x.a.next, 'bare_left', x.lead = 0, 'bare_right', x.tail = 0,
-                    'free', NOT exists(base, b -> b.start < x.a.end AND b.end > x.a.start)))"""
+                    'free', NOT (OVER)))""".replace("OVER", over)
         ))
+        base = "concat(" + ", ".join(f"transform(__{k}, b -> named_struct('start', b.start, 'end', b.end, 'hit', b.hit, 'kind', '{k}'))" for k in KINDS) + ")"
         joined = """transform(atoms, (a, i) -> named_struct('a', a, 'on', coalesce(i > 0 AND a.free AND a.gap = ' ' AND a.bare_left AND get(atoms, i - 1).free AND get(atoms, i - 1).bare_right, false)))"""
         runs = f"""flatten(transform(linked, (x, i) -> transform(filter(sequence(0, {RUN - 1}), w -> x.a.free AND x.a.hit <> '' AND i + w < size(linked) AND forall(slice(linked, i + 2, w), y -> y.on)),
             w -> named_struct('start', x.a.start, 'end', get(linked, i + w).a.end, 'word', array_join(transform(slice(linked, i + 1, w + 1), y -> y.a.hit), ' '), 'seed', CAST(NULL AS string),
                 'left', x.a.gap, 'right', get(linked, i + w).a.next))))"""
-        seeds = """transform(transform(base, b -> named_struct('b', b, 'over', filter(atoms, a -> a.from < b.end AND a.to > b.start))), x -> named_struct('start', x.b.start, 'end', x.b.end, 'word', x.b.hit, 'seed', x.b.kind,
-            'left', concat(get(x.over, 0).gap, substring(get(x.over, 0).whole, 1, greatest(0, x.b.start - get(x.over, 0).from))),
-            'right', concat(substring(get(x.over, size(x.over) - 1).whole, greatest(0, x.b.end - get(x.over, size(x.over) - 1).from) + 1), get(x.over, size(x.over) - 1).next)))"""
+        first, last = _first_beyond("atoms", "to", "b.start"), f"{_first_beyond('atoms', 'from', 'b.end - 1')} - 1"
+        seeds = f"""transform(transform({base}, b -> named_struct('b', b, 'first', get(atoms, {first}), 'last', get(atoms, {last}))), x -> named_struct('start', x.b.start, 'end', x.b.end, 'word', x.b.hit, 'seed', x.b.kind,
+            'left', concat(x.first.gap, substring(x.first.whole, 1, greatest(0, x.b.start - x.first.from))),
+            'right', concat(substring(x.last.whole, greatest(0, x.b.end - x.last.from) + 1), x.last.next)))"""
         rows = rows.withColumn("linked", F.expr(joined)).select("k1", "k2", F.explode(F.concat(F.expr(seeds), F.expr(runs))).alias("x"))
         rows = rows.select("k1", "k2", "x.start", "x.end", F.lower("x.word").alias("word"), "x.seed", F.lower("x.left").alias("left"), F.lower("x.right").alias("right"))
         word, before = r"(\p{L}++)[^\p{L}]*+$", r"(\p{L}++)[^\p{L}]++\p{L}++[^\p{L}]*+$"
@@ -188,19 +208,19 @@ class ContextualPII:
         return rows.join(self._beside(believed, 128), "pattern").where(fits)
 
     def discovered(self, rows: DataFrame) -> DataFrame:
-        """(k1, k2, more): per document (doc_id, text) the spans (kind, start, end) that patterns add.
+        """(k1, k2, more): per document (doc_id, text) the spans (kind, start, end, context) that patterns add.
 
+        context: a pattern of the words around believes in the span; else its form alone does.
         Spans of a document don't overlap: the longer of those that begin together stays, and
         what begins inside a span that stays goes.
         """
         words = materialize(self.identifiers(with_base_spans(rows)))
         believed = self.patterns(words)
         free = words.where("seed IS NULL").select("k1", "k2", "start", "end", "word", F.explode("patterns").alias("pattern"))
-        new = self.extracted(free, believed).groupBy("k1", "k2", "start", "end").agg(F.max(F.struct("confidence", "kind"))["kind"].alias("kind"))
-        found = new.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", (-F.col("end")).alias("back"), "kind"))).alias("x"))  # of one document
-        kept = F.expr(f"""aggregate(x, named_struct('at', 0, 'out', CAST(array() AS {_NO_SPANS})), (s, y) -> IF(y.start >= s.at,
-            named_struct('at', -y.back, 'out', array_append(s.out, named_struct('kind', y.kind, 'start', y.start, 'end', -y.back))), s), s -> s.out)""")
-        return materialize(found.select("k1", "k2", kept.alias("more")))
+        new = self.extracted(free, believed).groupBy("k1", "k2", "start", "end").agg(F.max(F.struct("confidence", "kind"))["kind"].alias("kind"), F.max(~F.startswith("pattern", F.lit("form: "))).alias("context"))
+        found = new.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", (-F.col("end")).alias("back"), "kind", "context"))).alias("spans"))  # of one document
+        kept = _scan("spans", _NO_SPANS, "IF(x.start >= s.at, -x.back, s.at)", "IF(x.start >= s.at, named_struct('kind', x.kind, 'start', x.start, 'end', -x.back, 'context', x.context), NULL)")
+        return materialize(found.select("k1", "k2", F.expr(kept)["out"].alias("more")))
 
     def find(self, rows: DataFrame) -> DataFrame:
         """rows (doc_id, text and others) with __text, the base spans per kind, and more: the spans that patterns add.
@@ -215,10 +235,11 @@ class ContextualPII:
         return keyed.withColumn("more", F.coalesce("more", F.array().cast(_NO_SPANS)))
 
     def transform(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(doc_id, n_<kind>..., base_sha256, spans, n_found) per row; counts are of base spans.
+        """(doc_id, n_<kind>..., base_sha256, spans, n_found, n_context) per row; counts are of base spans.
 
         Spans are kind:start:end in code points, end exclusive, by kind as listed, then start,
-        joined by commas; n_found counts those that patterns added. An empty table gives an empty
+        joined by commas; n_found counts those that patterns added, n_context those of them that
+        the words around speak for, not the form alone. An empty table gives an empty
         result; columns of docs other than id and text don't matter.
         """
         got = self.find(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")))
@@ -230,6 +251,7 @@ class ContextualPII:
             F.sha2(F.array_join(F.concat(*[F.transform(f"__{k}", name(k)) for k in KINDS]), ","), 256).alias("base_sha256"),
             F.array_join(F.concat(*[F.transform(every(k), name(k)) for k in KINDS]), ",").alias("spans"),
             F.size("more").cast("long").alias("n_found"),
+            F.size(F.filter("more", lambda x: x["context"])).cast("long").alias("n_context"),
         )
 
     def mask(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,11 +265,14 @@ class ContextualPII:
         got = self.find(docs.select(row, F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")))
         part = lambda kind: lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), (x["kind"] if kind is None else kind).alias("kind"))
         got = got.withColumn("spans", F.array_sort(F.concat(*[F.transform(f"__{k}", part(F.lit(k))) for k in KINDS], F.transform("more", part(None)))))
-        # Overlapping spans become one; each piece is the text before a span and the span's kind.
-        got = got.withColumn("whole", F.expr("""aggregate(spans, CAST(array() AS array<struct<start:int,end:int,kind:string>>), (s, x) -> IF(size(s) > 0 AND x.start < element_at(s, -1).end,
-            concat(slice(s, 1, size(s) - 1), array(named_struct('start', element_at(s, -1).start, 'end', greatest(element_at(s, -1).end, -x.back), 'kind', element_at(s, -1).kind))),
-            array_append(s, named_struct('start', x.start, 'end', -x.back, 'kind', x.kind))))"""))
-        masked = F.expr("""concat(array_join(transform(whole, (x, i) -> concat(substring(__text, IF(i = 0, 0, get(whole, i - 1).end) + 1, x.start - IF(i = 0, 0, get(whole, i - 1).end)), '<', upper(x.kind), '>')), ''),
-            substring(__text, element_at(whole, -1).end + 1))""")
-        text = F.when(F.size("whole") > 0, masked).otherwise(F.col(f"row.`{text_col}`").cast("string")).alias(text_col)
+        # Overlapping spans become one; each piece is the text before a span and the span's kind. Texts are cut
+        # by PIECE first, since a place in a text is found by counting from its start.
+        cut = "IF(x.start >= s.at, named_struct('from', s.at, 'to', x.start, 'kind', x.kind), NULL)"
+        got = got.withColumn("scan", F.expr(_scan("spans", "array<struct<from:int,to:int,kind:string>>", "greatest(s.at, -x.back)", cut)))
+        got = got.withColumn("whole", F.expr("concat(scan.out, array(named_struct('from', scan.at, 'to', length(__text), 'kind', CAST(NULL AS string))))"))
+        between = f"""array_join(transform(sequence(x.from DIV {PIECE}, (x.to - 1) DIV {PIECE}), j -> substring(get(pieces, j), CAST(greatest(x.from - j * {PIECE}, 0) + 1 AS int),
+            CAST(least(x.to - j * {PIECE}, {PIECE}) - greatest(x.from - j * {PIECE}, 0) AS int))), '')"""
+        joined = f"array_join(transform(whole, x -> concat(IF(x.from < x.to, {between}, ''), IF(x.kind IS NULL, '', concat('<', upper(x.kind), '>')))), '')"
+        masked = F.expr(f"element_at(transform(array(regexp_extract_all(__text, '(?s).{{1,{PIECE}}}', 0)), pieces -> {joined}), 1)")  # named by a lambda, so that texts are cut once
+        text = F.when(F.size("spans") > 0, masked).otherwise(F.col(f"row.`{text_col}`").cast("string")).alias(text_col)
         return got.select(*[text if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

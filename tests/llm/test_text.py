@@ -459,8 +459,8 @@ def test_names_that_wrap_articles():
     assert main_text("<article><header><h1>Title</h1></header><p>x y</p><footer>by me</footer><section class='comments'><p>nice</p></section></article>") == "Title\nx y"
 
 
-def test_added_spans_equal_a_plain_bootstrap(spark):
-    """Forms and contexts scored by a plain loop, for phones that a following number hides from the base pattern."""
+def test_forms_add_spans_that_the_base_pattern_misses(spark):
+    """Phones that a following number hides from the base pattern: found by their form, and said so."""
     rng = random.Random(31)
     phone = lambda: f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"
     rows = [f"{rng.choice(['one', 'two', 'red', 'sun'])} {phone()} {rng.choice(['end', 'fin', 'off'])}" for _ in range(100)]
@@ -473,6 +473,88 @@ def test_added_spans_equal_a_plain_bootstrap(spark):
     assert sum(r["n_found"] for r in got.values()) == len(hidden)
 
 
+def plain_bootstrap(texts, least=3, trust=0.9, rounds=2, run=4):
+    """Spans (text, start, end, by context) that patterns add, in loops; for words with single blanks between and emails only."""
+    import re
+    from collections import defaultdict
+
+    email, digits = re.compile(r"[a-z0-9.]+@[a-z0-9]+(\.[a-z0-9]+)+"), lambda w: sum(c.isdigit() for c in w)
+    found = []  # (text, start, end, word, seed, patterns)
+    for k, text in enumerate(texts):
+        words = text.split(" ")
+        starts = [sum(len(w) + 1 for w in words[:i]) for i in range(len(words))]
+        atom, base = [bool(re.search("[0-9@]", w)) for w in words], [bool(email.fullmatch(w)) for w in words]
+        plain = lambda i: words[i] if 0 <= i < len(words) and not atom[i] else ""  # noqa: B023, E731
+        for i in range(len(words)):
+            for n in range(1, run + 1):
+                span = range(i, min(i + n, len(words)))
+                if len(span) < n or not all(atom[j] for j in span) or (n > 1 and any(base[j] for j in span)):
+                    continue
+                word, l, r = " ".join(words[j] for j in span), plain(i - 1), plain(i + n)
+                ll = plain(i - 2) if l else ""
+                patterns = [f"left: {l}"] * bool(l) + [f"two left: {ll} {l}"] * bool(ll) + [f"right: {r}"] * bool(r) + [f"around: {l} {r}"] * bool(l and r)
+                patterns.append("form: " + re.sub("[a-z]+", "a", re.sub("[0-9]", "9", word)))
+                found.append((k, starts[i], starts[i] + len(word), word, base[i], patterns))
+    seeds = [w for *_, w, seed, _ in found if seed]
+    low, high = min(map(digits, seeds)), max(map(digits, seeds))
+    fits = lambda w: "@" in w and re.search("[a-z]", w) and (low - 3 <= digits(w) <= high + 3 or any(re.search("[a-z]", x) for x in seeds))
+    instances = defaultdict(set)
+    for *_, word, _, patterns in found:
+        for p in patterns:
+            instances[p].add(word)
+    belief, sure = dict.fromkeys(seeds, 1.0), {}
+    for turn in range(rounds):
+        sure = {}
+        for p, names in instances.items():
+            good = sum(belief.get(w, 0) for w in names)
+            if good >= least and good / len(names) * (1 - 0.5**good) >= trust:
+                sure[p] = good / len(names) * (1 - 0.5**good)
+        if turn < rounds - 1:
+            doubt, seen = defaultdict(lambda: 1.0), {(p, w) for *_, w, seed, patterns in found if not seed and fits(w) for p in patterns if p in sure}
+            for p, w in seen:
+                doubt[w] *= 1 - min(sure[p], 0.999)
+            belief |= {w: max(belief.get(w, 0), 1 - x) for w, x in doubt.items() if 1 - x >= trust}
+    new = sorted((k, a, -b, any(p in sure and not p.startswith("form") for p in patterns)) for k, a, b, w, seed, patterns in found if not seed and fits(w) and any(p in sure for p in patterns))
+    out, at = [], (-1, 0)
+    for k, a, b, context in new:
+        if k > at[0] or a >= at[1]:
+            out.append((k, a, -b, context))
+            at = k, -b
+    return out
+
+
+def test_contexts_alone_find_what_a_plain_bootstrap_finds(spark):
+    """Addresses without a dot are of no form that a seed has; the words around them give some away, over two rounds."""
+    rng = random.Random(77)
+    word = lambda n=5: "".join(rng.choices("abcdefghij", k=n))
+    inner = [f"{word()}{k}@{word()}" for k in range(8)]
+    texts = []
+    for k in range(240):
+        address, noise = f"{word()}{rng.randrange(9)}@{word()}.example", f"{word()}@{word()}{rng.choice(['', '7'])}"
+        texts.append(f"{word()} mail {address} today {word()}" if k % 2 else f"{word()} write to {address} {word()}" if k % 4 else rng.choice([f"{word()} {noise} {word()}", f"see {noise} {word()}", f"see {address} {word()}", f"{address} {noise} 12 34 {word()}"]))
+    texts += [f"{word()} mail {x} today {word()}" for x in inner] + [f"{word()} box {x} {word()}" for x in inner[:6]] + [f"mail {inner[0]} 12 {word()}", f"write to {word()}@{word()} {word()}"]
+    got = ContextualPII().transform(frame(spark, list(enumerate(texts)))).collect()
+    want = plain_bootstrap(texts)
+    spans = {(r["doc_id"], *map(int, x.split(":")[1:])) for r in got for x in r["spans"].split(",") if x}
+    base = sum(r["n_email"] for r in got)
+    assert len(spans) == base + len(want) and {x[:3] for x in want} <= spans
+    assert sum(r["n_found"] for r in got) == len(want) and sum(r["n_context"] for r in got) == sum(x[3] for x in want)
+    assert sum(x[3] for x in want) >= 14 and {k for k, *_ in want} >= {*range(240, 254)}  # those after "box" in the second round only
+    assert not {k for k, *_ in plain_bootstrap(texts, rounds=1)} & {*range(248, 254)}
+
+
+def test_many_identifiers_in_one_text(spark, tmp_path):
+    """All identifiers of a text that is full of them are found and masked, in time that is far from quadratic."""
+    n = 30_000
+    text = " ".join(f"é w{k}@x.example," for k in range(n))
+    frame(spark, [(1, text), (2, "mail a@b.cc now")]).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    got = {r["doc_id"]: r for r in ContextualPII().transform(docs).collect()}
+    assert got[1]["n_email"] == n and got[1]["n_found"] == 0
+    masked = {r["doc_id"]: r["text"] for r in ContextualPII().mask(docs).collect()}
+    assert masked == {1: " ".join(["é <EMAIL>,"] * n), 2: "mail <EMAIL> now"}
+
+
 def test_mask_keeps_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "mail a@b.cc now", 7, "m", "t", "s", "r", 5), (1, "mail a@b.cc now", 7, "m", "t", "s", "r", 5), (2, None, None, None, None, None, None, None)], "doc_id long, text string, k1 int, more string, __text string, __spans string, row string, start int")
     got = ContextualPII().mask(docs)
