@@ -16,40 +16,46 @@ from pyspark.sql import functions as F
 from ..session import materialize, release
 from ..sources import schemas
 
-_FIELDS = ["id", "text", "key", "kind", "entity", "source", "confidence", "created", "hits", "last_accessed", "status", "birth_seq", "lineage_id"]
+FIELDS = ["id", "text", "key", "kind", "entity", "source", "confidence", "created", "hits", "last_accessed", "status", "birth_seq", "lineage_id"]
 
 
-def _none(x):
+def plain(x):
     return None if x is None or x is pd.NA or (isinstance(x, float) and x != x) else x
 
 
+def apply(claims: dict[str, dict], op: dict) -> None:
+    """Change claims by one operation; only get and item assignment are used of them."""
+    kind, target = op["op"], claims.get(op["target"])
+    if kind == "assert":
+        old = claims.get(op["id"])
+        born = old["birth_seq"] if old else op["seq"]
+        claims[op["id"]] = {f: op.get(f) for f in FIELDS} | {"status": "active", "birth_seq": born, "hits": int(op["hits"] or 0), "lineage_id": op["lineage_id"]}
+    elif target is None:
+        return
+    elif kind == "supersede":
+        if op["text"]:
+            name = op["new_id"] or f"{op['target']}@{op['seq']}"
+            kept = {f: target[f] for f in ("created", "hits", "last_accessed")} if op["carry"] else {"created": op["ts"], "hits": 0, "last_accessed": None}
+            old = claims.get(name)
+            born = old["birth_seq"] if old else op["seq"]
+            claims[name] = target | {"id": name, "text": op["text"], "status": "active", "birth_seq": born} | kept
+        target["status"] = "superseded"
+    elif kind == "forget":
+        target["status"] = "forgotten"
+    elif kind == "restore":
+        target["status"] = "active"
+    elif kind == "touch" and target["status"] == "active":
+        target["hits"], target["last_accessed"] = target["hits"] + 1, op["ts"]
+    elif kind == "confidence":
+        target["confidence"] = op["to"]
+
+
 def fold(ops: pd.DataFrame) -> pd.DataFrame:
     """Claims of one lineage from its operations (any order; seq orders them)."""
     claims: dict[str, dict] = {}
     for op in ops.sort_values("seq", kind="stable").to_dict("records"):
-        op = {k: _none(v) for k, v in op.items()}
-        kind, target = op["op"], claims.get(op["target"])
-        if kind == "assert":
-            born = claims[op["id"]]["birth_seq"] if op["id"] in claims else op["seq"]
-            claims[op["id"]] = {f: op.get(f) for f in _FIELDS} | {"status": "active", "birth_seq": born, "hits": int(op["hits"] or 0), "lineage_id": op["lineage_id"]}
-        elif target is None:
-            continue
-        elif kind == "supersede":
-            if op["text"]:
-                name = op["new_id"] or f"{op['target']}@{op['seq']}"
-                kept = {f: target[f] for f in ("created", "hits", "last_accessed")} if op["carry"] else {"created": op["ts"], "hits": 0, "last_accessed": None}
-                born = claims[name]["birth_seq"] if name in claims else op["seq"]
-                claims[name] = target | {"id": name, "text": op["text"], "status": "active", "birth_seq": born} | kept
-            target["status"] = "superseded"
-        elif kind == "forget":
-            target["status"] = "forgotten"
-        elif kind == "restore":
-            target["status"] = "active"
-        elif kind == "touch" and target["status"] == "active":
-            target["hits"], target["last_accessed"] = target["hits"] + 1, op["ts"]
-        elif kind == "confidence":
-            target["confidence"] = op["to"]
-    out = pd.DataFrame(list(claims.values()), columns=_FIELDS)
+        apply(claims, {k: plain(v) for k, v in op.items()})
+    out = pd.DataFrame(list(claims.values()), columns=FIELDS)
     return out.astype({"hits": "int64", "birth_seq": "int64"}) if len(out) else out
 
 

@@ -7,6 +7,7 @@ import pytest
 
 from chronofold import cli
 from chronofold.engine import Engine, NotFound
+from chronofold.sources import schemas
 from chronofold.sources.lake import ModelMismatch, import_jsonl
 
 
@@ -145,21 +146,95 @@ def test_import_numbers_lines_over_files(spark, tmp_path):
     assert [(r["seq"], r["id"]) for r in got] == list(enumerate("pqrst"))
 
 
-def test_streamed_replay_equals_batch(spark, tmp_path):
-    from chronofold.operators.replay import replay
-    from chronofold.sources import schemas
-    from chronofold.streaming.replay_stream import replay_stream
-    from tests.test_replay import frame, random_log, state
+@pytest.mark.parametrize("wait", [1, 12, 1000])
+def test_streamed_replay_equals_batch(spark, tmp_path, wait):
+    """Batches whose rows come late by less than the wait; what a batch doesn't change isn't sent again."""
+    from chronofold.streaming.replay_stream import STORE, replay_stream
+    from tests.test_replay import folded, frame, whole, wild_log
+
+    ops = wild_log(9, length=120)
+    rows = ops if wait == 1 else sorted(ops, key=lambda o: (o["seq"] + (9 if o["seq"] % 5 == 0 else 0), o["seq"]))
+    folder, seen, sent = str(tmp_path / "in"), {}, []
+    old = spark.conf.get(STORE[0], None)
+    spark.conf.set(*STORE)
+
+    def take(df, _):
+        got = whole(df)
+        assert all(seen.get(k) != v for k, v in got.items())
+        seen.update(got)
+        sent.append(len(got))
 
-    ops = random_log(9, lineages=2, length=10)
-    folder = str(tmp_path / "in")
-    for part in (ops[: len(ops) // 2], ops[len(ops) // 2 :]):
-        frame(spark, part).coalesce(1).write.mode("append").parquet(folder)
-    stream = replay_stream(spark.readStream.schema(schemas.OPLOG).option("maxFilesPerTrigger", 1).parquet(folder))
-    seen = {}
-    query = stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda df, _: seen.update(state(df))).start()
     try:
-        query.processAllAvailable()
+        for k in range(3):
+            frame(spark, rows[len(rows) * k // 3 : len(rows) * (k + 1) // 3]).coalesce(1).write.mode("append").parquet(folder)
+            query = replay_stream(spark.readStream.schema(schemas.OPLOG).parquet(folder), wait).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(take).trigger(availableNow=True).start()
+            query.awaitTermination()
     finally:
-        query.stop()
-    assert seen == state(replay(frame(spark, ops)))
+        spark.conf.set(STORE[0], old) if old else spark.conf.unset(STORE[0])
+    assert seen == folded(ops) and len(sent) == 3
+
+
+class _Kept(dict):
+    """A keyed state in memory that counts what is read."""
+
+    def __init__(self):
+        super().__init__()
+        self.reads = 0
+
+    def containsKey(self, key):
+        self.reads += 1
+        return key in self
+
+    def getValue(self, key):
+        return self[key]
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
+class _One:
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_a_batch_reads_only_the_claims_it_names():
+    import pandas as pd
+
+    from chronofold.streaming.replay_stream import _NAMES, _Replay
+
+    class Handle:
+        def getMapState(self, *_):
+            return _Kept()
+
+        def getValueState(self, *_):
+            return _One()
+
+    table = lambda ops: pd.DataFrame([{n: o.get(n) for n in _NAMES} for o in ops]).astype(object)
+    made = _Replay(wait=10)
+    made.init(Handle())
+    list(made.handleInputRows(("a",), iter([table([{"seq": k, "op": "assert", "id": f"c{k}", "text": "t", "lineage_id": "a"} for k in range(3000)])]), None))
+    reads = []
+    for batch in range(20):
+        made.claims.reads = 0
+        ops = [{"seq": 3000 + 5 * batch + k, "op": "touch", "target": f"c{7 * batch + k}", "ts": "s", "lineage_id": "a"} for k in range(5)]
+        (got,) = made.handleInputRows(("a",), iter([table(ops)]), None)
+        assert sorted(got["id"]) == sorted(o["target"] for o in ops) and set(got["hits"]) == {1}
+        reads.append(made.claims.reads)
+    assert max(reads[2:]) <= 3 * 15 and len(made.waiting) == 10
+    with pytest.raises(ValueError, match="late"):
+        list(made.handleInputRows(("a",), iter([table([{"seq": 3000, "op": "forget", "target": "c1", "lineage_id": "a"}])]), None))
