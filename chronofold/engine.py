@@ -18,8 +18,9 @@ from .functions import scalars as X
 from .functions.embedder import HashedBigrams, embedder
 from .operators import claims as ops
 from .operators import consolidate, lexical, vectors
+from .operators import writes as bulk
 from .operators.replay import replay, with_lineage
-from .session import materialize, ship
+from .session import materialize, release, ship
 from .sources import schemas
 from .sources.lake import Lake, ModelMismatch, import_jsonl
 
@@ -168,6 +169,47 @@ class Engine:
         self.lake.append_ops(rows, now)
         return {"id": claim, **self._pressure()}
 
+    def remember_all(self, writes: DataFrame, order: list[str], near: bool = True) -> dict:
+        """remember() for a table of writes (text, and any of id, key, kind, entity, source, confidence), in the given order.
+
+        Writes with a key come first: a key's last write stays active. Then a write without a key whose text, kind and
+        entity an active claim or an earlier write has already touches that claim; with near, so does one whose nearest
+        active claim is as similar as remember() asks. Writes that are new and only similar to each other all become
+        claims, for sleep() to merge. Ids, where given, are distinct and new; writes without text are left out.
+        """
+        now, rows = self.now(), materialize(bulk.prepared(writes, order))
+        keyed = rows.where("key <> ''")
+        done = {"keyed": 0, "keyless": 0}
+        if not keyed.isEmpty():
+            done["keyed"] = self._append_bulk(bulk.keyed_ops(keyed, ops.active(self.claims()), now), now)
+        plain = rows.where("coalesce(key, '') = ''")
+        if not plain.isEmpty():
+            digest = bulk.said(F.col("kind"), F.col("entity"), F.col("text"))
+            plain = plain.withColumn("digest", digest)
+            firsts = materialize(plain.groupBy("digest").agg(F.min_by(F.struct("id", "text", *bulk.FIELDS, "at"), "at").alias("x")).select("digest", "x.*"))
+            live = ops.active(self.claims())
+            exact = live.select(digest.alias("digest"), "birth_seq", F.struct(F.col("id").alias("claim"), "lineage_id", "hits", "confidence").alias("c"))
+            known = materialize(exact.groupBy("digest").agg(F.min_by("c", "birth_seq").alias("c")).join(firsts.select("digest"), "digest", "left_semi").select("digest", "c.*"))
+            if near:
+                rest = firsts.join(known.select("digest"), "digest", "left_anti")
+                known = known.unionByName(self._nearby(rest, now))
+            done["keyless"] = self._append_bulk(bulk.keyless_ops(plain.select("digest", "id", "at"), firsts, known, now), now)
+        release(rows)
+        return {"operations": done["keyed"] + done["keyless"], **self._pressure()}
+
+    def _append_bulk(self, made: DataFrame, now: str) -> int:
+        return self.lake.append_frame(made.orderBy("step", "at").drop("step", "at"), now)
+
+    def _nearby(self, rows: DataFrame, now: str) -> DataFrame:
+        """(digest, claim, lineage_id, hits, confidence) of the rows whose nearest active claim is a duplicate by its vector."""
+        index = self._index().select("id", "embedding", F.col("birth_seq").alias("ord"))
+        live = self.claims().select(F.col("id").alias("claim"), "lineage_id", "hits", "confidence")
+        if index.isEmpty():
+            return live.limit(0).select(F.lit("").alias("digest"), *live.columns)
+        shown = X.render(F.col("kind"), F.col("entity"), F.lit(now), F.col("text"))
+        best = vectors.topk_batch(index, rows.select(F.col("digest").alias("query_id"), embedder(self.provider)(shown).alias("q")), 1, order="ord")
+        return best.where(F.round("score", 4) >= C.DEDUP).select(F.col("query_id").alias("digest"), F.col("id").alias("claim")).join(live, "claim").select("digest", *live.columns)
+
     def _succeed(self, claim_id: str, text: str, carry: bool) -> dict:
         if not text:
             raise ValueError("the text is empty")

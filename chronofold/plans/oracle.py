@@ -119,5 +119,13 @@ r AS (SELECT *, {fold.format(x="length(text) / 1.5::DOUBLE", o="rn", p="1")} AS
         "render_view": f"WITH {_DOCS} SELECT id, md5(concat('[', coalesce(kind, ''), '|', coalesce(entity, ''), '|2024-01] ', coalesce(text, ''))) AS rendered_md5 FROM c",
         "bigram_sets": f"WITH s AS (SELECT conv_id, turn, {_SQUEEZE.format(t='text')} AS s FROM conversations) SELECT conv_id, turn, CAST(len({_GRAMS.format(s='s')}) AS BIGINT) AS n_bigrams FROM s",
         "supersede_by_key": "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1",
+        "keyed_writes_in_home": "SELECT concat('o', o_orderkey) AS id, concat('c', o_custkey) AS key, CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1 THEN 'active' ELSE 'superseded' END AS status, CAST(0 AS BIGINT) AS hits, '2024-04-01T00:00:00Z' AS created FROM orders",
+        "copies_in_home": """WITH g AS (SELECT coalesce(min(doc_id) FILTER (doc_id % 2 = 0), min(doc_id)) AS id, count(*) - 1 AS hits FROM documents WHERE text <> '' GROUP BY coalesce(lang, ''), coalesce(source, ''), text)
+SELECT concat('d', id) AS id, 'active' AS status, CASE WHEN hits >= 8 THEN 'high' WHEN hits >= 3 THEN 'mid' ELSE 'low' END AS confidence, hits, CASE WHEN hits > 0 THEN '2024-04-01T00:00:00Z' END AS last_accessed FROM g""",
+        "reindex_in_home": "SELECT CASE WHEN i = 1 THEN 'm1' ELSE concat('v', vec_id) END AS id, 'table' AS model, i = 1 AS made_here FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings) WHERE i <> 2",
+        "profile_in_home": f"""WITH o AS (SELECT vec_id AS id, concat('text ', vec_id) AS text, row_number() OVER (ORDER BY vec_id % 2 DESC, vec_id % 5 DESC, CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 2 END, vec_id) AS rn FROM embeddings),
+r AS (SELECT *, {fold.format(x="length(text) / 1.5::DOUBLE", o="rn", p="1")} AS used FROM o WHERE rn <= 200) SELECT concat('- [fact] ', text) AS line FROM r WHERE rn = 1 OR used <= 100""",
+        "sleep_entries": f"""WITH {_V}, r AS (SELECT y.id, round({_XY}, 4) AS score FROM v x, v y WHERE x.id = 9 ORDER BY {_XY} DESC, y.id LIMIT 1),
+n AS (SELECT event_id FROM events WHERE event_id % 40 >= 34 ORDER BY event_id % 40 >= 36, event_id LIMIT 20) SELECT concat('ep_', event_id) AS entry, concat('v', r.id) AS claim, r.score FROM n, r""",
         "exact_dup_text": "SELECT md5(text) AS text_md5, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY md5(text) HAVING count(*) > 1",
     }

@@ -13,7 +13,7 @@ from ..engine import Engine
 from ..functions import constants as C
 from ..functions import scalars as X
 from ..operators import claims as ops
-from ..operators import consolidate, lexical, vectors
+from ..operators import consolidate, lexical, vectors, writes
 from ..operators.cells import CellIndex
 from ..operators.replay import replay
 from ..session import scratch_path, ship
@@ -377,20 +377,65 @@ def bigram_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def supersede_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest order of each customer, as keyed writes leave it."""
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    return read(spark, sf_dir, "orders").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("o_custkey", "o_orderkey", "o_totalprice")
+    orders = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
+    return writes.latest_by_key(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
 
 
 def exact_dup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").groupBy(F.md5(F.col("text").cast("binary")).alias("text_md5")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
-    return docs.where("copies > 1")
+    found = writes.copies(read(spark, sf_dir, "documents"), F.md5(F.col("text").cast("binary")), "doc_id")
+    return found.where("copies > 1").select(F.col("same").alias("text_md5"), F.col("first").alias("first_id"), "copies")
+
+
+def keyed_writes_in_home(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written under their customer's key in two tables, those before 1998 first: of each key the last order's claim is active."""
+    engine, o = _engine(spark), read(spark, sf_dir, "orders")
+    rows = o.select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.concat(F.lit("c"), "o_custkey").alias("key"), F.concat(F.lit("price "), F.col("o_totalprice").cast("string")).alias("text"), F.col("o_orderdate").alias("day"), "o_orderkey")
+    for part in (rows.where("day < TIMESTAMP '1998-01-01'"), rows.where("day >= TIMESTAMP '1998-01-01'")):
+        engine.remember_all(part, ["day", "o_orderkey"])
+    return engine.claims().select("id", "key", "status", "hits", "created")
+
+
+def copies_in_home(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written without keys, even ids first: copies touch the claim that says the same."""
+    engine = _engine(spark)
+    rows = read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text", F.col("lang").alias("kind"), F.col("source").alias("entity"), "doc_id")
+    for odd in (0, 1):
+        engine.remember_all(rows.where(F.col("doc_id") % 2 == odd), ["doc_id"], near=False)
+    return engine.claims().select("id", "status", "confidence", "hits", "last_accessed")
+
+
+def reindex_in_home(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index after a claim is put right, another forgotten, and the index built anew: vectors of active claims, old ones taken over."""
+    engine = _vector_home(spark, sf_dir, 5)
+    first, second = [r["id"] for r in ops.query(engine.claims()).select("id").limit(2).collect()]
+    engine.correct(first, "put right")
+    engine.forget(second)
+    engine.reindex()
+    return engine.lake.vectors("table").select("id", "model", F.col("digest").isNotNull().alias("made_here"))
+
+
+def profile_in_home(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the profile that a home keeps: active claims by confidence, hits and age within a budget."""
+    engine = _vector_home(spark, sf_dir, 0)
+    engine.profile(100, write=True)
+    return spark.read.text(engine.lake.path("profile.md")).select(F.col("value").alias("line"))
+
+
+def sleep_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A consolidation's recent entries, each with its nearest claim: events of the last days, moved to the report's month, as entries."""
+    engine = _vector_home(spark, sf_dir, 9)
+    e = read(spark, sf_dir, "events").select("event_id", F.date_format(F.expr("timestampadd(DAY, CAST(event_id % 40 AS INT), TIMESTAMP '2024-02-25 00:00:00')"), C.TIME_FORMAT).alias("ts"))
+    engine.lake.append_entries(e.select(F.concat(F.lit("ep_"), "event_id").alias("id"), "ts", F.lit("saw it").alias("text"), F.lit(None).cast("string").alias("topic"), F.lit(None).cast("string").alias("entity"), F.col("event_id").alias("ord")))
+    report = engine.sleep(dry_run=True, review=2.0, merge=2.0)
+    found = [(c["ep"]["id"], c["best_match"]["id"], c["best_match"]["score"]) for c in report["episodic_candidates"]]
+    return spark.createDataFrame(found, "entry string, claim string, score double")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         recall_topk, recall_topk_batch, find_similar, sim_pairs_review, sim_pairs_merge, greedy_merge, nn_join, replay_status, log_on_disk, index_of_active, command_session, hard_forget_in_home, snapshot_in_home, import_chain,
-        context_in_home, recall_in_home, status_in_home, sleep_applied, sleep_merged, sleep_report, sleep_audit, episodic_in_home, replay_hits, replay_confidence, replay_lineage,
+        context_in_home, recall_in_home, status_in_home, sleep_applied, sleep_merged, sleep_report, sleep_audit, sleep_entries, episodic_in_home, keyed_writes_in_home, copies_in_home, reindex_in_home, profile_in_home, replay_hits, replay_confidence, replay_lineage,
         query_filter, query_min_confidence, point_lookup, episodic_range, deep_search, recall_deep, context_pack, profile_pack, forget_candidates, retention_scores, entity_clusters,
         pressure_status, promotions, render_view, bigram_sets, supersede_by_key, exact_dup_text,
     )
