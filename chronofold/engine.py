@@ -22,7 +22,7 @@ from .operators import writes as bulk
 from .operators.replay import replay, with_lineage
 from .session import materialize, release, ship
 from .sources import schemas
-from .sources.lake import Lake, ModelMismatch, import_jsonl
+from .sources.lake import ENTRY, Lake, ModelMismatch, import_jsonl
 
 __all__ = ["Engine", "ModelMismatch", "NotFound"]
 
@@ -63,11 +63,12 @@ class Engine:
         return self.lake.append_frame(rows.orderBy("seq").drop("seq"), self.now())
 
     def compact(self) -> int:
-        """One folder for the log's many, and a snapshot of the claims, so that later reads replay what follows only."""
+        """One folder for the log's many, and a snapshot of the claims, so that later reads replay what follows only; one index of all entries for deep recalls."""
         _, seen = self.lake.commits()
         base, last = self.lake.snapshot(seen)
         log = self.lake.oplog(content=seen)
         self.lake.rewrite_ops(log.orderBy("seq"), seen, replay(self.lake.oplog(last, seen), base))
+        self.lake.index_entries(whole=True)
         return len(seen["log"])
 
     def _active(self, claim_id: str) -> dict:
@@ -266,9 +267,22 @@ class Engine:
         hits = self._rows(best)
         self.touch([h["id"] for h in hits])
         if deep:
-            hits += [r | {"layer": "episodic"} for r in self._rows(lexical.deep_search(self.lake.episodic(), text, k, ["month", "ord"]))]
+            hits += [r | {"layer": "episodic"} for r in self._rows(self._deep(text, k))]
         return hits
 
+    def _deep(self, text: str, k: int) -> DataFrame:
+        """The k entries that share most bigrams: from the index what it knows, by a scan what came since."""
+        index, late = self.lake.entries_index()
+        found = lexical.deep_search(late, text, k, ENTRY)
+        if index is None:
+            return found
+        best = index.search(text, k).collect()  # k rows
+        if not best:
+            return found
+        named = self.spark.createDataFrame([tuple(r[n] for n in (*ENTRY, "score")) for r in best], "month string, ord long, id string, score double")
+        texts = self.lake.episodic().where(F.col("month").isin([r["month"] for r in best]) & F.col("ord").isin([r["ord"] for r in best]))
+        return found.unionByName(texts.join(F.broadcast(named), ENTRY)).orderBy(F.desc("score"), *ENTRY).limit(k)
+
     def context(self, task: str, budget: float = C.CONTEXT_BUDGET) -> dict:
         """Recalled claims that fit a token budget. All recalled ones are touched."""
         hits = self.recall(task, C.CONTEXT_RECALL)
@@ -359,6 +373,7 @@ class Engine:
             merges = merged_rows.select(F.lit(1).alias("o"), (-F.col("score")).alias("x"), F.lit(0).cast("long").alias("y"), F.concat_ws(" ", "a", "b").alias("z"), *op("supersede", "loser", F.to_json(F.struct("kept"))))
             self.lake.append_frame(forgets.unionByName(merges).orderBy("o", "x", "y", "z").drop("o", "x", "y", "z"), now)
             report["applied"] = {"forgotten": len(weak), "merged": len(merged)}
+            self.lake.index_entries()
             file = self.lake.save_report(report, now[:10])
             self.lake.audit("sleep", report["applied"] | {"report_file": file}, now)
             report = report | {"report_file": file}

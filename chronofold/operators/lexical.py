@@ -27,10 +27,11 @@ class BigramIndex:
 
     Postings are sorted by gram, so that a search reads the parts of the files that hold its own
     bigrams and no text. append() adds files; entries of a log that only grows are added as they come.
+    Several folders, each with entries of its own, make one index.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str]):
-        self.spark, self.path, self.keys = spark, path, keys
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], *more: str):
+        self.spark, self.path, self.keys, self.paths = spark, path, keys, [path, *more]
 
     @classmethod
     def build(cls, log: DataFrame, path: str, keys: list[str]) -> BigramIndex:
@@ -46,7 +47,7 @@ class BigramIndex:
 
     def postings(self, grams: list[str], least: float = 0.0, asked: int = 0) -> DataFrame:
         """Postings of these bigrams, of entries whose size alone allows a score of `least` with so many asked."""
-        some = self.spark.read.parquet(self.path).where(F.col("gram").isin(grams))
+        some = self.spark.read.parquet(*self.paths).where(F.col("gram").isin(grams))
         return some.where((F.col("n") >= least * asked) & (F.col("n") * least <= asked)) if least > 0 else some
 
     def _scored(self, found: DataFrame, asked: int) -> DataFrame:

@@ -106,6 +106,7 @@ UNION ALL SELECT 'cluster', concat('e', label), CAST(count(*) AS VARCHAR), 0.0 F
         "point_lookup": _CLAIMS + "SELECT id, text, status, hits FROM claims WHERE id = 'c1'",
         "episodic_range": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts, event_type AS topic, CAST(user_id AS VARCHAR) AS entity FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-09' AND event_type = 'click'",
         "deep_search": f"WITH {_search(phrase)} SELECT * FROM deep",
+        "deep_recall_in_home": f"WITH {_search(phrase)} SELECT concat(conv_id, '/', turn) AS id, score FROM deep",
         "recall_deep": f"WITH {_V}, {top}, {_search(phrase)} SELECT 0 AS layer, CAST(id AS VARCHAR) AS id, score FROM top UNION ALL SELECT 1, concat(conv_id, '/', turn), score FROM deep",
         "context_pack": f"""WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn, {fold.format(x="length(text) / 1.5::DOUBLE", o="doc_id", p="source")} AS used FROM documents)
 SELECT doc_id, source, rn, CAST(trunc(used) AS BIGINT) AS used FROM r WHERE rn = 1 OR used <= 2000""",

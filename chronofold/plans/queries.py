@@ -283,6 +283,18 @@ def episodic_in_home(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.episodic_range(lake.episodic(), "2024-01-03", "2024-01-12", topic="error").select("id", "ts", "text", "entity")
 
 
+def deep_recall_in_home(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as entries of a home: the first half of the conversations is in its index of bigrams, the others came since."""
+    engine, talk = _engine(spark), read(spark, sf_dir, "conversations")
+    half = talk.agg(F.expr("(min(conv_id) + max(conv_id)) div 2")).first()[0]
+    name, place = F.concat(F.col("conv_id"), F.lit("/"), F.col("turn")), F.col("conv_id") * 100_000 + F.col("turn")
+    rows = talk.select("conv_id", name.alias("id"), F.lit(NOW).alias("ts"), "text", F.col("role").alias("entity"), F.lit(None).cast("string").alias("topic"), place.cast("long").alias("ord"))
+    engine.lake.append_entries(rows.where(F.col("conv_id") <= half).drop("conv_id"))
+    engine.lake.index_entries()
+    engine.lake.append_entries(rows.where(F.col("conv_id") > half).drop("conv_id"))
+    return spark.createDataFrame([(r["id"], r["score"]) for r in engine.recall(PHRASE, 5, deep=True)], "id string, score double")
+
+
 def sleep_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of a home after a consolidation that forgets what has faded; no pair reaches its thresholds."""
     engine = _event_home(spark, sf_dir)
@@ -435,7 +447,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         recall_topk, recall_topk_batch, find_similar, sim_pairs_review, sim_pairs_merge, greedy_merge, nn_join, replay_status, log_on_disk, index_of_active, command_session, hard_forget_in_home, snapshot_in_home, import_chain,
-        context_in_home, recall_in_home, status_in_home, sleep_applied, sleep_merged, sleep_report, sleep_audit, sleep_entries, episodic_in_home, keyed_writes_in_home, copies_in_home, reindex_in_home, profile_in_home, replay_hits, replay_confidence, replay_lineage,
+        context_in_home, recall_in_home, status_in_home, sleep_applied, sleep_merged, sleep_report, sleep_audit, sleep_entries, episodic_in_home, deep_recall_in_home, keyed_writes_in_home, copies_in_home, reindex_in_home, profile_in_home, replay_hits, replay_confidence, replay_lineage,
         query_filter, query_min_confidence, point_lookup, episodic_range, deep_search, recall_deep, context_pack, profile_pack, forget_candidates, retention_scores, entity_clusters,
         pressure_status, promotions, render_view, bigram_sets, supersede_by_key, exact_dup_text,
     )

@@ -16,6 +16,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.lexical import BigramIndex
 from ..session import materialize, release
 from . import schemas
 
@@ -23,6 +24,10 @@ from . import schemas
 _ROW_BITS = 33
 
 
+#: What names an entry of the episodic log, in the order of the log.
+ENTRY = ["month", "ord", "id"]
+
+
 class ModelMismatch(RuntimeError):
     """The vectors on disk come from another model."""
 
@@ -237,13 +242,70 @@ class Lake:
             return self.spark.createDataFrame([], schemas.EPISODIC)
         return self.spark.read.schema(schemas.EPISODIC).option("lineSep", "\n").json(path)
 
+    def entry_files(self) -> list[str]:
+        """Files of the episodic log; a file has its name once it is whole, and never changes."""
+        fs, where = self._fs(self.path("episodic/month=*/part-*"))
+        return sorted(f"{s.getPath().getParent().getName()}/{s.getPath().getName()}" for s in fs.globStatus(where) or [])
+
+    def _entries_in(self, files: list[str]) -> DataFrame:
+        base = self.path("episodic")
+        if not files:
+            return self.spark.createDataFrame([], schemas.EPISODIC)
+        return self.spark.read.schema(schemas.EPISODIC).option("basePath", base).option("lineSep", "\n").json([f"{base}/{f}" for f in files])
+
+    def entries_index(self) -> tuple[BigramIndex | None, DataFrame]:
+        """The index of bigrams of entries, if there is one, and the entries that it doesn't know."""
+        found = self.commits()[1].get("bigrams")
+        if not found:
+            return None, self.episodic()
+        first, *more = [self.path(n) for n in found["names"]]
+        return BigramIndex(self.spark, first, ENTRY, *more), self._entries_in(self._unknown(found))
+
+    def _unknown(self, found: dict | None) -> list[str]:
+        known = set((self.read_text(self.path(found["list"])) or "").split("\n")) if found else set()
+        return [f for f in self.entry_files() if f not in known]
+
+    def index_entries(self, whole: bool = False) -> int:
+        """Add the entries of files that the index of bigrams doesn't know; whole: one new folder of all. Returns how many files it read.
+
+        The index knows files, not places, so an entry that a slow writer finishes late is found later. If another
+        writer has changed the index meanwhile, its index stays.
+        """
+        old = self.commits()[1].get("bigrams")
+        fresh = self._unknown(None if whole else old)
+        if not fresh:
+            return 0
+        name = f"bigrams/{uuid.uuid4().hex}"
+        BigramIndex.build(self._entries_in(fresh), self.path(name), ENTRY)
+        kept = [] if whole or not old else old["names"]
+        known = fresh if not kept else sorted({*fresh, *(self.read_text(self.path(old["list"])) or "").split("\n")})
+        made = {"names": [*kept, name], "list": f"{name}.files"}
+        self.write_text(self.path(made["list"]), "\n".join(known))
+        now = self.commit(lambda content: content | {"bigrams": made} if content.get("bigrams") == old else content)
+        if now["bigrams"] != made:
+            self.drop([name, made["list"]])
+            return 0
+        if old:
+            self.drop([n for n in (*old["names"], old["list"]) if n not in kept])
+        return len(fresh)
+
     def append_entries(self, entries: DataFrame) -> None:
         """Append entries of the episodic log (its columns but the month), in parallel; ord must follow what is there."""
+        if self.commits()[1].get("entries") is not None:
+            self.commit(lambda content: {k: v for k, v in content.items() if k != "entries"})
         entries.withColumn("month", F.substring("ts", 1, 7)).write.mode("append").partitionBy("month").option("lineSep", "\n").json(self.path("episodic"))
 
     def append_episodic(self, rows: list[dict]) -> None:
-        last = self.episodic().agg(F.max("ord")).first()[0]
-        first = 0 if last is None else last + 1
+        """Append a few entries. A commit deals out their places; the log is read for the last one only if no commit knows it."""
+        dealt = []
+
+        def change(content: dict) -> dict:
+            last = self.episodic().agg(F.max("ord")).first()[0] if content.get("entries") is None else content["entries"]
+            dealt[:] = [-1 if last is None else last]
+            return content | {"entries": dealt[0] + len(rows)}
+
+        self.commit(change)
+        first = dealt[0] + 1
         data = [(r["id"], r["ts"], r["text"], r.get("topic"), r.get("entity"), first + k, r["ts"][:7]) for k, r in enumerate(rows)]
         self.spark.createDataFrame(data, schemas.EPISODIC).coalesce(1).write.mode("append").partitionBy("month").option("lineSep", "\n").json(self.path("episodic"))
 
