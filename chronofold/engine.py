@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -343,7 +344,7 @@ class Engine:
         index = materialize(self._index(write=not dry_run).select("id", "embedding", F.col("birth_seq").alias("ord")))
         brief = claims.select("id", "text", "entity", "lineage_id")
         as_side = lambda n: brief.select(F.col("id").alias(n), F.col("text").alias(f"{n}_text"), F.col("lineage_id").alias(f"{n}_lineage"))
-        found = ops.clusters(claims).collect()
+        found = [(entity, list(rows)) for entity, rows in groupby(ops.clusters(claims).collect(), lambda r: r["entity"])]
         weak_rows = ops.forget_candidates(claims, F.lit(now))
         weak = weak_rows.collect()
         pairs = materialize(consolidate.with_keeper(vectors.similar_pairs(index, review), claims))
@@ -361,7 +362,7 @@ class Engine:
             near = {r["id"]: {"id": r["nearest"], "text": r["text"], "entity": r["entity"], "score": r["score"]} for r in best.collect()}  # at most EPISODIC_LIMIT rows
         report = {
             "ts": now, "dry_run": dry_run,
-            "merge_suggestions": [{"entity": r["entity"], "count": r["count"], "claims": [{"id": c["id"], "text": c["text"]} for c in r["claims"]]} for r in found],
+            "merge_suggestions": [{"entity": entity, "count": len(rows), "claims": [{"id": c["id"], "text": c["text"]} for c in rows]} for entity, rows in found],
             "forget_candidates": [{n: r[n] for n in ("id", "text", "retention", "days_idle", "hits")} for r in weak],
             "near_duplicates": [{"kept": r["kept"], "merged": r["loser"], "score": r["score"], "kept_text": r["kept_text"], "merged_text": r["loser_text"]} for r in merged],
             "review_pairs": [{"a": {"id": r["a"], "text": r["a_text"]}, "b": {"id": r["b"], "text": r["b_text"]}, "score": r["score"]} for r in mild_rows],

@@ -51,10 +51,13 @@ def episodic_range(log: DataFrame, since: str | None = None, until: str | None =
 
 
 def clusters(claims: DataFrame, least: int = C.CLUSTER_MIN) -> DataFrame:
-    """(entity, count, first_seq, claims) of entities with at least `least` active claims."""
-    some = active(claims).where("entity <> ''")
-    grouped = some.groupBy("entity").agg(F.count("*").alias("count"), F.min("birth_seq").alias("first_seq"), F.sort_array(F.collect_list(F.struct("birth_seq", "id", "text"))).alias("claims"))
-    return grouped.where(F.col("count") >= least).orderBy("first_seq")
+    """(entity, count, first_seq, birth_seq, id, text): active claims of entities with at least `least` of them, a row each.
+
+    Sizes are counted and joined to the claims, so no entity's claims gather in one row. Entities come by their first claim.
+    """
+    some = active(claims).where("entity <> ''").select("entity", "birth_seq", "id", "text")
+    sizes = some.groupBy("entity").agg(F.count("*").alias("count"), F.min("birth_seq").alias("first_seq")).where(F.col("count") >= least)
+    return sizes.join(some, "entity").select("entity", "count", "first_seq", "birth_seq", "id", "text").orderBy("first_seq", "birth_seq")
 
 
 def with_retention(claims: DataFrame, now: Column) -> DataFrame:

@@ -367,7 +367,8 @@ def retention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.clusters(claims(spark, sf_dir)).select("entity", "count", "first_seq", F.concat_ws(",", F.transform("claims", lambda c: c["id"])).alias("ids"))
+    rows = ops.clusters(claims(spark, sf_dir)).groupBy("entity", "count", "first_seq").agg(F.sort_array(F.collect_list(F.struct("birth_seq", "id"))).alias("x"))
+    return rows.select("entity", "count", "first_seq", F.concat_ws(",", "x.id").alias("ids"))
 
 
 def pressure_status(spark: SparkSession, sf_dir: str) -> DataFrame:
