@@ -265,3 +265,22 @@ def test_forget_order_is_by_three_places(spark):
     rows = [("b", "low", "2024-02-12T00:00:00Z", 0, "active", 2), ("a", "low", "2023-12-25T00:00:00Z", 1, "active", 1)]
     got = ops.forget_candidates(spark.createDataFrame(rows, "id string, confidence string, created string, hits long, status string, birth_seq long").withColumn("last_accessed", F.lit(None).cast("string")), F.lit("2024-04-01T00:00:00Z")).collect()
     assert [(r["id"], r["retention"]) for r in got] == [("a", 0.195), ("b", 0.195)]
+
+
+def test_blocks_travel_by_places(spark, monkeypatch):
+    """Each block goes to as many places as there are groups, not to each block that it meets; the pairs are those of all cosines."""
+    import numpy as np
+    from chronofold.operators import vectors
+
+    for name, value in (("BLOCK", 4), ("GROUPS", 3), ("HELD", 50)):
+        monkeypatch.setattr(vectors, name, value)
+    m = np.random.default_rng(4).standard_normal((120, 6))
+    rows = spark.createDataFrame([(str(k), k, [float(x) for x in v]) for k, v in enumerate(m)], "id string, ord long, embedding array<double>")
+    blocks, met = vectors.tiles(rows, 0.05)
+    assert met.count() > 100 and vectors.at_places(blocks, met).count() <= 4 * blocks.count()
+    u = m / np.linalg.norm(m, axis=1)[:, None]
+    want = {(i, j) for i in range(120) for j in range(i + 1, 120) if u[i] @ u[j] >= 0.05}
+    for held in (50, 2):
+        monkeypatch.setattr(vectors, "HELD", held)
+        got = [(r["a_ord"], r["b_ord"]) for r in vectors.similar_pairs(rows, 0.05).collect()]
+        assert len(got) == len(want) and set(got) == want
