@@ -238,3 +238,25 @@ def test_a_batch_reads_only_the_claims_it_names():
     assert max(reads[2:]) <= 3 * 15 and len(made.waiting) == 10
     with pytest.raises(ValueError, match="late"):
         list(made.handleInputRows(("a",), iter([table([{"seq": 3000, "op": "forget", "target": "c1", "lineage_id": "a"}])]), None))
+
+
+def test_consolidation_collects_no_rows(engine, spark, monkeypatch):
+    """Only counts reach the driver, however many claims are clustered, forgotten, merged and reviewed."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    words = spark.range(60).selectExpr("concat('w', id) AS id", "concat('same words here ', id % 30) AS text", "'e' AS entity", "concat('k', id) AS key", "id AS n")
+    engine.remember_all(words, ["n"])
+    engine.forward(100)
+    most, collect = [], DataFrame.collect
+
+    def counted(self):
+        rows = collect(self)
+        most.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    report, parts = engine.consolidate(review=0.5, merge=0.99)
+    assert sorted(most)[-2] < 10  # beside the sample of vectors that pivots are chosen from, which is bounded
+    monkeypatch.undo()
+    assert report["applied"]["forgotten"] == 60 and report["applied"]["merged"] >= 30
+    assert parts["merge_suggestions"].count() == 60 and parts["review_pairs"].count() > 100 and "tables" in json.loads(engine.lake.read_text(report["report_file"]))
