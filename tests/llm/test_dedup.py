@@ -1,5 +1,6 @@
 """Near-duplicate operators against brute force."""
 
+import math
 import random
 
 import numpy as np
@@ -251,3 +252,49 @@ def test_crowded_keys_are_dealt(spark):
     want = [(v, 7 if v < 400 else 8 if v == 450 else None) for v in range(500)]
     for small, hot in ((10, 10), (0, 50), (0, 1000)):
         assert sorted((r["v"], r["q"]) for r in pointed(rows, pointers, "u", "q", small, hot).collect()) == want
+
+
+def test_links_that_an_earlier_bucket_sifted_out(spark, monkeypatch):
+    """A pair whose sketches look far apart in one table's bucket still counts in the next where both stay for others' sake."""
+    from chronofold.llm import pstable
+
+    calls, sift = [], pstable.near_in_runs
+
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.1, 0.0])]
+    op = EmbeddingDuplicates()
+    classes = spark.createDataFrame([(k, 1, np.array(v).tobytes()) for k, v in rows], "rep long, copies long, vec binary").coalesce(1)
+
+    def first_table_drops(run, part, within, sketch, most):
+        live = sift(run, part, within, sketch, most)
+        live[run == 0] = False
+        return live
+
+    monkeypatch.setattr(pstable, "near_in_runs", first_table_drops)
+    monkeypatch.setattr(pstable, "shuffle_parts", lambda spark: 1)
+    monkeypatch.setattr(op, "hashes", lambda m, per, tables: np.zeros((len(m), tables), dtype=np.uint32))
+    assert sorted((r["a"], r["n"]) for r in op.links(classes, 1, 3).collect()) == [(1, 1), (2, 1)]
+
+
+def test_threshold_and_repeated_ids(spark):
+    """Cosines of exactly 0.9 link, by the formula of the SQL; different vectors of one vec_id do as well."""
+    from chronofold.llm.pstable import cosines
+
+    rng = np.random.default_rng(5)
+    pairs = []
+    for _ in range(200):
+        a, b = np.zeros(25), np.zeros(25)
+        at = rng.permutation(25)
+        a[at[:25]], b[at[:25]] = 1.0, 1.0
+        a, b = a * rng.integers(1, 9), b * rng.integers(1, 9)
+        b[at[0]] = 0.0
+        pairs.append((a, b))
+    a, b = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
+    plain = lambda x, y: float(x @ y) / math.sqrt(float(x @ x)) / math.sqrt(float(y @ y))
+    assert cosines(a, b).tolist() == [max(plain(x, y), plain(y, x)) for x, y in pairs]
+    one, nine = [1.0] * 100, [1.0] * 81 + [0.0] * 19
+    assert 81 / math.sqrt(81) / math.sqrt(100) >= 0.9
+    schema = "vec_id long, embedding array<double>, label int"
+    got = {r["vec_id"]: r["n_links"] for r in EmbeddingDuplicates().transform(spark.createDataFrame([(k, [x * s for x in v], 0) for k, (v, s) in enumerate([(one, 1.0), (nine, 1.0), (one, 3.0), (nine, 7.0)])], schema)).collect()}
+    assert got == {0: 3, 1: 3, 2: 3, 3: 3}
+    twice = EmbeddingDuplicates().transform(spark.createDataFrame([(5, [1.0, 0.0], 0), (5, [1.0, 0.1], 0), (6, [0.0, 1.0], 0)], schema)).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in twice) == [(5, 1, 5), (5, 1, 5), (6, 0, 6)]
