@@ -30,8 +30,8 @@ class SourceDivergence:
     Part `pair` holds the divergence of a source from every other one of its language, part `term`
     the `top` terms that a source uses more than its language does.
 
-    Terms are counted once: a document's terms are sorted, so that the first of each is known on
-    the spot, and (lang, source, term) sums to occurrences and documents before anything moves. A
+    Terms are counted once: a document's distinct terms go before its terms, and (lang, source,
+    term) sums to documents and occurrences before anything moves. A
     term's counts in all sources meet in one short array, at most as long as its language has
     sources. From these arrays, every two sources' combinations (count, count) are tallied.
     Combinations with a zero are not visited: they are a source's own histogram less what the
@@ -49,11 +49,10 @@ class SourceDivergence:
     def vocabulary(self, docs: DataFrame) -> DataFrame:
         """(lang, term, total, profile) of the kept terms; profile is [(source, n)] by source."""
         lower = F.translate("text", UPPER, LOWER)
-        sorted_ = docs.select("lang", "source", F.array_sort(F.split(lower, NO_TERM)).alias("s"))
-        # Paired with the list moved by one place: the last pair has no term, the first no predecessor.
-        marked = F.zip_with("s", F.concat(F.array(F.lit(None).cast("string")), F.col("s")), lambda x, y: F.struct(x.alias("term"), F.when(x.eqNullSafe(y), 0).otherwise(1).alias("first")))
-        terms = sorted_.select("lang", "source", F.explode(marked).alias("t")).select("lang", "source", "t.term", "t.first").where("term <> ''")
-        counts = terms.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum("first").alias("docs"))
+        words = docs.select("lang", "source", F.split(lower, NO_TERM).alias("w")).withColumn("u", F.array_distinct("w"))
+        # The distinct terms come before all occurrences, so that a place tells which of the two a term counts for.
+        terms = words.select("lang", "source", F.size("u").alias("k"), F.posexplode(F.concat("u", "w")).alias("i", "term")).where("term <> ''")
+        counts = terms.groupBy("lang", "source", "term").agg(F.count_if(F.col("i") >= F.col("k")).alias("n"), F.count_if(F.col("i") < F.col("k")).alias("docs"))
         kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs"), F.sort_array(F.collect_list(F.struct("source", "n"))).alias("profile"))
         return kept.where(F.col("docs") >= self.least).drop("docs")
 

@@ -191,3 +191,13 @@ def test_no_python_in_the_shuffle(spark, tmp_path):
     rows = docs.select(F.struct("*").alias("document"), place().alias("ticket")).withColumn("bucket", F.lit(1) + F.col("ticket") % 3)
     plan = rows.repartition(8, "bucket").sortWithinPartitions("bucket", "ticket").groupBy("bucket").agg(F.collect_list("document"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Python" not in plan
+
+
+def test_terms_are_counted_without_lambdas(spark):
+    """Sorting and pairing the words of a text by interpreted lambdas took most of the time."""
+    from chronofold.llm.divergence import SourceDivergence
+
+    docs = spark.createDataFrame([("en", "a", "The the cat"), ("en", "b", "cat, CAT"), ("en", "a", "")], "lang string, source string, text string")
+    got = SourceDivergence(least=2).vocabulary(docs)
+    assert "lambda" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [(r["term"], r["total"], [tuple(x) for x in r["profile"]]) for r in got.collect()] == [("cat", 3, [("a", 1), ("b", 2)])]
