@@ -121,6 +121,31 @@ def test_a_view_is_replayed_once_per_commit(spark, home, monkeypatch):
     assert len(runs) <= 2
 
 
+def test_a_command_replays_only_what_it_added(spark, home, monkeypatch):
+    from chronofold import engine as module
+
+    sizes, plain = [], module.replay
+    monkeypatch.setattr(module, "replay", lambda log, *a: sizes.append(log.count()) or plain(log, *a))
+    monkeypatch.setattr(module, "LAYERS", 3, raising=False)
+    engine = made(spark, home)
+    for k in range(3):
+        engine.remember(f"text {k}", key=f"k{k}")
+    engine.restate("m1", "again")
+    engine.touch(["m4", "m2"])
+    engine.remember("new", key="k1")
+    engine.forget("m4")
+    engine.restore("m4")
+    names = ("id", "text", "status", "hits", "birth_seq", "lineage_id")
+    state = lambda e: sorted(tuple(r[n] for n in names) for r in e.claims().collect())
+    got = state(engine)
+    assert max(sizes) <= 2 and sum(sizes) <= engine.lake.oplog().count()
+    assert got == state(made(spark, home))
+    engine.forget("m3", hard=True)
+    assert state(engine) == state(made(spark, home)) == [r for r in got if r[0] != "m3"]
+    made(spark, home).compact()
+    assert state(engine) == [r for r in got if r[0] != "m3"]
+
+
 class Counting:
     name = "counting"
 
