@@ -85,3 +85,18 @@ def test_latest_and_copies_with_ties_nulls_and_repeats(spark):
     found = writes.copies(rows, F.col("v"), "n").collect()
     assert sorted(map(tuple, found)) == [("x", 1, 3), ("y", 2, 2), ("z", None, 1)]
     assert writes.copies(rows.limit(0), F.col("v"), "n").collect() == []
+
+
+def test_texts_travel_once_and_stay_with_their_writes(spark, tmp_path, monkeypatch):
+    made, sorted_columns = engine(spark, tmp_path), []
+    plain = made.lake.append_frame
+    monkeypatch.setattr(made.lake, "append_frame", lambda ops, *a: sorted_columns.extend(f.simpleString() for f in ops.schema) or plain(ops, *a))
+    texts = {f"w{k}": f"{k} " + "the same long text again " * 200 for k in range(200)}
+    rows = [(k // 2, i, t, "k" if k % 3 == 0 else None, None, None, None) for k, (i, t) in enumerate(texts.items())]
+    made.remember_all(spark.createDataFrame(rows, FIELDS).repartition(4), ["n"], near=False)
+    assert sorted_columns and not any(c.startswith("text:") for c in sorted_columns)
+    assert made.lake.log_bytes() + made.lake.size(made.lake.path("audit")) < sum(map(len, texts.values())) / 4
+    assert {r["id"]: r["text"] for r in made.claims().collect()} == texts
+    assert sorted(r["seq"] for r in made.lake.oplog().collect()) == list(range(200 + 66))
+    audit = made.lake.table("audit", "action string, detail string").where("action = 'assert'")
+    assert {r[0] for r in audit.select(F.get_json_object("detail", "$.text")).collect()} == set(texts.values())
