@@ -1,5 +1,6 @@
 """Replay against an independent fold, on random logs and on cases made by hand."""
 
+import json
 import random
 
 import pandas as pd
@@ -8,6 +9,7 @@ import pytest
 from chronofold.operators import replay as module
 from chronofold.operators.replay import fold, replay, with_lineage
 from chronofold.sources import schemas
+from chronofold.sources.lake import import_jsonl
 
 NAMES = [x.split()[0] for x in schemas.OPLOG.split(", ")]
 
@@ -165,6 +167,24 @@ def test_a_chain_of_restatements(spark, monkeypatch):
     assert [(r["id"], r["created"], r["lineage_id"], r["birth_seq"]) for r in got] == [("c10000", "d", "c0", 10_000)]
 
 
+def test_an_import_follows_chains_once_and_numbers_lines_in_their_splits(spark, tmp_path, monkeypatch):
+    rounds, plain = [], module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df: rounds.append(1) or plain(df))
+    ops = [{k: v for k, v in o.items() if k != "seq"} for o in chain(300)]
+    (tmp_path / "log.jsonl").write_text("\n".join(map(json.dumps, ops)) + "\n\n", encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        log = import_jsonl(spark, f"file://{tmp_path}/log.jsonl")
+        named = with_lineage(log)
+        assert log.rdd.getNumPartitions() > 10
+        assert "row_number" not in log._jdf.queryExecution().toString()
+        got = sorted((r["seq"], r["target"], r["lineage_id"]) for r in named.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rounds) <= 4 + 6
+    assert got == [(0, None, "c0")] + [(k, f"c{k - 1}", "c0") for k in range(1, 301)]
+
+
 def test_a_chain_from_nowhere(spark):
     ops = chain(500, ghost=True) + [{"seq": 900, "op": "assert", "id": "c3", "text": "late", "created": "d"}]
     assert {r["id"]: r["text"] for r in replay(frame(spark, ops)).collect()} == {"c3": "late"}
